@@ -19,10 +19,8 @@ def string_array(values) -> Column:
 
 def any_match(value: Column, patterns) -> Column:
     """True where at least one of the regular expressions is found."""
-    hit = F.lit(False)
-    for pattern in patterns:
-        hit = hit | value.rlike(pattern)
-    return hit
+    patterns = list(patterns)
+    return value.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
 def any_contained(value: Column, markers) -> Column:

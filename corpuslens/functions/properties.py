@@ -62,29 +62,26 @@ def version_of_file(properties: Column | str, keys: Sequence[str] = VERSION_KEYS
     return F.when(release.isNotNull(), F.coalesce(major_version(release), F.lit(0)))
 
 
-def vendor_exact(value: Column | str, names: Mapping[str, str] = VENDOR_NAMES) -> Column:
-    """Vendor whose key equals the lower-cased value."""
-    lookup = F.create_map(*[F.lit(v) for item in names.items() for v in item])
-    return lookup[F.trim(F.lower(as_col(value)))]
+def _vendor_lookup(names: Mapping[str, str]) -> tuple[Column, Column]:
+    """The catalogue as a map, and its keys in matching order."""
+    keys = F.array(*[F.lit(k) for k in names])
+    return F.map_from_arrays(keys, F.array(*[F.lit(v) for v in names.values()])), keys
 
 
-def vendor_partial(value: Column | str, names: Mapping[str, str] = VENDOR_NAMES) -> Column:
-    """Vendor of the first key, in catalogue order, that is part of the value."""
-    entries = F.array(*[F.struct(F.lit(k).alias("key"), F.lit(v).alias("vendor")) for k, v in names.items()])
-    lowered = F.trim(F.lower(as_col(value)))
-    return F.get(F.filter(entries, lambda e: F.contains(lowered, e["key"])), F.lit(0))["vendor"]
+def _vendor(value: Column, keep_raw: Column, lookup: Column, keys: Column) -> Column:
+    trimmed = F.trim(value)
+    lowered = F.lower(trimmed)
+    partial = F.get(F.filter(keys, lambda key: F.contains(lowered, key)), F.lit(0))
+    raw = F.when(keep_raw & (trimmed != "") & (lowered != "unknown"), trimmed)
+    return F.when(value != "", F.coalesce(lookup[lowered], lookup[partial], raw))
 
 
 def vendor_of_value(
     value: Column | str, keep_raw: bool, names: Mapping[str, str] = VENDOR_NAMES
 ) -> Column:
-    """Exact match, else partial match, else (where allowed) the value itself."""
-    value = F.nullif(as_col(value), F.lit(""))
-    choices = [vendor_exact(value, names), vendor_partial(value, names)]
-    if keep_raw:
-        raw = F.trim(value)
-        choices.append(F.when((raw != "") & (F.lower(raw) != "unknown"), raw))
-    return F.when(value.isNotNull(), F.coalesce(*choices))
+    """Vendor of a text: exact match, else the first catalogue key it contains, else (where allowed) itself."""
+    lookup, keys = _vendor_lookup(names)
+    return _vendor(as_col(value), F.lit(keep_raw), lookup, keys)
 
 
 def vendor_of_file(
@@ -93,6 +90,17 @@ def vendor_of_file(
     raw_keys: Sequence[str] = RAW_VENDOR_KEYS,
     names: Mapping[str, str] = VENDOR_NAMES,
 ) -> Column:
-    """Vendor a property file names; null where it names none."""
+    """Vendor a property file names; null where it names none.
+
+    The candidate values form one array, so the catalogue stands in the plan once and not per key.
+    """
     properties = as_col(properties)
-    return F.coalesce(*[vendor_of_value(properties[key], key in raw_keys, names) for key in keys])
+    lookup, ordered = _vendor_lookup(names)
+    values = F.array(
+        *[F.struct(properties[k].alias("value"), F.lit(k in raw_keys).alias("raw")) for k in keys]
+    )
+    vendors = F.transform(
+        F.filter(values, lambda v: v["value"].isNotNull()),
+        lambda v: _vendor(v["value"], v["raw"], lookup, ordered),
+    )
+    return F.get(F.filter(vendors, lambda v: v.isNotNull()), F.lit(0))

@@ -86,28 +86,33 @@ def entropies(text: Column | str) -> dict[str, Column]:
 
 def language_scores(text: Column | str) -> Column:
     """An array of (score, code), one per language: how many words are stop words of it."""
-    words = F.split(F.lower(as_col(text)), r"[^\p{L}]+")
-
-    def score(stop_words: list[str]) -> Column:
-        stops = F.array(*[F.lit(w) for w in stop_words])
-        return F.size(F.filter(words, lambda w: F.array_contains(stops, w)))
-
+    lowered = F.lower(as_col(text))
     return F.array(
-        *[F.struct(score(stops).alias("score"), F.lit(code).alias("code")) for code, stops in STOP_WORDS.items()]
+        *[
+            F.struct(
+                F.regexp_count(lowered, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(stops)})(?!\p{{L}})")).alias("score"),
+                F.lit(code).alias("code"),
+            )
+            for code, stops in STOP_WORDS.items()
+        ]
     )
 
 
-def language(text: Column | str) -> dict[str, Column]:
-    """Best-scoring language, its name, and its share of all stop words found."""
-    scores = language_scores(text)
-    best = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0), lambda acc, s: acc + s["score"])
+def language(text: Column | str) -> Column:
+    """Best-scoring language, its name, and its share of all stop words found, as a struct."""
     names = F.create_map(*[F.lit(v) for item in LANGUAGE_NAMES.items() for v in item])
-    return {
-        "language_code": F.when(total > 0, best["code"]),
-        "language_name": F.when(total > 0, names[best["code"]]),
-        "language_confidence": F.when(total > 0, best["score"] / total).otherwise(F.lit(0.0)),
-    }
+
+    def judge(scores: Column) -> Column:
+        best = F.array_max(scores)
+        total = F.aggregate(scores, F.lit(0), lambda acc, s: acc + s["score"])
+        return F.struct(
+            F.when(total > 0, best["code"]).alias("language_code"),
+            F.when(total > 0, names[best["code"]]).alias("language_name"),
+            F.when(total > 0, best["score"] / total).otherwise(F.lit(0.0)).alias("language_confidence"),
+        )
+
+    # The scores are bound once, so the text is scanned once per language.
+    return F.transform(F.array(language_scores(text)), judge)[0]
 
 
 def text_flags(text: Column | str) -> dict[str, Column]:

@@ -85,10 +85,9 @@ def app_override(
     singleton_names = F.array(*[F.lit(s) for s in singletons])
     default_names = F.array(*[F.lit(d) for d in dict.fromkeys(defaults)])
     contained = F.get(F.filter(singleton_names, lambda s: F.contains(directory, s)), F.lit(0))
-    named = F.get(
-        F.filter(default_names, lambda d: F.regexp_like(directory, F.concat(F.lit(r"\b\Q"), d, F.lit(r"\E\b")))),
-        F.lit(0),
-    )
+    # The names are words themselves, so "as a word" is membership in the words of the directory.
+    words = F.regexp_extract_all(directory, F.lit(r"\w+"), F.lit(0))
+    named = F.get(F.array_intersect(default_names, words), F.lit(0))
     allowed = ~directory.contains(OVERRIDE_NAME_SKIPPED)
     return F.when(allowed, F.coalesce(contained, named, F.lit(""))).otherwise(F.lit(""))
 

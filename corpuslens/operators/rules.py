@@ -96,7 +96,7 @@ class Call:
         if self.callee_class:
             hit = hit & (F.col("callee_class") == self.callee_class)
         if self.descriptor is not None:
-            hit = hit & (F.replace(F.col("descriptor"), F.lit(" "), F.lit("")) == self.descriptor.replace(" ", ""))
+            hit = hit & (F.col("descriptor") == self.descriptor.replace(" ", ""))
         if self.arg_pattern is not None:
             hit = hit & F.exists(_arguments(self.arg_position), lambda a: a.rlike(self.arg_pattern))
         return hit
@@ -158,13 +158,17 @@ def _any_of(calls: Sequence[Call]) -> Column:
 def run_checkers(calls: DataFrame, checkers: Sequence[Checker]) -> DataFrame:
     """Findings ``(checker, app_id, caller)`` of all enabled checkers, from one shuffle of the calls.
 
-    Calls no checker knows are dropped before the shuffle. Per caller the calls are combined into a
-    few positions and flags per checker.
+    Methods no checker knows are dropped at the scan. Per caller the calls are combined into a few
+    positions and flags per checker, before the shuffle as well as after it. Blanks in descriptors
+    do not count.
     """
     active = [c for c in checkers if c.enabled]
     if not active:
         raise ValueError("no checker is enabled")
-    relevant = calls.where(_any_of([call for c in active for call in c.calls()]))
+    methods = sorted({call.callee_method for c in active for call in c.calls()})
+    relevant = calls.where(F.col("callee_method").isin(methods)).withColumn(
+        "descriptor", F.replace(F.col("descriptor"), F.lit(" "), F.lit(""))
+    )
     seq = F.col("seq")
     measures = []
     for i, c in enumerate(active):

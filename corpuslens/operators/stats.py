@@ -28,15 +28,12 @@ def _atomic_entries(attributes: Mapping[str, Column] | Sequence[str]) -> Column:
 
 def _list_entries(attributes: Mapping[str, Column] | Sequence[str]) -> Column:
     columns = attributes if isinstance(attributes, Mapping) else {name: F.col(name) for name in attributes}
-    return F.concat(
-        *[
-            F.transform(
-                F.coalesce(column.cast("array<string>"), F.array().cast("array<string>")),
-                lambda v, n=name: F.struct(F.lit(n).alias("attribute"), v.alias("value")),
-            )
-            for name, column in columns.items()
-        ]
-    )
+
+    def entries(name: str, column: Column) -> Column:
+        elements = F.coalesce(column.cast("array<string>"), F.array().cast("array<string>"))
+        return F.transform(elements, lambda v: F.struct(F.lit(name).alias("attribute"), v.alias("value")))
+
+    return F.concat(*[entries(name, column) for name, column in columns.items()])
 
 
 def _unfold(df: DataFrame, entries: Column, *keep: str) -> DataFrame:
@@ -127,8 +124,8 @@ def histograms(df: DataFrame, widths: Mapping[str, tuple[Column, float]]) -> Dat
 def totals(df: DataFrame, size: Column, unique: Mapping[str, Column]) -> DataFrame:
     """Row count, byte total and distinct counts of a table."""
     return df.agg(
-        F.count("*").alias("rows"),
-        F.sum(size).alias("bytes"),
+        F.count("*").alias("row_count"),
+        F.sum(size).alias("byte_total"),
         *[F.countDistinct(column).alias(f"unique_{name}") for name, column in unique.items()],
     )
 
