@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -23,6 +23,15 @@ def any_match(value: Column, patterns) -> Column:
     return value.rlike("|".join(f"(?:{p})" for p in patterns)) if patterns else F.lit(False)
 
 
+def unfold(df: DataFrame, keep, array: Column | str, name: str) -> DataFrame:
+    """One row per array element, evaluating the array once.
+
+    A plain explode makes the optimizer filter empty arrays first, which computes a costly array a
+    second time; the outer form with a filter on the element does not.
+    """
+    return df.select(*keep, F.explode_outer(as_col(array)).alias(name)).where(F.col(name).isNotNull())
+
+
 def any_contained(value: Column, markers) -> Column:
     """True where at least one of the texts is part of the value."""
     hit = F.lit(False)

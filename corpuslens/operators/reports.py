@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import as_col
+from ..functions import as_col, unfold
 from ..functions.documents import list_of_scalar_or_list
 
 MATCH_SCHEMA = (
@@ -39,7 +39,7 @@ def union_reports(reports: Mapping[str, DataFrame], requested: Sequence[str] | N
 def match_findings(reports: DataFrame, id_col: str, payload: Column | str) -> DataFrame:
     """Match report: one row per nested file, category and match."""
     parsed = F.from_json(as_col(payload), MATCH_SCHEMA)
-    files = reports.select(id_col, F.explode(parsed["files"]).alias("_file"))
+    files = unfold(reports, [id_col], parsed["files"], "_file")
     categories = files.select(
         id_col, F.col("_file.filename").alias("file_name"), F.explode("_file.matches").alias("category", "_found")
     )
@@ -49,7 +49,7 @@ def match_findings(reports: DataFrame, id_col: str, payload: Column | str) -> Da
 def issue_rows(reports: DataFrame, id_col: str, payload: Column | str) -> DataFrame:
     """Issue report: one row per issue; a single line number becomes a list of one."""
     parsed = F.from_json(as_col(payload), ISSUE_SCHEMA)
-    issues = reports.select(id_col, F.explode(parsed).alias("_issue"))
+    issues = unfold(reports, [id_col], parsed, "_issue")
     return issues.select(
         id_col,
         *[F.col(f"_issue.{name}").alias(name) for name in ("category", "severity", "description", "name")],
@@ -64,16 +64,13 @@ def issue_rows(reports: DataFrame, id_col: str, payload: Column | str) -> DataFr
 def privacy_findings(reports: DataFrame, id_col: str, payload: Column | str) -> DataFrame:
     """Privacy report: the pairs of ``analysis_results`` in the second element, one row per entry."""
     results = F.expr("variant_get(_doc, '$[1].analysis_results', 'array<variant>')")
-    pairs = (
-        reports.select(id_col, F.try_parse_json(as_col(payload)).alias("_doc"))
-        .select(id_col, F.explode(results).alias("_pair"))
-        .select(
-            id_col,
-            F.expr("variant_get(_pair, '$[0]', 'string')").alias("category"),
-            F.expr("variant_get(_pair, '$[1]', 'array<string>')").alias("_entries"),
-        )
+    documents = reports.select(id_col, F.try_parse_json(as_col(payload)).alias("_doc"))
+    pairs = unfold(documents, [id_col], results, "_pair").select(
+        id_col,
+        F.expr("variant_get(_pair, '$[0]', 'string')").alias("category"),
+        F.expr("variant_get(_pair, '$[1]', 'array<string>')").alias("_entries"),
     )
-    return pairs.select(id_col, "category", F.explode("_entries").alias("entry"))
+    return unfold(pairs, [id_col, "category"], "_entries", "entry")
 
 
 def privacy_status(payload: Column | str) -> Column:
@@ -122,9 +119,8 @@ def pattern_findings(df: DataFrame, id_col: str, text_col: str, patterns: Mappin
         ]
     )
     hits = F.filter(per_rule, lambda hit: F.size(hit["found"]) > 0)
-    return (
-        df.select(id_col, F.explode(hits).alias("_hit"))
-        .select(id_col, F.col("_hit.rule").alias("rule"), F.explode("_hit.found").alias("match"))
+    return unfold(df, [id_col], hits, "_hit").select(
+        id_col, F.col("_hit.rule").alias("rule"), F.explode("_hit.found").alias("match")
     )
 
 

@@ -16,6 +16,8 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import unfold
+
 RULE_SCHEMA = (
     "crime string, permission array<string>, "
     "api array<struct<class:string,method:string,descriptor:string>>, score double, label array<string>"
@@ -191,9 +193,8 @@ def run_checkers(calls: DataFrame, checkers: Sequence[Checker]) -> DataFrame:
         if c.mitigations:
             hit = hit & ~F.col(f"mitigated_{i}")
         verdicts.append(F.when(hit, F.lit(c.name)))
-    return per_caller.select(
-        F.explode(F.array_distinct(F.array_compact(F.array(*verdicts)))).alias("checker"), "app_id", "caller"
-    )
+    found = F.array_distinct(F.array_compact(F.array(*verdicts)))
+    return unfold(per_caller, ["app_id", "caller"], found, "checker").select("checker", "app_id", "caller")
 
 
 # --- graph facts ---------------------------------------------------------------------------

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import TOP_VALUES_ROWS
+from ..functions import unfold
 
 
 def _atomic_entries(attributes: Mapping[str, Column] | Sequence[str]) -> Column:
@@ -37,7 +38,7 @@ def _list_entries(attributes: Mapping[str, Column] | Sequence[str]) -> Column:
 
 
 def _unfold(df: DataFrame, entries: Column, *keep: str) -> DataFrame:
-    return df.select(*keep, F.explode(entries).alias("_e")).select(
+    return unfold(df, keep, entries, "_e").select(
         *keep, F.col("_e.attribute").alias("attribute"), F.col("_e.value").alias("value")
     )
 

@@ -14,6 +14,7 @@ from ..catalog import (
     SINGLETON_APPS,
 )
 from ..functions import build as bd
+from ..functions import unfold
 from ..functions import paths as pt
 from ..operators import classify as cl
 from ..sources.sinks import export_folder
@@ -86,7 +87,7 @@ def _image_sql(label: str, condition: str) -> str:
 )
 def partition_classify(t: Tables) -> DataFrame:
     labels = cl.image_labels("name", F.col("is_directory"))
-    return part_files(t).select("file_id", "name", F.explode(labels).alias("label"))
+    return unfold(part_files(t), ["file_id", "name"], labels, "label")
 
 
 WANTED = ["^system[.]img$", "^vendor[.]img", "^super", "[.]img$"]

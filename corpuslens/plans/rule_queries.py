@@ -155,13 +155,13 @@ def set_intersection(t: Tables) -> DataFrame:
     "callers_of_callers",
     """
     SELECT DISTINCT s_name AS caller FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
-    WHERE p_type = 'PROMO' AND p_name = 'red bolt' AND regexp_matches(s_name, '[1-7]$')
+    WHERE p_type = 'PROMO' AND p_size > 40 AND regexp_matches(s_name, '[1-7]$')
     """,
 )
 def callers_of_callers(t: Tables) -> DataFrame:
     named = t.supplier.select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_name").alias("caller"))
     edges = t.lineitem.select("l_suppkey", F.col("l_partkey").alias("callee")).join(named, "l_suppkey").select("caller", "callee")
-    flagged = t.part.where("p_type = 'PROMO' AND p_name = 'red bolt'").select(F.col("p_partkey").alias("callee"))
+    flagged = t.part.where("p_type = 'PROMO' AND p_size > 40").select(F.col("p_partkey").alias("callee"))
     return rl.callers_of(edges, flagged, "[1-7]$")
 
 

@@ -76,8 +76,6 @@ def line_rows(spark: SparkSession, root: str, glob: str | None = None) -> DataFr
 
     Each file is read whole because a later line overrides an earlier one; property files are small.
     """
-    reader = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    texts = reader.text(root).select(_local_path(F.col("_metadata.file_path")).alias("file_path"), "value")
+    # The arguments of text() override options of the same name, so they are given here.
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob).select(_local_path(F.col("_metadata.file_path")).alias("file_path"), "value")
     return texts.select("file_path", F.posexplode(F.split("value", "\n")).alias("line_no", "line"))

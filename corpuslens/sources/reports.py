@@ -12,12 +12,7 @@ from ..rule_catalog import rule_rows
 
 def read_report_files(spark: SparkSession, root: str, glob: str = "*.json") -> DataFrame:
     """Report files, one document each, as path and JSON text; broken documents are marked."""
-    texts = (
-        spark.read.option("wholetext", "true")
-        .option("recursiveFileLookup", "true")
-        .option("pathGlobFilter", glob)
-        .text(root)
-    )
+    texts = spark.read.text(root, wholetext=True, recursiveFileLookup=True, pathGlobFilter=glob)
     return texts.select(
         F.col("_metadata.file_path").alias("file_path"),
         F.col("value").alias("results"),

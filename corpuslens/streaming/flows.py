@@ -10,13 +10,15 @@ from pyspark.sql import functions as F
 from ..catalog import LOG_RETENTION_DAYS
 from ..session import new_work_dir
 
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+
 
 def watch_imports(spark: SparkSession, folder: str, glob: str | None, delay: str = "7 days") -> DataFrame:
     """New files of an import folder, each content once within the delay.
 
     The state holds hashes of the delay only; older imports are left out by ``drop_known``.
     """
-    reader = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true")
+    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     files = reader.load(folder).select(
@@ -34,9 +36,13 @@ def drop_known(stream: DataFrame, known: DataFrame) -> DataFrame:
 
 
 def log_windows(logs: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
-    """Records per tumbling window, level and tag (T03); a window is final once the watermark passes it."""
+    """Records per tumbling window, level and tag (T03); a window is final once the watermark passes it.
+
+    Times without a zone count as times of the session zone, because watermarks need a zone.
+    """
     return (
-        logs.withWatermark("ts", delay)
+        logs.withColumn("ts", F.col("ts").cast("timestamp"))
+        .withWatermark("ts", delay)
         .groupBy(F.window("ts", window).alias("window"), "level", "tag")
         .agg(F.count("*").alias("n"))
         .select(F.col("window.start").alias("window_start"), "level", "tag", "n")
