@@ -58,44 +58,63 @@ def url_parts(url: Column | str) -> dict[str, Column]:
 
 def word_count(text: Column | str) -> Column:
     """Runs of non-blank characters."""
-    trimmed = F.regexp_replace(as_col(text), r"^\s+|\s+$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, r"\s+"))).cast("int")
+    return F.regexp_count(as_col(text), F.lit(r"\S+"))
 
 
-def entropies(text: Column | str) -> dict[str, Column]:
-    """Natural, Shannon and Hartley entropy of the characters, within one row and without a shuffle."""
+def entropies(text: Column | str) -> Column:
+    """Natural, Shannon and Hartley entropy of the characters as a struct, without a shuffle.
+
+    With k occurrences of a character among n, the natural entropy is ln n - sum(k ln k) / n.
+    """
     text = as_col(text)
-    total = F.length(text)
 
-    def term(char: Column) -> Column:
-        share = (total - F.length(F.replace(text, char, F.lit("")))) / total
-        return -share * F.log(share)
+    def occurrences(char: Column) -> Column:
+        return F.length(text) - F.length(F.replace(text, char, F.lit("")))
 
-    # Sorted, so that the sum of the terms is the same in every run.
-    chars = F.array_sort(F.array_distinct(F.split(text, "")))
-    natural = F.aggregate(
-        F.transform(F.filter(chars, lambda c: c != ""), term), F.lit(0.0), lambda acc, x: acc + x
+    # Sorted, so that the terms are summed in the same order in every run.
+    chars = F.array_sort(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")))
+    weighted = F.aggregate(
+        F.transform(chars, occurrences), F.lit(0.0), lambda acc, k: acc + k * F.log(k.cast("double"))
     )
-    natural = F.when(total > 0, natural).otherwise(F.lit(0.0))
-    return {
-        "natural_entropy": natural,
-        "shannon_entropy": natural / F.lit(math.log(2)),
-        "hartley_entropy": natural / F.lit(math.log(10)),
-    }
+    natural = F.when(
+        F.length(text) > 0, F.abs(F.log(F.length(text).cast("double")) - weighted / F.length(text))
+    ).otherwise(F.lit(0.0))
+    # The entropy is bound once and scaled three times.
+    return F.transform(
+        F.array(natural),
+        lambda h: F.struct(
+            h.alias("natural_entropy"),
+            (h / F.lit(math.log(2))).alias("shannon_entropy"),
+            (h / F.lit(math.log(10))).alias("hartley_entropy"),
+        ),
+    )[0]
+
+
+def _is_one_of(words: list[str]):
+    return lambda word: word.isin(words)
 
 
 def language_scores(text: Column | str) -> Column:
-    """An array of (score, code), one per language: how many words are stop words of it."""
-    lowered = F.lower(as_col(text))
-    return F.array(
-        *[
-            F.struct(
-                F.regexp_count(lowered, F.lit(rf"(?<!\p{{L}})(?:{'|'.join(stops)})(?!\p{{L}})")).alias("score"),
-                F.lit(code).alias("code"),
-            )
-            for code, stops in STOP_WORDS.items()
-        ]
-    )
+    """An array of (score, code), one per language: how many words are stop words of it.
+
+    One pass finds the stop words of all languages, which are then counted per language.
+    """
+    every = "|".join(word for stops in STOP_WORDS.values() for word in stops)
+    pattern = rf"(?<!\p{{L}})(?:{every})(?!\p{{L}})"
+    found = F.regexp_extract_all(F.lower(as_col(text)), F.lit(pattern), F.lit(0))
+
+    def count(words: Column) -> Column:
+        return F.array(
+            *[
+                F.struct(
+                    F.size(F.filter(words, _is_one_of(stops))).alias("score"),
+                    F.lit(code).alias("code"),
+                )
+                for code, stops in STOP_WORDS.items()
+            ]
+        )
+
+    return F.transform(F.array(found), count)[0]
 
 
 def language(text: Column | str) -> Column:

@@ -65,7 +65,7 @@ def counters(t: Tables) -> DataFrame:
         labelled,
         ["firmware_id", "partition_name"],
         is_app=F.col("quality").isNotNull(),
-        is_property_file=F.col("text").rlike(r"\w+ = \S+"),
+        is_property_file=F.col("text").rlike(r"\w = \S"),
         success=F.col("quality") == 1,
     )
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import work_root
+from ..session import spread, work_root
 
 TABLE_NAMES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
@@ -26,6 +26,10 @@ class Tables:
     def path(self, name: str) -> str:
         return f"{self.folder}/{name}.parquet"
 
+    def spread(self, name: str, *keys: str) -> DataFrame:
+        """A table for costly per-row work: over all cores even if it is one file."""
+        return spread(getattr(self, name), *keys)
+
     def __getattr__(self, name: str) -> DataFrame:
         if name not in TABLE_NAMES:
             raise AttributeError(name)

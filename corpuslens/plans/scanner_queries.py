@@ -17,7 +17,7 @@ LINES_SQL = "len(string_split(text, chr(10)))"
     f"SELECT doc_id, 'TEXT' AS scanner_name, 'completed' AS scan_status, {LINES_SQL} AS n_lines, {WORDS_SQL} AS n_words FROM documents",
 )
 def scanner_map(t: Tables) -> DataFrame:
-    reports = sc.run_scanner(t.documents, "TEXT", "doc_id", "text")
+    reports = sc.run_scanner(t.spread("documents", "doc_id"), "TEXT", "doc_id", "text")
     return reports.select("doc_id", "scanner_name", "scan_status", "n_lines", "n_words")
 
 
@@ -30,7 +30,7 @@ def scanner_map(t: Tables) -> DataFrame:
     """,
 )
 def scanner_args(t: Tables) -> DataFrame:
-    reports = sc.run_scanner(t.documents, "TEXT", "doc_id", "text", {"min_bytes": 500})
+    reports = sc.run_scanner(t.spread("documents", "doc_id"), "TEXT", "doc_id", "text", {"min_bytes": 500})
     return reports.select("doc_id", "scan_status", "error", "n_lines")
 
 
@@ -39,7 +39,7 @@ MARKED_SQL = "(text LIKE '%token =%' OR text LIKE '%License%' OR text LIKE '%@%'
 
 @query("failure_rows", f"SELECT doc_id, 'no marker found' AS error FROM documents WHERE NOT {MARKED_SQL}")
 def failure_rows(t: Tables) -> DataFrame:
-    reports = sc.run_scanner(t.documents, "MARKERS", "doc_id", "text")
+    reports = sc.run_scanner(t.spread("documents", "doc_id"), "MARKERS", "doc_id", "text")
     return reports.where(F.col("scan_status") == sc.STATUS_FAILED).select("doc_id", "error")
 
 
@@ -51,7 +51,7 @@ def failure_rows(t: Tables) -> DataFrame:
     """,
 )
 def empty_reports(t: Tables) -> DataFrame:
-    reports = sc.run_scanner(t.documents, "MARKERS", "doc_id", "text")
+    reports = sc.run_scanner(t.spread("documents", "doc_id"), "MARKERS", "doc_id", "text")
     return reports.select("doc_id", "main_marker", F.size("markers").alias("marker_count"))
 
 

@@ -128,7 +128,7 @@ def firmware_totals(t: Tables) -> DataFrame:
 )
 def numeric_histogram(t: Tables) -> DataFrame:
     return st.histograms(
-        t.documents,
+        t.spread("documents", "doc_id"),
         {
             "string_length": (F.length("text"), 500),
             "number_of_words_estimate": (word_count("text"), 100),
@@ -181,7 +181,7 @@ def scan_status_summary(t: Tables) -> DataFrame:
 )
 def flag_counts(t: Tables) -> DataFrame:
     flags = text_flags("text")
-    return st.atomic_counts(t.documents, {k: flags[k] for k in ("isNumeric", "isNaturalLanguage", "isSecret")})
+    return st.atomic_counts(t.spread("documents", "doc_id"), {k: flags[k] for k in ("isNumeric", "isNaturalLanguage", "isSecret")})
 
 
 LEAKS_SQL = f"SELECT 'leaks' AS attribute, rule AS value, count(*) AS n FROM ({secret_sql()}) s GROUP BY 2"
@@ -189,7 +189,7 @@ LEAKS_SQL = f"SELECT 'leaks' AS attribute, rule AS value, count(*) AS n FROM ({s
 
 @query("leak_counts", LEAKS_SQL)
 def leak_counts(t: Tables) -> DataFrame:
-    found = rp.pattern_findings(t.documents, "doc_id", "text", SECRET_PATTERNS)
+    found = rp.pattern_findings(t.spread("documents", "doc_id"), "doc_id", "text", SECRET_PATTERNS)
     return st.atomic_counts(found, {"leaks": F.col("rule")})
 
 

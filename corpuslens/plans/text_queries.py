@@ -39,7 +39,7 @@ def secret_sql() -> str:
 
 @query("secret_scan", secret_sql())
 def secret_scan(t: Tables) -> DataFrame:
-    return rp.pattern_findings(t.documents, "doc_id", "text", SECRET_PATTERNS)
+    return rp.pattern_findings(t.spread("documents", "doc_id"), "doc_id", "text", SECRET_PATTERNS)
 
 
 @query(
@@ -63,8 +63,9 @@ def string_metrics(t: Tables) -> DataFrame:
     """,
 )
 def entropy(t: Tables) -> DataFrame:
-    values = entropies("text")
-    return t.conversations.select("conv_id", "turn", *[F.round(c, 6).alias(n) for n, c in values.items()])
+    rows = t.spread("conversations", "conv_id", "turn").select("conv_id", "turn", entropies("text").alias("e"))
+    names = ("natural_entropy", "shannon_entropy", "hartley_entropy")
+    return rows.select("conv_id", "turn", *[F.round(f"e.{n}", 6).alias(n) for n in names])
 
 
 @query(
@@ -98,7 +99,7 @@ FLAG_SQL = r"""
     """,
 )
 def text_flag_columns(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", *[c.alias(n) for n, c in text_flags("text").items()])
+    return t.spread("documents", "doc_id").select("doc_id", *[c.alias(n) for n, c in text_flags("text").items()])
 
 
 @query(
@@ -118,7 +119,7 @@ def text_flag_columns(t: Tables) -> DataFrame:
     """,
 )
 def language_columns(t: Tables) -> DataFrame:
-    rows = t.documents.select("doc_id", language("text").alias("found"))
+    rows = t.spread("documents", "doc_id").select("doc_id", language("text").alias("found"))
     return rows.select(
         "doc_id", "found.language_code", F.round("found.language_confidence", 6).alias("language_confidence")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app_name: str = "corpuslens", master: str | None = None, **conf: str) -> SparkSession:
@@ -49,3 +49,12 @@ def work_root(spark: SparkSession) -> str:
 def new_work_dir(spark: SparkSession, label: str) -> str:
     """A path below the work folder that no other run uses."""
     return f"{work_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Give costly per-row work one partition per core where the input has fewer, such as one file.
+
+    Input of many files has more partitions than cores and stays where it is, without a shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
