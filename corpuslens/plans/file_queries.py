@@ -58,10 +58,13 @@ def folder_scan(t: Tables) -> DataFrame:
     path = new_work_dir(t.spark, "imports")
     german = t.documents.where("lang = 'de'")
     german.select(F.col("text").alias("value")).write.option("compression", "gzip").text(path)
-    found = fs.import_candidates(t.spark, path)
-    unpacked = t.spark.read.text(path, wholetext=True)
-    size = unpacked.agg(F.sum(F.octet_length("value")).alias("bytes"))
-    return found.agg((F.count("*") > 0).alias("has_files")).join(size, F.lit(True), "left")
+    found = fs.import_candidates(t.spark, path).select(
+        F.lit(1).alias("files"), F.lit(0).cast("long").alias("bytes")
+    )
+    unpacked = t.spark.read.text(path, wholetext=True).select(
+        F.lit(0).alias("files"), F.octet_length("value").cast("long").alias("bytes")
+    )
+    return found.unionByName(unpacked).agg((F.sum("files") > 0).alias("has_files"), F.sum("bytes").alias("bytes"))
 
 
 @query("loose_apps")
