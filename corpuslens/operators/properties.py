@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.properties import (
+    PARSE_ERROR,
     UNKNOWN_VENDOR,
     is_property_line,
     property_key,
@@ -29,12 +30,23 @@ def last_value_per_key(rows: DataFrame, file_col: str, line_no: str) -> DataFram
     return rows.groupBy(file_col, "key").agg(F.max_by("value", line_no).alias("value"))
 
 
-def property_maps(rows: DataFrame, file_col: str, line_no: str) -> DataFrame:
-    """One map per property file; a file is bounded, so its keys fit one row."""
+def property_maps(
+    rows: DataFrame, file_col: str, line_no: str, files: DataFrame | None = None
+) -> DataFrame:
+    """One map per property file; a file is bounded, so its keys fit one row.
+
+    With the table of all property files, those without a property get the map that says so.
+    """
     last = last_value_per_key(rows, file_col, line_no)
-    return last.groupBy(file_col).agg(
+    maps = last.groupBy(file_col).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties")
     )
+    if files is None:
+        return maps
+    failed = F.create_map(*[F.lit(v) for item in PARSE_ERROR.items() for v in item])
+    return files.select(file_col).join(maps, file_col, "left").withColumn(
+        "properties", F.coalesce("properties", failed)
+    )
 
 
 def first_file_wins(values: DataFrame, firmware_col: str, value_col: str, ordinal: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,23 @@ def read_files(spark: SparkSession, root: str, glob: str | None = None, recursiv
     return reader.load(root).withColumn("path", _local_path(F.col("path")))
 
 
-def file_inventory(spark: SparkSession, root: str, partition: Column | str) -> DataFrame:
+def empty_files(spark: SparkSession, root: str) -> DataFrame:
+    """Files without content, which Spark's file sources leave out when they read.
+
+    They are the names of the file listing, which Spark holds on the driver in any case, that the
+    scan does not return.
+    """
+    scanned = read_files(spark, root)
+    names = [(unquote(name),) for name in scanned.inputFiles()]
+    listed = spark.createDataFrame(names, "uri string").select(_local_path(F.col("uri")).alias("path"))
+    return listed.join(scanned.select("path"), "path", "left_anti").select(
+        "path", F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content")
+    )
+
+
+def file_inventory(
+    spark: SparkSession, root: str, partition: Column | str, with_empty: bool = True
+) -> DataFrame:
     """One row per file and per directory of a tree.
 
     Directories are not listed but derived: they are the distinct folders above the files. Only
@@ -31,8 +49,12 @@ def file_inventory(spark: SparkSession, root: str, partition: Column | str) -> D
     """
     base = root.rstrip("/")
     partition = F.lit(partition) if isinstance(partition, str) else partition
-    files = read_files(spark, base).withColumn(
-        "relative_path", F.substring(F.col("path"), F.length(F.lit(base)) + 1, F.length("path"))
+    files = read_files(spark, base).select("path", "length", "content")
+    if with_empty:
+        files = files.unionByName(empty_files(spark, base))
+    local = F.lit(base).substr(F.length(F.regexp_extract(F.lit(base), "^[a-z0-9]+:(//[^/]*)?", 0)) + 1, F.length(F.lit(base)))
+    files = files.withColumn(
+        "relative_path", F.substring(F.col("path"), F.length(local) + 1, F.length("path"))
     )
     file_rows = files.select(
         base_name("relative_path").alias("name"),
