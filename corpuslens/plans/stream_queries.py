@@ -72,21 +72,30 @@ def scan_progress_batch(t: Tables) -> DataFrame:
     return fl.scan_progress(as_progress(t.events))
 
 
+BLOCK_ROWS = 2000  # documents per file at most, so that no task writes a whole firmware
+
+
 @query(
     "stream_import",
-    """
-    WITH p AS (SELECT source, lang, sum(strlen(text) + 1)::BIGINT AS size FROM documents WHERE source <> 'src0' GROUP BY 1, 2)
-    SELECT sum(size)::BIGINT AS bytes FROM p
+    f"""
+    WITH f AS (SELECT source, string_agg(text || chr(10), '' ORDER BY doc_id) AS content FROM documents
+               GROUP BY source, lang, doc_id // {BLOCK_ROWS})
+    SELECT sum(strlen(content))::BIGINT AS bytes FROM
+      (SELECT DISTINCT content FROM f WHERE content NOT IN (SELECT content FROM f WHERE source = 'src0')) n
     """,
 )
 def stream_import(t: Tables) -> DataFrame:
     """Watch a folder that holds every file twice and some files that are stored already."""
     root = new_work_dir(t.spark, "watched")
-    # One file per firmware and partition, written in a fixed order so that both copies are equal.
-    texts = t.documents.select("doc_id", F.col("source").alias("firmware"), F.col("lang").alias("part"), F.col("text").alias("value"))
-    spread = texts.repartition("firmware", "part").sortWithinPartitions("firmware", "part", "doc_id").drop("doc_id")
+    texts = t.documents.select(
+        "doc_id", F.col("source").alias("firmware"), F.col("lang").alias("part"),
+        F.floor(F.col("doc_id") / BLOCK_ROWS).alias("block"), F.col("text").alias("value"),
+    )
+    # Files are written in a fixed order, so that both copies are equal.
+    keys = ["firmware", "part", "block"]
+    spread_out = texts.repartition(*keys).sortWithinPartitions(*keys, "doc_id").drop("doc_id")
     for copy in ("a", "b"):
-        spread.write.partitionBy("firmware", "part").text(f"{root}/in/{copy}")
+        spread_out.write.partitionBy(*keys).text(f"{root}/in/{copy}")
     known = t.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(
         f"{root}/in/a/firmware=src0"
     ).select(F.md5("content").alias("md5"))
