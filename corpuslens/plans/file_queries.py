@@ -106,7 +106,7 @@ def json_source(t: Tables) -> DataFrame:
 
 @query(
     "report_files",
-    "SELECT item_id, length(text) AS n_chars, 'completed' AS scan_status FROM benchmark",
+    "SELECT item_id, length(text)::INT AS n_chars, 'completed' AS scan_status FROM benchmark",
 )
 def report_files(t: Tables) -> DataFrame:
     """Report documents, one per file."""

@@ -117,7 +117,7 @@ def privacy_status(t: Tables) -> DataFrame:
 @query(
     "tracker_header",
     """
-    SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS handle, len(string_split(regexp_extract(url, '://([^/?#]+)', 1), '.')) AS permissions,
+    SELECT page_id, regexp_extract(url, '://([^/?#]+)', 1) AS handle, len(string_split(regexp_extract(url, '://([^/?#]+)', 1), '.'))::INT AS permissions,
       CASE WHEN html LIKE '%<table%' THEN 1 ELSE 0 END AS tracker_count FROM pages
     """,
 )
@@ -151,7 +151,7 @@ def merged_findings(t: Tables) -> DataFrame:
 
 HTML_SQL = r"""
     SELECT page_id, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title,
-           len(regexp_extract_all(html, '<a href=')) AS links FROM pages
+           len(regexp_extract_all(html, '<a href='))::INT AS links FROM pages
 """
 
 

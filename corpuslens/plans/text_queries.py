@@ -44,7 +44,7 @@ def secret_scan(t: Tables) -> DataFrame:
 
 @query(
     "string_metrics",
-    r"SELECT conv_id, turn, length(text) AS string_length, len(regexp_extract_all(text, '\S+')) AS number_of_words_estimate FROM conversations",
+    r"SELECT conv_id, turn, length(text)::INT AS string_length, len(regexp_extract_all(text, '\S+'))::INT AS number_of_words_estimate FROM conversations",
 )
 def string_metrics(t: Tables) -> DataFrame:
     return t.conversations.select(

@@ -19,7 +19,7 @@ def duckdb_tables():
 def test_query(spark, duckdb_tables, name):
     df = driver.queries()[name](spark, FOLDER)
     if name in ORACLES:
-        assert differences(df, duckdb_tables.execute(ORACLES[name])) is None
+        assert differences(df, duckdb_tables, ORACLES[name]) is None
     else:
         assert len(df.collect()) == df.count()
 

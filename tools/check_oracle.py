@@ -16,12 +16,10 @@ from corpuslens.plans.registry import ORACLES, QUERIES, TABLE_NAMES, Tables  # n
 from corpuslens.session import build_session  # noqa: E402
 
 
-def kind(value):
-    if isinstance(value, bool):
-        return "bool"
-    if isinstance(value, int):
-        return "int"
-    return type(value).__name__
+SQL_TYPES = {
+    "bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN",
+    "timestamp_ntz": "TIMESTAMP", "timestamp": "TIMESTAMP",
+}
 
 
 def duck(folder: str) -> duckdb.DuckDBPyConnection:
@@ -31,22 +29,22 @@ def duck(folder: str) -> duckdb.DuckDBPyConnection:
     return connection
 
 
-def differences(spark_df, relation) -> str | None:
+def differences(spark_df, connection, sql: str) -> str | None:
+    """How a result differs from its SQL twin: columns, types, rows. None if it does not."""
     names = sorted(spark_df.columns)
-    columns = [d[0] for d in relation.description]
-    if sorted(columns) != names:
-        return f"columns {names} against {sorted(columns)}"
-    order = [columns.index(n) for n in names]
-    want = [tuple(row[i] for i in order) for row in relation.fetchall()]
+    there = {row[0]: row[1] for row in connection.execute(f"DESCRIBE {sql}").fetchall()}
+    if sorted(there) != names:
+        return f"columns {names} against {sorted(there)}"
+    types = {name: SQL_TYPES.get(kind, kind) for name, kind in spark_df.dtypes}
+    if types != there:
+        return f"types {[(n, types[n], there[n]) for n in names if types[n] != there[n]]}"
+    quoted = ", ".join('"' + n + '"' for n in names)
+    want = connection.execute(f"SELECT {quoted} FROM ({sql}) q").fetchall()
     got = [tuple(row) for row in spark_df.select(*[f"`{n}`" for n in names]).collect()]
     if Counter(got) != Counter(want):
         extra = list((Counter(got) - Counter(want)).elements())[:3]
         lacking = list((Counter(want) - Counter(got)).elements())[:3]
         return f"{len(got)} rows against {len(want)}; only here {extra}; only there {lacking}"
-    for i, name in enumerate(names):
-        kinds = [{kind(r[i]) for r in rows if r[i] is not None} for rows in (got, want)]
-        if kinds[0] != kinds[1]:
-            return f"type of {name}: {kinds[0]} against {kinds[1]}"
     return None
 
 
@@ -71,7 +69,7 @@ def main() -> int:
         try:
             df = QUERIES[name](Tables(spark, folder))
             if name in ORACLES:
-                problem = differences(df, connection.execute(ORACLES[name]))
+                problem = differences(df, connection, ORACLES[name])
                 rows = connection.execute(f"SELECT count(*) FROM ({ORACLES[name]}) q").fetchone()[0]
             else:
                 rows, problem = df.count(), None
