@@ -74,12 +74,14 @@ def filter_condition(schema: T.StructType, filters: Mapping | None, any_of_list:
 def with_ids(df: DataFrame, ids: Sequence | DataFrame, id_col: str) -> DataFrame:
     """Rows whose id is listed. Short lists reach the file scan, longer ones are a semi join."""
     if isinstance(ids, DataFrame):
-        return df.join(ids.select(F.col(ids.columns[0]).alias(id_col)), id_col, "left_semi")
+        wanted = ids.select(F.col(ids.columns[0]).alias(id_col))
+        return df.join(wanted, id_col, "left_semi").select(*df.columns)
     ids = list(ids)
     if len(ids) <= IN_LIST_ROWS:
         return df.where(F.col(id_col).isin(ids))
     schema = T.StructType([df.schema[id_col]])
-    return df.join(df.sparkSession.createDataFrame([(i,) for i in ids], schema), id_col, "left_semi")
+    wanted = df.sparkSession.createDataFrame([(i,) for i in ids], schema)
+    return df.join(wanted, id_col, "left_semi").select(*df.columns)
 
 
 def scan(
@@ -147,4 +149,4 @@ def distinct_on(df: DataFrame, key: str, id_col: str) -> DataFrame:
     the shuffle; ids are unique, so the second pass picks whole rows by id.
     """
     firsts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(id_col).alias(id_col))
-    return df.join(firsts.select(id_col), id_col, "left_semi")
+    return df.join(firsts.select(id_col), id_col, "left_semi").select(*df.columns)

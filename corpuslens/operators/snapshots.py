@@ -23,7 +23,8 @@ def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str]) -> DataF
 
 def delete_rows(df: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
     """The snapshot without the listed ids; null references stay."""
-    return df.join(ids.select(F.col(ids.columns[0]).alias(id_col)), id_col, "left_anti")
+    gone = ids.select(F.col(ids.columns[0]).alias(id_col))
+    return df.join(gone, id_col, "left_anti").select(*df.columns)
 
 
 def delete_cascade(
