@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
+import public_tokenizers
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_root
-from . import decontamination, line_dedup
-from .common import join_rows, text_key, text_rows
+from . import bpe_codec, decontamination, line_dedup, token_counts
+from .common import batch_of, join_rows, text_key, text_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -90,3 +93,36 @@ def op4(read) -> DataFrame:
 def op9(read) -> DataFrame:
     kept = line_dedup.deduplicate_lines(read("documents"))
     return kept.select(F.col("id").alias("doc_id"), "n_lines", "n_dropped", _sha(F.col("text")).alias("kept_sha256"))
+
+
+TOKEN_LIMIT = 2048
+
+
+@query("op5_token_counts")
+def op5(read) -> DataFrame:
+    counts = token_counts.token_counts(read("documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return counts.select(F.col("id").alias("doc_id"), "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
+_CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
+
+
+def _code_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of ids and decoded texts."""
+    for batch in batches:
+        ids = batch.column("ids").to_pylist()
+        digests = [sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+        texts = [sha256(t.encode()).hexdigest() for t in batch.column("text").to_pylist()]
+        yield batch_of(_CODED, batch.column("id"), [len(x) for x in ids], digests, texts)
+
+
+def coded(documents: DataFrame) -> DataFrame:
+    return bpe_codec.round_trip(
+        documents, public_tokenizers.path("byte_bpe_50k.json"), then=_code_digests,
+        ddl="doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string",
+    )
+
+
+@query("op6_bpe_codec")
+def op6(read) -> DataFrame:
+    return coded(read("documents"))
