@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_root
-from . import bpe_codec, decontamination, line_dedup, token_counts
+from . import bpe_codec, decontamination, line_dedup, token_counts, toxicity
 from .common import batch_of, join_rows, text_key, text_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,25 @@ def _sha(text) -> F.Column:
     return F.sha2(text, 256)
 
 
+def remainder(divisor: int) -> F.Column:
+    """crc32 of an id as text, modulo a number: the rule that sets folds apart."""
+    return F.crc32(F.col("id").cast("string")) % divisor
+
+
+def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    model = toxicity.train(documents, labels, usable=remainder(5) != 0)
+    return toxicity.score_documents(documents, model)
+
+
+@query("op1_toxicity")
+def op1(read) -> DataFrame:
+    scored = toxicity_scores(read("documents"), read("labels"))
+    return scored.select(
+        F.col("id").alias("doc_id"), (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.col("evidence").alias("nearest_examples"),
+    )
+
+
 @query(
     "op4_benchmark_decontamination",
     r"""

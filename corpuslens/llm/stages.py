@@ -5,16 +5,28 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup
+from . import decontamination, line_dedup, queries
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored 0.5 or more go. The label rows are those of the operator's own query."""
+    scored = queries.toxicity_scores(docs, _table(spark, sf_dir, "labels"))
+    toxic = scored.where(F.col("score") >= 0.5).select(F.col("id").alias("_toxic_id")).distinct()
+    return docs.join(toxic, F.col("doc_id").eqNullSafe(F.col("_toxic_id")), "left_anti")
+
+
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return line_dedup.without_shared_lines(docs)
 
 
-def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return decontamination.clean_documents(docs, _table(spark, sf_dir, "benchmark"))
+
+
+def bpe_codec_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage: ids and decoded texts as digests, one row per document that is left."""
+    return queries.coded(docs)
