@@ -34,6 +34,14 @@ def join_rows(left: DataFrame, right: DataFrame, how: str = "inner") -> DataFram
     return left.join(right, same, how).drop("_id", "_text_key")
 
 
+def without_rows(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows, with all their columns, whose (id, text_key) is not among those found."""
+    found = found.select(F.col("id").alias("_found_id"), F.col("text_key").alias("_found_key"))
+    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    same = F.col(f"`{id_col}`").eqNullSafe(F.col("_found_id")) & (key == F.col("_found_key"))
+    return docs.join(found, same, "left_anti")
+
+
 def ascii_lower(value: Column) -> Column:
     """A-Z made lower case, everything else as it is."""
     ascii_only = F.octet_length(value) == F.length(value)

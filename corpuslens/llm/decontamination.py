@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import work_root
-from .common import ascii_lower, join_rows, text_key, text_rows
+from .common import ascii_lower, join_rows, text_key, text_rows, without_rows
 
 WINDOW_WORDS = 13
 BROADCAST_WINDOWS = 200_000
@@ -157,8 +157,5 @@ def contaminated() -> Column:
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows, with all their columns, whose documents are not contaminated."""
-    bad = benchmark_hits(docs, benchmark, id_col, text_col, **options).where(contaminated()).select(
-        F.col("id").alias("_bad_id"), F.col("text_key").alias("_bad_key")
-    )
-    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col("_bad_id")) & (key == F.col("_bad_key")), "left_anti")
+    bad = benchmark_hits(docs, benchmark, id_col, text_col, **options).where(contaminated())
+    return without_rows(docs, bad, id_col, text_col)

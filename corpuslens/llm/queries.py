@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_root
-from . import bpe_codec, decontamination, line_dedup, token_counts, toxicity
+from . import bpe_codec, decontamination, language_mixture, line_dedup, token_counts, toxicity
 from .common import batch_of, join_rows, text_key, text_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,14 +41,14 @@ def remainder(divisor: int) -> F.Column:
     return F.crc32(F.col("id").cast("string")) % divisor
 
 
-def toxicity_scores(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    model = toxicity.train(documents, labels, usable=remainder(5) != 0)
-    return toxicity.score_documents(documents, model)
+def toxicity_model(documents: DataFrame, labels: DataFrame) -> toxicity.ToxicityModel:
+    return toxicity.train(documents, labels, usable=remainder(5) != 0)
 
 
 @query("op1_toxicity")
 def op1(read) -> DataFrame:
-    scored = toxicity_scores(read("documents"), read("labels"))
+    documents = read("documents")
+    scored = toxicity.score_documents(documents, toxicity_model(documents, read("labels")))
     return scored.select(
         F.col("id").alias("doc_id"), (remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"),
         F.col("evidence").alias("nearest_examples"),
@@ -145,3 +145,14 @@ def coded(documents: DataFrame) -> DataFrame:
 @query("op6_bpe_codec")
 def op6(read) -> DataFrame:
     return coded(read("documents"))
+
+
+@query("op7_language_id")
+def op7(read) -> DataFrame:
+    documents = read("documents")
+    model = language_mixture.train(documents, usable=remainder(4) != 2)
+    mixed = language_mixture.infer(documents, model)
+    return mixed.select(
+        F.col("id").alias("doc_id"), (remainder(4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), "score",
+        "languages", "shares",
+    )

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontamination, line_dedup, queries
+from . import decontamination, line_dedup, queries, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,9 +13,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored 0.5 or more go. The label rows are those of the operator's own query."""
-    scored = queries.toxicity_scores(docs, _table(spark, sf_dir, "labels"))
-    toxic = scored.where(F.col("score") >= 0.5).select(F.col("id").alias("_toxic_id")).distinct()
-    return docs.join(toxic, F.col("doc_id").eqNullSafe(F.col("_toxic_id")), "left_anti")
+    return toxicity.without_toxic(docs, queries.toxicity_model(docs, _table(spark, sf_dir, "labels")))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

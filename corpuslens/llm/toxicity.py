@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, sliced, text_rows
+from .common import batch_of, sliced, text_key, text_rows, without_rows
 
 EXAMPLES = 2_500
 FEATURES = 4_000
@@ -39,10 +39,10 @@ MAX_WORD = 64
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
 SCORED = pa.schema(
-    [("id", pa.int64()), ("score", pa.float64()), ("vote", pa.float64()), ("evidence", pa.list_(pa.int64())),
+    [("id", pa.int64()), ("text_key", pa.int64()), ("score", pa.float64()), ("vote", pa.float64()), ("evidence", pa.list_(pa.int64())),
      ("similarities", pa.list_(pa.float64()))]
 )
-SCORED_DDL = "id long, score double, vote double, evidence array<long>, similarities array<double>"
+SCORED_DDL = "id long, text_key long, score double, vote double, evidence array<long>, similarities array<double>"
 
 
 def word_features(word: str) -> list[str]:
@@ -245,13 +245,19 @@ def train(
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, score, vote, evidence, similarities)`` of every row."""
+    """``(id, text_key, score, vote, evidence, similarities)`` of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             rows = [shared.value.score(text) for text in batch.column("text").to_pylist()]
-            yield batch_of(SCORED, batch.column("id"), *(zip(*rows) if rows else ([],) * 4))
+            yield batch_of(SCORED, batch.column("id"), batch.column("text_key"), *(zip(*rows) if rows else ([],) * 4))
 
-    rows = text_rows(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text")
+    rows = text_rows(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), text_key(), "text")
     return rows.mapInArrow(run, SCORED_DDL)
+
+
+def without_toxic(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text", limit: float = 0.5) -> DataFrame:
+    """The rows, with all their columns, that score below ``limit``."""
+    toxic = score_documents(docs, model, id_col, text_col).where(F.col("score") >= limit)
+    return without_rows(docs, toxic, id_col, text_col)
