@@ -9,8 +9,10 @@ from corpuslens.session import new_work_dir
 
 # Every stage takes (spark, docs, sf_dir); all but the last give back the columns of documents.
 STAGES = [
+    ("toxicity", stages.toxicity_stage),
     ("line_dedup", stages.line_dedup_stage),
-    ("benchmark_decontamination", stages.benchmark_decontamination),
+    ("benchmark_decontamination", stages.decontamination_stage),
+    ("bpe_codec", stages.bpe_codec_stage),
 ]
 
 ORACLE_SQL = None  # the stages are tested against brute force
