@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_root
-from . import bpe_codec, decontamination, language_mixture, line_dedup, token_counts, toxicity
+from . import bpe_codec, decontamination, language_mixture, line_dedup, token_counts, toxicity, vector_caps
 from .common import batch_of, join_rows, text_key, text_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,6 +55,31 @@ def op1(read) -> DataFrame:
     )
 
 
+@query(
+    "op2_vector_caps",
+    """
+    WITH RECURSIVE v AS (
+      SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+      WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        AND len([x FOR x IN embedding IF x <> 0]) > 0),
+    links AS (
+      SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+    reach(x, root) AS (
+      SELECT vec_id, vec_id FROM embeddings UNION SELECT y, root FROM reach JOIN links USING (x) WHERE root < y),
+    roots AS (SELECT x, min(root) AS root FROM reach GROUP BY 1),
+    sums AS (SELECT x, count(*) AS n FROM links GROUP BY 1)
+    SELECT vec_id, coalesce(n, 0) AS n_links, root AS component_id, vec_id = root AS kept
+    FROM embeddings JOIN roots ON vec_id = roots.x LEFT JOIN sums ON vec_id = sums.x
+    """,
+)
+def op2(read) -> DataFrame:
+    linked = vector_caps.vector_links(read("embeddings"))
+    return linked.select(
+        F.col("id").alias("vec_id"), "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept")
+    )
+
+
 @query(
     "op4_benchmark_decontamination",
     r"""

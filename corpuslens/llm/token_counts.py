@@ -52,7 +52,8 @@ def frequent_lengths(
             }
         )
 
-    sample = docs.orderBy(F.xxhash64("id", "text")).limit(sample_docs)
+    chosen = docs.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
+    sample = docs.join(F.broadcast(chosen), "id").select("text")
     rows = sample.mapInArrow(count, "piece string, n long, length int")
     table = rows.groupBy("piece").agg(F.sum("n").alias("n"), F.max("length").alias("length"))
     best = table.orderBy(F.desc("n"), "piece").limit(frequent).select("piece", "length").collect()
