@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_root
-from . import bpe_codec, decontamination, language_mixture, line_dedup, token_counts, toxicity, vector_caps
+from . import bpe_codec, decontamination, language_mixture, line_dedup, ngram_join, token_counts, toxicity, vector_caps
 from .common import batch_of, join_rows, text_key, text_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -181,3 +181,26 @@ def op7(read) -> DataFrame:
         F.col("id").alias("doc_id"), (remainder(4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), "score",
         "languages", "shares",
     )
+
+
+@query(
+    "op10_ngram_join",
+    r"""
+    WITH RECURSIVE d AS (
+      SELECT doc_id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+    sh AS (
+      SELECT DISTINCT doc_id, array_to_string(w[s:s + 4], ' ') AS v
+      FROM d, LATERAL unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS t(s) WHERE len(w) > 0),
+    n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1),
+    common AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM sh a JOIN sh b USING (v) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+    links AS (
+      SELECT x, y FROM common JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+    reach(x, root) AS (SELECT doc_id, doc_id FROM d UNION SELECT y, root FROM reach JOIN links USING (x) WHERE root < y)
+    SELECT reach.x AS doc_id, coalesce(max(n), 0) AS n_shingles, min(root) AS component_id
+    FROM reach LEFT JOIN n ON doc_id = reach.x GROUP BY 1
+    """,
+)
+def op10(read) -> DataFrame:
+    linked = ngram_join.linked_documents(read("documents"))
+    return linked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")

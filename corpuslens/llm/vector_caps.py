@@ -22,6 +22,7 @@ others. Null ids are left out of components by name: their component is null.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -136,7 +137,7 @@ class _Chains:
 def _compare(min_cosine: float):
     """All pairs of two slices of one filter (or within one slice): links per node, and chains."""
 
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         name, a, b = key
         pdf = pdf.sort_values(["slice", "node"], kind="stable").reset_index(drop=True)
         vectors = np.stack(pdf["vector"].to_numpy())
