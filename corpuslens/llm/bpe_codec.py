@@ -3,8 +3,8 @@
 A pair of neighbouring bytes that no vocabulary token contains can never be joined: between them
 there is a certain cut. Pre-tokens are cut at all such pairs; the fragments are encoded on their
 own and their ids concatenated, which is the encoding of the whole, since every merge makes a
-vocabulary token and so happens inside one fragment. Fragments are short and recur, so a
-worker remembers the ids of those it has met, up to ``CACHE`` entries.
+vocabulary token and so happens inside one fragment. Pre-tokens recur, so a worker
+remembers the ids of those it has met, up to ``CACHE`` of them.
 
 Cases: null and empty texts have no ids and decode to the empty text; repeated rows give repeated
 results; special tokens inside a text are one id each, as the library has them by default. Ids
@@ -13,6 +13,7 @@ that decode to incomplete UTF-8 give replacement characters; ids outside the voc
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,13 +22,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch_of, byte_values, sliced, text_rows
-from .pretokens import bytes_of, read_file, splitter
+from .common import byte_values, sliced, text_rows
+from .pretokens import DIGITS, LETTERS, bytes_of, read_file, splitter
 
-CACHE = 300_000
-CACHED_BYTES = 256
-# Fixed value: the split pattern of the byte-level vocabulary.
-BYTE_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CACHE = 400_000
+CACHED_LETTERS = 128
+# The split pattern of the byte-level vocabulary: words and digits with the blank before them, short
+# endings, anything else, blanks.
+BYTE_PATTERN = rf" ?[{LETTERS}]+| ?[{DIGITS}]+|'(?:[stmd]|re|ve|ll)| ?[^\s{LETTERS}{DIGITS}]+|\s+(?!\S)|\s+"
 
 ENCODED = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("ids", pa.list_(pa.int32()))])
 ENCODED_DDL = "id long, n_bytes long, ids array<int>"
@@ -35,61 +37,65 @@ DECODED = pa.schema([("id", pa.int64()), ("ids", pa.list_(pa.int32())), ("text",
 DECODED_DDL = "id long, ids array<int>, text string"
 
 
+def id_arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The rows of a column of id lists; null lists are empty."""
+    ends = np.concatenate([[0], np.cumsum(column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+    values = column.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+    return [values[a:b] for a, b in zip(ends, ends[1:])]
+
+
 class Codec:
     def __init__(self, content: str, pattern: str):
         self.split = splitter(content, pattern)
         vocabulary = self.split.tokenizer.get_vocab(with_added_tokens=False)
         self.token_bytes = {i: bytes_of(token) for token, i in vocabulary.items()}
         self.token_bytes |= {i: token.encode() for token, i in self.split.special.items()}
-        joined = np.zeros((256, 256), dtype=bool)
+        self._joined = bytearray(1 << 16)
         for token in self.token_bytes.values():
-            data = np.frombuffer(token, dtype=np.uint8)
-            joined[data[:-1], data[1:]] = True
-        self._joined = joined
-        self._known: dict[bytes, list[int]] = {}
+            for left, right in zip(token, token[1:]):
+                self._joined[left << 8 | right] = 1
+        self._special = {token: np.int32(i).tobytes() for token, i in self.split.special.items()}
+        self._known: dict[str, bytes] = {}
 
     def fragments(self, data: bytes) -> list[bytes]:
         """The bytes cut between every pair that no token contains."""
-        values = np.frombuffer(data, dtype=np.uint8)
-        cuts = np.flatnonzero(~self._joined[values[:-1], values[1:]]) + 1
-        if not len(cuts):
-            return [data]
-        places = [0, *cuts.tolist(), len(data)]
-        return [data[a:b] for a, b in zip(places, places[1:])]
-
-    def _remember(self, data: bytes, ids: list[int]) -> list[int]:
-        if len(data) <= CACHED_BYTES:
+        joined, cut, out = self._joined, 0, []
+        for at, (left, right) in enumerate(zip(data, data[1:]), 1):
+            if not joined[left << 8 | right]:
+                out.append(data[cut:at])
+                cut = at
+        out.append(data[cut:])
+        return out
+
+    def piece_ids(self, piece: str) -> bytes:
+        """The ids of a pre-token, as 32-bit numbers in a row."""
+        ids = [i for fragment in self.fragments(piece.encode()) for i in self.split.tokens(fragment)]
+        packed = array("i", ids).tobytes()
+        if len(piece) <= CACHED_LETTERS:
             if len(self._known) >= CACHE:
                 self._known.clear()
-            self._known[data] = ids
-        return ids
-
-    def _fragment_ids(self, data: bytes) -> list[int]:
-        known = self._known.get(data)
-        return self._remember(data, self.split.tokens(data)) if known is None else known
-
-    def piece_ids(self, piece: bytes) -> list[int]:
-        known = self._known.get(piece)
-        if known is not None:
-            return known
-        fragments = self.fragments(piece)
-        if len(fragments) == 1:
-            return self._fragment_ids(piece)
-        return self._remember(piece, [i for fragment in fragments for i in self._fragment_ids(fragment)])
-
-    def encode(self, text: str) -> list[int]:
-        ids: list[int] = []
-        for part in self.split.parts(text):
-            if part in self.split.special:
-                ids.append(self.split.special[part])
-            else:
-                for piece in self.split.pieces(part):
-                    ids += self.piece_ids(piece.encode())
-        return ids
+            self._known[piece] = packed
+        return packed
 
-    def decode(self, ids) -> str:
-        get = self.token_bytes.get
-        return b"".join([get(i, b"") for i in ids]).decode("utf-8", errors="replace")
+    def encode(self, text: str) -> np.ndarray:
+        packed: list[bytes] = []
+        for part in self.split.parts(text):
+            if part in self._special:
+                packed.append(self._special[part])
+                continue
+            pieces = self.split.pieces(part)
+            found = list(map(self._known.get, pieces))
+            if None in found:
+                found = [self.piece_ids(p) if ids is None else ids for p, ids in zip(pieces, found)]
+            packed += found
+        return np.frombuffer(b"".join(packed), dtype=np.int32)
+
+    def decode(self, ids: np.ndarray) -> str:
+        try:
+            data = b"".join(map(self.token_bytes.__getitem__, ids.tolist()))
+        except KeyError:
+            data = b"".join([self.token_bytes.get(i, b"") for i in ids.tolist()])
+        return data.decode("utf-8", errors="replace")
 
 
 @lru_cache(maxsize=1)
@@ -103,7 +109,10 @@ def encode_batches(shared, pattern: str):
         coder = codec(shared.value, pattern)
         for batch in sliced(batches, 128):
             texts = byte_values(batch.column("text"))
-            yield batch_of(ENCODED, batch.column("id"), [len(t) for t in texts], [coder.encode(t.decode()) for t in texts])
+            ids = [coder.encode(t.decode()) for t in texts]
+            ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, dtype=np.int32), *ids])))
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([len(t) for t in texts], pa.int64()), lists], schema=ENCODED)
 
     return run
 
@@ -113,7 +122,8 @@ def decode_batches(shared, pattern: str):
         coder = codec(shared.value, pattern)
         for batch in sliced(batches, 128):
             ids = batch.column("ids")
-            yield batch_of(DECODED, batch.column("id"), ids, [coder.decode(x or ()) for x in ids.to_pylist()])
+            texts = pa.array([coder.decode(x) for x in id_arrays(ids)], pa.string())
+            yield pa.RecordBatch.from_arrays([batch.column("id"), ids, texts], schema=DECODED)
 
     return run
 

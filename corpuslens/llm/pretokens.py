@@ -1,19 +1,22 @@
 """Pre-tokens of texts, exactly as the tokenizers library makes them, and tokens of one pre-token.
 
 The split pattern is run here where it is sure to give the library's result, and by the library
-itself elsewhere. Sure are texts of code points below U+0250 and general punctuation, without the
-few blanks and controls on which regular-expression engines differ.
+itself elsewhere. Sure are texts of code points below U+0180 and general punctuation, without the
+few blanks and controls on which regular-expression engines differ; there the classes of letters and digits
+are short lists of ranges.
 """
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import lru_cache
 
-import regex
 from tokenizers import Tokenizer
 
-_SURE = regex.compile("[\\x09-\\x0D\\x20-\\x7E¡-ɏ‐-‧‰-⁞]*")
+_SURE = re.compile("[\\x09-\\x0D\\x20-\\x7E¡-ſ‐-‧‰-⁞]*")
+# Letters and digits among the sure code points.
+LETTERS, DIGITS = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾"
 
 
 def read_file(path: str) -> str:
@@ -44,13 +47,13 @@ def bytes_of(letters: str) -> bytes:
 
 
 class Splitter:
-    """Cuts texts into pre-tokens for one tokenizer; ``pattern`` is the split pattern its file names."""
+    """Cuts texts into pre-tokens for one tokenizer; ``pattern`` is its split pattern for sure texts."""
 
     def __init__(self, content: str, pattern: str):
         self.tokenizer = Tokenizer.from_str(content)
-        self._find = regex.compile(pattern).findall
+        self._find = re.compile(pattern).findall
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self._cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split
+        self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self._normalizer = self.tokenizer.normalizer
 
     def parts(self, text: str) -> list[str]:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from hashlib import sha256
 
 import public_tokenizers
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..session import work_root
 from . import bpe_codec, decontamination, language_mixture, line_dedup, ngram_join, token_counts, toxicity, vector_caps
-from .common import batch_of, join_rows, text_key, text_rows
+from .common import batch_of, byte_values, join_rows, text_key, text_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -151,15 +152,19 @@ def op5(read) -> DataFrame:
 _CODED = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
 
 
+_decimal = lru_cache(maxsize=1 << 17)(str)
+
+
 def _code_digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Digests of ids and decoded texts."""
     for batch in batches:
-        ids = batch.column("ids").to_pylist()
-        digests = [sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
-        texts = [sha256(t.encode()).hexdigest() for t in batch.column("text").to_pylist()]
+        ids = [x.tolist() for x in bpe_codec.id_arrays(batch.column("ids"))]
+        digests = [sha256(",".join(map(_decimal, x)).encode()).hexdigest() for x in ids]
+        texts = [sha256(t).hexdigest() for t in byte_values(batch.column("text"))]
         yield batch_of(_CODED, batch.column("id"), [len(x) for x in ids], digests, texts)
 
 
+
 def coded(documents: DataFrame) -> DataFrame:
     return bpe_codec.round_trip(
         documents, public_tokenizers.path("byte_bpe_50k.json"), then=_code_digests,

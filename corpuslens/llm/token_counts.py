@@ -20,13 +20,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, byte_values, sliced, text_rows
-from .pretokens import read_file, splitter
+from .pretokens import DIGITS, LETTERS, read_file, splitter
 
 FREQUENT = 50_000
 SAMPLE_DOCS = 1_000
 CACHE = 200_000
-# Fixed value: the split pattern of the vocabulary with word ends.
-WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+# The split pattern of the vocabulary with word ends: words, single digits, short endings, anything else.
+WORD_PATTERN = rf"[{LETTERS}]+|[{DIGITS}]|'(?:[stmd]|re|ve|ll)|[^\s{LETTERS}{DIGITS}]+"
 
 _COUNTED = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
