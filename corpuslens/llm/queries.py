@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_root
-from . import bpe_codec, decontamination, language_mixture, line_dedup, ngram_join, token_counts, toxicity, vector_caps
+from . import bpe_codec, decontamination, language_mixture, line_dedup, ngram_join, suffix_dedup, token_counts, toxicity, vector_caps
 from .common import batch_of, byte_values, join_rows, text_key, text_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,12 @@ def op7(read) -> DataFrame:
 def op10(read) -> DataFrame:
     linked = ngram_join.linked_documents(read("documents"))
     return linked.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
+@query("op3_suffix_dedup")
+def op3(read) -> DataFrame:
+    kept = suffix_dedup.remove_repeats(read("documents"))
+    return kept.select(
+        F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("span_starts").cast("long").alias("n_spans"), _sha(F.col("kept")).alias("kept_sha256"),
+    )
