@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_root
-from . import bpe_codec, decontamination, language_mixture, line_dedup, ngram_join, suffix_dedup, token_counts, toxicity, vector_caps
+from . import bpe_codec, decontamination, language_mixture, license_scan, line_dedup, ngram_join, suffix_dedup, token_counts, toxicity, vector_caps
 from .common import batch_of, byte_values, join_rows, text_key, text_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,3 +218,14 @@ def op3(read) -> DataFrame:
         F.col("id").alias("doc_id"), "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
         F.size("span_starts").cast("long").alias("n_spans"), _sha(F.col("kept")).alias("kept_sha256"),
     )
+
+
+@query("op8_license_scan")
+def op8(read) -> DataFrame:
+    documents = read("documents")
+    scanned = license_scan.scan_documents(documents, license_scan.train(documents))
+    return scanned.select(
+        F.col("id").alias("doc_id"), "n_paragraphs", F.array_sort(F.array_distinct("families")).alias("families"),
+        F.size("families").cast("long").alias("n_confirmed"), "n_unconfirmed",
+        F.coalesce(F.array_max("confidences"), F.lit(0.0)).alias("score"),
+    )
