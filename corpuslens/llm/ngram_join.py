@@ -28,12 +28,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.similarity import connected_components
 from ..session import work_root
-from .common import Fingerprints, batch_of, byte_values, mixed, sliced, text_rows
+from .common import Fingerprints, batch_of, byte_values, mixed, sliced, text_key, text_rows
 
 SHINGLE_WORDS = 5
 SPREAD = 25 / 16  # a band's largest size over its smallest
@@ -154,13 +154,13 @@ def signatures(row: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, bands:
     return np.concatenate(rows_out), np.concatenate(values_out)
 
 
-_SET_ROWS = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("name", pa.int64())])
+_SET_ROWS = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("name", pa.int64())])
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, 128):
         sizes, node, name = _set_names(*shingle_sets(byte_values(batch.column("text"))), batch.num_rows)
-        yield batch_of(_SET_ROWS, batch.column("id"), sizes, node, name)
+        yield batch_of(_SET_ROWS, batch.column("id"), batch.column("text_key"), sizes, node, name)
 
 
 # Entries of one block for one bucket: signatures, places of their nodes, nodes and their sizes.
@@ -303,11 +303,12 @@ def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, n_shingles, component_id)`` of every row: the size of its set and the smallest id that links reach."""
+    """``(id, text_key, n_shingles, group, component_id)`` of every row: the size of its set, a name of its component, and
+    the smallest id of it."""
     spark = docs.sparkSession
     work_root(spark)
-    rows = text_rows(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text")
-    sets = rows.mapInArrow(_sets_of, "id long, n_shingles long, node long, name long").checkpoint()
+    rows = text_rows(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), text_key(), "text")
+    sets = rows.mapInArrow(_sets_of, "id long, text_key long, n_shingles long, node long, name long").checkpoint()
     usable = sets.where("n_shingles > 0 AND id IS NOT NULL")
     classes = usable.groupBy("node", "name", "n_shingles").agg(F.min("id").alias("first")).checkpoint()
 
@@ -384,7 +385,28 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
     )
     smallest = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    of_node = named.join(smallest, "component").select("node", "name", "component_id")
+    of_node = named.join(smallest, "component").select("node", "name", F.col("component").alias("group"), "component_id")
     found = sets.join(of_node, ["node", "name"], "left")
-    component = F.when(F.col("id").isNull(), F.lit(None)).when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return found.select("id", "n_shingles", component.cast("long").alias("component_id"))
+    linked = F.col("id").isNotNull() & (F.col("n_shingles") > 0)
+    return found.select(
+        "id", "text_key", "n_shingles", F.when(linked, F.col("group")).alias("group"),
+        F.when(linked, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
+    )
+
+
+def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, without those linked to a row of a smaller id; rows without a set stay."""
+    linked = linked_documents(docs, id_col, text_col).where(F.col("group").isNotNull()).select("id", "text_key", "group")
+    firsts = linked.groupBy("group").agg(F.min(F.struct("id", "text_key")).alias("first"))
+    decided = (
+        linked.join(firsts, "group")
+        .groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_text_key"))
+        .agg(F.max(F.struct("id", "text_key") == F.col("first")).alias("_stays"))
+    )
+    key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    own_id = F.col(f"`{id_col}`").cast("long")
+    rows = docs.withColumn("_key", key).join(decided, (own_id == F.col("_id")) & (F.col("_key") == F.col("_text_key")), "left")
+    # Equal rows are copies of each other: the first of them stays.
+    copy = F.row_number().over(Window.partitionBy("_id", "_text_key").orderBy(F.lit(1)))
+    rows = rows.withColumn("_copy", F.when(F.col("_id").isNull(), F.lit(1)).otherwise(copy))
+    return rows.where(F.col("_stays").isNull() | (F.col("_stays") & (F.col("_copy") == 1))).select(*[f"`{c}`" for c in docs.columns])

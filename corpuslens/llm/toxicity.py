@@ -34,7 +34,7 @@ FEATURES = 4_000
 NEIGHBOURS = 15
 BLOCK = 128
 BEGINNINGS = (3, 4, 5, 6, 7)
-LEAST_GAIN = 25.0
+CHANCE = 0.02  # how many useless features may be chosen by chance among all that were looked at
 MAX_WORD = 64
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -75,7 +75,7 @@ def _g_test(with_1, with_0, n_1, n_0):
 class ExampleIndex:
     """Examples as a block-max inverted index over a chosen vocabulary."""
 
-    def __init__(self, ids, labels, texts: list[str], features: int, neighbours: int = NEIGHBOURS, block: int = BLOCK, threshold: float = LEAST_GAIN):
+    def __init__(self, ids, labels, texts: list[str], features: int, neighbours: int = NEIGHBOURS, block: int = BLOCK):
         self.k, self.block = neighbours, block
         labels = np.asarray(labels, dtype=np.int8)
         seen = (Counter(), Counter())
@@ -86,7 +86,7 @@ class ExampleIndex:
         zeros = np.array([seen[0][f] for f in names], dtype=float)
         n_1, n_0 = int(labels.sum()), int(len(labels) - labels.sum())
         gain = _g_test(ones, zeros, n_1, n_0) if names else np.empty(0)
-        order = sorted(np.flatnonzero(gain >= threshold).tolist(), key=lambda i: (-gain[i], names[i]))
+        order = sorted(np.flatnonzero(gain >= np.log(max(2, len(names)) / CHANCE)).tolist(), key=lambda i: (-gain[i], names[i]))
         chosen = order[:features]
         self.vocabulary = {names[i]: j for j, i in enumerate(chosen)}
         self.idf = np.log((1 + len(labels)) / (1 + ones[chosen] + zeros[chosen])) + 1.0
