@@ -11,6 +11,7 @@ from corpuslens.session import new_work_dir
 STAGES = [
     ("toxicity", stages.toxicity_stage),
     ("line_dedup", stages.line_dedup_stage),
+    ("ngram_join", stages.ngram_join_stage),
     ("benchmark_decontamination", stages.decontamination_stage),
     ("bpe_codec", stages.bpe_codec_stage),
 ]
