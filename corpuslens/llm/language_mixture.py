@@ -83,8 +83,10 @@ class LanguageModel:
         return np.exp(np.maximum(logs - logs.max(axis=1, keepdims=True), FLOOR)), text_of
 
     def mixtures(self, texts: list[str]) -> list[tuple[str, float, list[str], list[float]]]:
-        likelihoods, text_of = self.word_likelihoods(texts)
         answers = [(UNKNOWN, 0.0, [], [])] * len(texts)
+        if not self.languages:
+            return answers
+        likelihoods, text_of = self.word_likelihoods(texts)
         if not len(likelihoods):
             return answers
         some, first, n_words = np.unique(text_of, return_index=True, return_counts=True)

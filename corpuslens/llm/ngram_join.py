@@ -32,14 +32,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.similarity import connected_components
-from ..session import work_root
+from ..session import new_work_dir, work_root
 from .common import Fingerprints, batch_of, byte_values, mixed, sliced, text_key, text_rows
 
 SHINGLE_WORDS = 5
 SPREAD = 25 / 16  # a band's largest size over its smallest
 ENUMERATED = 3  # up to this many differing shingles, subsets are enumerated
 SMALL_GROUP = 6
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
+BROADCAST_PAIRS = 200_000
 BLOCK_ROWS = 300_000
 BUCKET_BYTES = 16 << 20
 
@@ -163,55 +164,38 @@ def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch_of(_SET_ROWS, batch.column("id"), batch.column("text_key"), sizes, node, name)
 
 
-# Entries of one block for one bucket: signatures, places of their nodes, nodes and their sizes.
-_PACKED = pa.schema([("bucket", pa.int32()), ("entries", pa.int32()), ("payload", pa.binary()), ("groups", pa.binary())])
-_PACKED_DDL = "bucket int, entries int, payload binary, groups binary"
+# Entries of one block for one bucket, packed; or, in buckets below zero, entries that skip the meeting.
+_PACKED = pa.schema([("bucket", pa.int32()), ("entries", pa.int32()), ("payload", pa.binary())])
+_PACKED_DDL = "bucket int, entries int, payload binary"
 _ENTRY = np.dtype([("signature", "<u8"), ("node", "<i8"), ("size", "<i4")])
-_GROUPS = pa.schema([("group", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("members", pa.int32())])
-_GROUPS_DDL = "group long, node long, size int, members int"
-
-
-def _groups(entries: np.ndarray) -> np.ndarray:
-    """The entries, sorted by signature and node, whose signature has several nodes; of groups with equal
-    nodes only one stays. ``signature`` then names the group."""
-    entries = entries[np.lexsort((entries["node"], entries["signature"]))]
-    if len(entries) < 2:
-        return entries[:0]
-    same = entries["signature"][1:] == entries["signature"][:-1]
-    fresh = np.concatenate([[True], ~(same & (entries["node"][1:] == entries["node"][:-1]))])
+_MEMBERS = pa.schema([("signature", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
+_MEMBERS_DDL = "signature long, node long, size int"
+
+
+def _in_order(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct entries by signature and node; where each signature begins and how many nodes it has."""
+    entries = entries[np.lexsort((entries["size"], entries["node"], entries["signature"]))]
+    turn = entries["signature"][1:] != entries["signature"][:-1]
+    fresh = np.concatenate([[True], turn | (entries["node"][1:] != entries["node"][:-1])])
     entries = entries[fresh]
     first = np.flatnonzero(np.concatenate([[True], entries["signature"][1:] != entries["signature"][:-1]]))
-    count = np.diff(np.concatenate([first, [len(entries)]]))
-    several = count > 1
-    entries, count = entries[np.repeat(several, count)], count[several]
-    if not len(entries):
-        return entries
-    first = np.concatenate([[0], np.cumsum(count)[:-1]])
-    names = np.add.reduceat(mixed(entries["node"].view(np.uint64)), first) + count.astype(np.uint64)
-    _, kept = np.unique(names, return_index=True)
-    stays = np.zeros(len(first), dtype=bool)
-    stays[kept] = True
-    entries = entries[np.repeat(stays, count)].copy()
-    entries["signature"] = np.repeat(names[stays], count[stays])
-    return entries
+    return entries, first, np.diff(np.concatenate([first, [len(entries)]]))
 
 
 def _blocks(buckets: int):
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
-        entries = np.concatenate(parts)
-        grouped = _groups(entries)
-        # One entry per signature goes on to meet other blocks.
-        _, lone = np.unique(entries["signature"], return_index=True)
-        entries = entries[lone]
+        entries, first, count = _in_order(np.concatenate(parts))
+        # One entry per signature goes on to meet other blocks. If the block has more of it, they skip the
+        # meeting, and the one that goes is marked by a negative size: its group is not yet whole.
+        several = count > 1
+        extra = entries[np.repeat(several, count)].copy()
+        entries = entries[first].copy()
+        entries["size"][several] *= -1
         bucket = (entries["signature"] % np.uint64(buckets)).astype(np.int32)
         entries = entries[np.argsort(bucket, kind="stable")]
-        ends = np.cumsum(np.bincount(bucket, minlength=buckets))
-        pieces = np.split(entries, ends[:-1])
-        some = [i for i, piece in enumerate(pieces) if len(piece)]
-        home = int(grouped["signature"][0] % np.uint64(buckets)) if len(grouped) else -1
-        rows = [(i, len(pieces[i]), _pack(pieces[i]), b"") for i in some]
-        if len(grouped):
-            rows.append((home, 0, b"", grouped.tobytes()))
+        pieces = np.split(entries, np.cumsum(np.bincount(bucket, minlength=buckets))[:-1])
+        rows = [(i, len(piece), _pack(piece)) for i, piece in enumerate(pieces) if len(piece)]
+        rows += [(-1 - at % buckets, len(extra[at : at + 10_000]), extra[at : at + 10_000].tobytes()) for at in range(0, len(extra), 10_000)]
         return batch_of(_PACKED, *zip(*rows))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -260,46 +244,38 @@ def _unpack(data: bytes, count: int) -> np.ndarray:
 
 
 def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """All entries of one bucket: the groups of nodes with a common signature."""
-    parts = [_unpack(p, n) for p, n in zip(table.column("payload").to_pylist(), table.column("entries").to_pylist()) if n]
-    found = [_groups(np.concatenate(parts))] if parts else []
-    found += [np.frombuffer(g, dtype=_ENTRY) for g in table.column("groups").to_pylist() if g]
-    entries = np.concatenate(found) if found else np.empty(0, dtype=_ENTRY)
-    members = np.empty(0, dtype=np.int64)
-    if len(entries):
-        order = np.lexsort((entries["node"], entries["signature"]))
-        entries = entries[order]
-        fresh = np.concatenate([[True], (entries["signature"][1:] != entries["signature"][:-1]) | (entries["node"][1:] != entries["node"][:-1])])
-        entries = entries[fresh]
-        _, inverse, count = np.unique(entries["signature"], return_inverse=True, return_counts=True)
-        members = count[inverse]
-    return pa.table([pa.array(entries["signature"].view(np.int64)), pa.array(entries["node"]), pa.array(entries["size"]), pa.array(members.astype(np.int32))], schema=_GROUPS)
-
-
-_VERIFIED = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+    """All entries of one bucket: the signatures that several nodes have, or may have.
+
+    Of the signatures whose nodes are all here, one stays of those with the same nodes.
+    """
+    packed = [(p, n) for p, n in zip(table.column("payload").to_pylist(), table.column("entries").to_pylist())]
+    if key[0].as_py() < 0:
+        entries = np.concatenate([np.frombuffer(p, dtype=_ENTRY) for p, _ in packed])
+    else:
+        entries, first, count = _in_order(np.concatenate([_unpack(p, n) for p, n in packed]))
+        marked = np.minimum.reduceat(entries["size"], first) < 0
+        names = np.add.reduceat(mixed(entries["node"].view(np.uint64)), first) + count.astype(np.uint64)
+        _, kept = np.unique(np.where(marked, mixed(np.arange(len(first), dtype=np.uint64)), names), return_index=True)
+        stays = np.zeros(len(first), dtype=bool)
+        stays[kept] = True
+        entries = entries[np.repeat(marked | (stays & (count > 1)), count)].copy()
+        entries["size"] = np.abs(entries["size"])
+    return pa.table([pa.array(entries["signature"].view(np.int64)), pa.array(entries["node"]), pa.array(entries["size"])], schema=_MEMBERS)
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact comparison of two sets of a pair."""
-    for batch in batches:
-        out = ([], [])
-        for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("src", "dst", "src_set", "dst_set"))):
-            x, y = np.frombuffer(x, dtype="<u8"), np.frombuffer(y, dtype="<u8")
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            if 5 * common >= 4 * (len(x) + len(y) - common):
-                out[0].append(a)
-                out[1].append(b)
-        yield batch_of(_VERIFIED, *out)
-
-
-_NODE_SETS = pa.schema([("node", pa.int64()), ("shingles", pa.binary())])
-
-
-def _packed_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in sliced(batches, 128):
-        row, shingles = shingle_sets(byte_values(batch.column("text")))
-        ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-        yield batch_of(_NODE_SETS, batch.column("node"), [shingles[a:b].tobytes() for a, b in zip(ends, ends[1:])])
+    """Exact comparison of the two sets of every pair."""
+    for batch in sliced(batches, 64):
+        n = batch.num_rows
+        row, shingles = shingle_sets(byte_values(batch.column("src_text")) + byte_values(batch.column("dst_text")))
+        sizes = np.bincount(row, minlength=2 * n)
+        # A shingle that both sets of a pair have comes twice among the pair's shingles.
+        order = np.lexsort((shingles, row % n))
+        pair, shingles = (row % n)[order], shingles[order]
+        twice = (pair[1:] == pair[:-1]) & (shingles[1:] == shingles[:-1])
+        common = np.bincount(pair[1:][twice], minlength=n)
+        linked = pa.array(5 * common >= 4 * (sizes[:n] + sizes[n:] - common))
+        yield batch.select(["src", "dst"]).filter(linked)
 
 
 def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -310,76 +286,80 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = text_rows(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), text_key(), "text")
     sets = rows.mapInArrow(_sets_of, "id long, text_key long, n_shingles long, node long, name long").checkpoint()
     usable = sets.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = usable.groupBy("node", "name", "n_shingles").agg(F.min("id").alias("first")).checkpoint()
+    classes = usable.groupBy("node", "name", "n_shingles").agg(F.min(F.struct("id", "text_key")).alias("first")).select(
+        "node", "name", F.col("first.id").alias("first"), F.col("first.text_key").alias("first_key")
+    ).checkpoint()
 
-    total = classes.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
+    total = usable.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 6 // BUCKET_BYTES + 1)
-    groups = (
+    members = (
         rows.where(F.col("id").isNotNull()).select("text").mapInArrow(_blocks(buckets), _PACKED_DDL)
-        .groupBy("bucket").applyInArrow(_meet, _GROUPS_DDL)
+        .groupBy("bucket").applyInArrow(_meet, _MEMBERS_DDL)
+        .distinct()
         .checkpoint()
     )
-    small = groups.where(F.col("members") <= SMALL_GROUP)
-    large = groups.where(F.col("members") > SMALL_GROUP).select("group", "node", "size").distinct()
+    # Signatures with the same nodes are one group; groups of one node are none.
+    alike = members.groupBy("signature").agg(
+        F.count("*").alias("members"), F.bit_xor(F.xxhash64("node")).alias("a"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("b")
+    )
+    whole = alike.where("members > 1").groupBy("members", "a", "b").agg(F.min("signature").alias("signature"))
+    groups = members.join(whole.select("signature", "members"), "signature").withColumnRenamed("signature", "group").checkpoint()
+    small, large = groups.where(F.col("members") <= SMALL_GROUP), groups.where(F.col("members") > SMALL_GROUP)
+    wanted = groups.select("node").distinct().join(classes, "node").select("node", "first", F.col("first_key").alias("text_key"))
+    texts = (
+        rows.join(wanted.withColumnRenamed("first", "id"), ["id", "text_key"]).dropDuplicates(["node"]).select("node", "text")
+        .write.parquet(path := new_work_dir(spark, "texts"))
+    )
+    texts = spark.read.parquet(path)
 
     def fitting(a: str, b: str):
         return (5 * F.least(a, b)) >= (4 * F.greatest(a, b))
 
-    other = small.select("group", F.col("node").alias("dst"), F.col("size").alias("dst_size"))
-    pairs = (
-        small.select("group", F.col("node").alias("src"), F.col("size").alias("src_size"))
-        .join(other, "group").where("src < dst").where(fitting("src_size", "dst_size")).select("src", "dst")
-    )
-
-    def star(members: DataFrame) -> DataFrame:
-        """Pairs with the lowest member of every group."""
-        hub = members.groupBy("group").agg(F.min(F.struct("node", "size")).alias("hub"))
-        return (
-            members.join(hub, "group").where("node <> hub.node").where(fitting("size", "hub.size"))
-            .select(F.col("hub.node").alias("src"), F.col("node").alias("dst"))
+    def joined(left: DataFrame, right: DataFrame) -> DataFrame:
+        """Pairs of members of one group that sizes do not rule out."""
+        pairs = left.select("group", F.col("node").alias("src"), F.col("size").alias("src_size"), F.col("in").alias("src_in")).join(
+            right.select("group", F.col("node").alias("dst"), F.col("size").alias("dst_size"), F.col("in").alias("dst_in")), "group"
         )
+        fit = fitting("src_size", "dst_size") & (F.col("src") != F.col("dst")) & (F.col("src_in") != F.col("dst_in"))
+        return pairs.where(fit).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
-    texts = None
+    def hubs(open_groups: DataFrame) -> DataFrame:
+        """The lowest member of every group."""
+        lowest = open_groups.groupBy("group").agg(F.min(F.struct("node", "size", "in")).alias("hub"))
+        return lowest.select("group", "hub.node", "hub.size", "hub.in")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        nonlocal texts
         pairs = pairs.distinct().checkpoint()
-        if texts is None:
-            wanted = groups.select("node").distinct().join(classes, "node").select("node", F.col("first").alias("id"))
-            texts = rows.join(wanted, "id").dropDuplicates(["node"]).select("node", "text").mapInArrow(
-                _packed_sets, "node long, shingles binary"
-            ).checkpoint()
-        src = texts.select(F.col("node").alias("src"), F.col("shingles").alias("src_set"))
-        dst = texts.select(F.col("node").alias("dst"), F.col("shingles").alias("dst_set"))
-        return pairs.join(src, "src").join(dst, "dst").select("src", "dst", "src_set", "dst_set").mapInArrow(
-            _verify, "src long, dst long"
-        ).checkpoint()
-
-    links = verified(pairs.unionByName(star(large)))
+        src = texts.select(F.col("node").alias("src"), F.col("text").alias("src_text"))
+        dst = texts.select(F.col("node").alias("dst"), F.col("text").alias("dst_text"))
+        if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
+            # Only the texts of pairs move.
+            few = F.broadcast(pairs)
+            both = src.join(few, "src").join(dst.join(few, "dst"), ["src", "dst"])
+        else:
+            both = pairs.join(src, "src").join(dst, "dst")
+        return both.select("src", "dst", "src_text", "dst_text").mapInArrow(_verify, "src long, dst long").checkpoint()
+
+    def apart(open_groups: DataFrame, components: DataFrame) -> DataFrame:
+        """Members with the component they are in, of the groups that are in several."""
+        placed = open_groups.drop("in").join(components, "node", "left").withColumn("in", F.coalesce("component", "node")).drop("component")
+        split = placed.groupBy("group").agg(F.min("in").alias("a"), F.max("in").alias("b")).where("a <> b").select("group")
+        return placed.join(split, "group", "left_semi")
+
+    small, large = small.withColumn("in", F.col("node")), large.withColumn("in", F.col("node"))
+    links = verified(joined(small, small).unionByName(joined(large, hubs(large))))
     components = connected_components(links).checkpoint()
-    spent = star(large).select("src").limit(0)
     open_groups = large
     for turn in range(HUB_ROUNDS + 1):
-        placed = (
-            open_groups.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        )
-        split = placed.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b")
-        if turn < HUB_ROUNDS:
-            # The hub has been compared with every member of its group: it leaves.
-            hub = open_groups.groupBy("group").agg(F.min("node").alias("node"))
-            placed = placed.join(hub, ["group", "node"], "left_anti")
-        placed = placed.join(split.select("group"), "group", "left_semi").select("group", "node", "size", "component").checkpoint()
-        if placed.isEmpty():
+        # The last hub has been compared with every member of its group: it need not be again.
+        spent = hubs(open_groups).select("group", "node")
+        open_groups = apart(open_groups, components).join(spent, ["group", "node"], "left_anti").checkpoint()
+        if open_groups.isEmpty():
             break
-        open_groups = placed.select("group", "node", "size")
-        if turn < HUB_ROUNDS:
-            more = star(placed)
-        else:
-            left = placed.select("group", F.col("node").alias("src"), F.col("size").alias("src_size"), F.col("component").alias("src_in"))
-            right = placed.select("group", F.col("node").alias("dst"), F.col("size").alias("dst_size"), F.col("component").alias("dst_in"))
-            more = left.join(right, "group").where("src < dst AND src_in <> dst_in").where(fitting("src_size", "dst_size")).select("src", "dst")
-        links = links.unionByName(verified(more))
-        components = connected_components(links).checkpoint()
+        found = verified(joined(open_groups, hubs(open_groups) if turn < HUB_ROUNDS else open_groups))
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            components = connected_components(links).checkpoint()
 
     named = (
         classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -36,7 +36,7 @@ from .common import batch_of
 
 MIN_COSINE = 0.95
 PARTS = 2
-FILTERS = 16.0
+FILTERS = 24.0
 BUCKET = 200
 SLICE = 512
 SEED = 20
