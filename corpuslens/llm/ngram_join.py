@@ -11,10 +11,11 @@ partitions. Sets are handled per band of sizes, so that h is bounded there by so
   so each set needs to show only its first k + 1 in an order common to all sets: those of most shingles first.
 
 Equal sets are one node. Signatures are made and met in packed blocks: a block first combines its own
-equal signatures, so a signature that very many sets share meets others once per block. Groups of a few members give all their
-pairs; large groups give the pairs with one member (a hub) at a time, and only until their members
-are in one component; pairs inside a component are never made. Every pair is verified on the exact sets, and none that is
-not yet joined is left out.
+equal signatures, so a signature that very many sets share meets others once per block. Every set has a sketch
+that bounds from below in how many shingles two sets differ. Groups of a few members give the pairs that the sketches leave; large ones
+give those with one member, the hub, and then, slice by slice, those across the components that the hubs' links
+have made: pairs inside a component are never looked at, and of the others only those that the sketches leave become rows.
+Every such pair is verified on the whole texts.
 
 Cases: null and empty texts and texts of blanks have no set and link with nothing; fewer than five
 words are one shingle; rows without an id have no component. Repeated rows link like any equal sets.
@@ -39,7 +40,7 @@ SHINGLE_WORDS = 5
 SPREAD = 25 / 16  # a band's largest size over its smallest
 ENUMERATED = 3  # up to this many differing shingles, subsets are enumerated
 SMALL_GROUP = 6
-HUB_ROUNDS = 2
+SLICE = 1_024
 BROADCAST_PAIRS = 200_000
 BLOCK_ROWS = 300_000
 BUCKET_BYTES = 16 << 20
@@ -155,13 +156,25 @@ def signatures(row: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, bands:
     return np.concatenate(rows_out), np.concatenate(values_out)
 
 
-_SET_ROWS = pa.schema([("id", pa.int64()), ("text_key", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.int64()), ("name", pa.int64())])
+SKETCH_WORDS = 8
+_SKETCH = [f"sketch{i}" for i in range(SKETCH_WORDS)]
+_SET_ROWS = pa.schema([(c, pa.int64()) for c in ("id", "text_key", "n_shingles", "node", "name", *_SKETCH)])
+_SET_DDL = ", ".join(f"{c} long" for c in _SET_ROWS.names)
+
+
+def _sketches(row: np.ndarray, shingles: np.ndarray, rows: int) -> np.ndarray:
+    """Parities of each set's shingles over 512 cells: two sketches differ in no more bits than the sets in shingles."""
+    bits = SKETCH_WORDS * 64
+    cell = (mixed(shingles ^ np.uint64(0xA4093822299F31D0)) % np.uint64(bits)).astype(np.int64)
+    odd = np.bincount(row * bits + cell, minlength=rows * bits).reshape(rows, bits) & 1
+    return np.packbits(odd.astype(bool), axis=1).view("<i8")
 
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, 128):
-        sizes, node, name = _set_names(*shingle_sets(byte_values(batch.column("text"))), batch.num_rows)
-        yield batch_of(_SET_ROWS, batch.column("id"), batch.column("text_key"), sizes, node, name)
+        row, shingles = shingle_sets(byte_values(batch.column("text")))
+        names = _set_names(row, shingles, batch.num_rows)
+        yield batch_of(_SET_ROWS, batch.column("id"), batch.column("text_key"), *names, *_sketches(row, shingles, batch.num_rows).T)
 
 
 # Entries of one block for one bucket, packed; or, in buckets below zero, entries that skip the meeting.
@@ -278,17 +291,41 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["src", "dst"]).filter(linked)
 
 
+_PAIRS = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
+
+
+def _across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Pairs of two slices of a group, in different components, that sizes and sketches do not rule out."""
+    _, a, b = (k.as_py() for k in key)
+    slice_of, node, size, component = (table.column(c).to_numpy() for c in ("slice", "node", "size", "component"))
+    sketch = np.stack([table.column(c).to_numpy() for c in _SKETCH], axis=1).view(np.uint64)
+    left, right = np.flatnonzero(slice_of == a), np.flatnonzero(slice_of == b)
+    src, dst = [], []
+    for start in range(0, len(left), 64):
+        some = left[start : start + 64]
+        differing = np.zeros((len(some), len(right)), dtype=np.int32)
+        for word in range(SKETCH_WORDS):
+            differing += np.bitwise_count(sketch[some, word][:, None] ^ sketch[right, word][None, :])
+        sizes = size[some][:, None] + size[right][None, :]
+        apart = component[some][:, None] != component[right][None, :]
+        i, j = np.nonzero(apart & (9 * differing <= sizes) & (9 * np.abs(size[some][:, None] - size[right][None, :]) <= sizes))
+        src.append(np.minimum(node[some[i]], node[right[j]]))
+        dst.append(np.maximum(node[some[i]], node[right[j]]))
+    src, dst = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (src, dst))
+    return pa.table([pa.array(src), pa.array(dst)], schema=_PAIRS)
+
+
 def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, text_key, n_shingles, group, component_id)`` of every row: the size of its set, a name of its component, and
     the smallest id of it."""
     spark = docs.sparkSession
     work_root(spark)
     rows = text_rows(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), text_key(), "text")
-    sets = rows.mapInArrow(_sets_of, "id long, text_key long, n_shingles long, node long, name long").checkpoint()
+    sets = rows.mapInArrow(_sets_of, _SET_DDL).checkpoint()
     usable = sets.where("n_shingles > 0 AND id IS NOT NULL")
-    classes = usable.groupBy("node", "name", "n_shingles").agg(F.min(F.struct("id", "text_key")).alias("first")).select(
-        "node", "name", F.col("first.id").alias("first"), F.col("first.text_key").alias("first_key")
-    ).checkpoint()
+    classes = usable.groupBy("node", "name", "n_shingles").agg(
+        F.min(F.struct("id", "text_key")).alias("first"), *(F.first(c).alias(c) for c in _SKETCH)
+    ).select("node", "name", F.col("first.id").alias("first"), F.col("first.text_key").alias("first_key"), *_SKETCH).checkpoint()
 
     total = usable.agg(F.coalesce(F.sum("n_shingles"), F.lit(0))).first()[0]
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * 6 // BUCKET_BYTES + 1)
@@ -304,6 +341,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     whole = alike.where("members > 1").groupBy("members", "a", "b").agg(F.min("signature").alias("signature"))
     groups = members.join(whole.select("signature", "members"), "signature").withColumnRenamed("signature", "group").checkpoint()
+    groups = groups.join(classes.select("node", *_SKETCH), "node")
     small, large = groups.where(F.col("members") <= SMALL_GROUP), groups.where(F.col("members") > SMALL_GROUP)
     wanted = groups.select("node").distinct().join(classes, "node").select("node", "first", F.col("first_key").alias("text_key"))
     texts = (
@@ -312,21 +350,22 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     texts = spark.read.parquet(path)
 
-    def fitting(a: str, b: str):
-        return (5 * F.least(a, b)) >= (4 * F.greatest(a, b))
-
     def joined(left: DataFrame, right: DataFrame) -> DataFrame:
-        """Pairs of members of one group that sizes do not rule out."""
-        pairs = left.select("group", F.col("node").alias("src"), F.col("size").alias("src_size"), F.col("in").alias("src_in")).join(
-            right.select("group", F.col("node").alias("dst"), F.col("size").alias("dst_size"), F.col("in").alias("dst_in")), "group"
+        """Pairs of members of one group that sizes and sketches do not rule out."""
+        left = left.select("group", *(F.col(c).alias(f"src_{c}") for c in ("node", "size", *_SKETCH)))
+        right = right.select("group", *(F.col(c).alias(f"dst_{c}") for c in ("node", "size", *_SKETCH)))
+        differing = sum((F.bit_count(F.col(f"src_{c}").bitwiseXOR(F.col(f"dst_{c}"))) for c in _SKETCH), F.lit(0))
+        sizes = F.col("src_size") + F.col("dst_size")
+        fit = (9 * differing <= sizes) & (9 * F.abs(F.col("src_size") - F.col("dst_size")) <= sizes)
+        return (
+            left.join(right, "group").where((F.col("src_node") < F.col("dst_node")) & fit)
+            .select(F.col("src_node").alias("src"), F.col("dst_node").alias("dst"))
         )
-        fit = fitting("src_size", "dst_size") & (F.col("src") != F.col("dst")) & (F.col("src_in") != F.col("dst_in"))
-        return pairs.where(fit).select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"))
 
-    def hubs(open_groups: DataFrame) -> DataFrame:
+    def hubs(groups: DataFrame) -> DataFrame:
         """The lowest member of every group."""
-        lowest = open_groups.groupBy("group").agg(F.min(F.struct("node", "size", "in")).alias("hub"))
-        return lowest.select("group", "hub.node", "hub.size", "hub.in")
+        lowest = groups.groupBy("group").agg(F.min(F.struct("node", "size", *_SKETCH)).alias("hub"))
+        return lowest.select("group", *(f"hub.{c}" for c in ("node", "size", *_SKETCH)))
 
     def verified(pairs: DataFrame) -> DataFrame:
         pairs = pairs.distinct().checkpoint()
@@ -340,26 +379,26 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             both = pairs.join(src, "src").join(dst, "dst")
         return both.select("src", "dst", "src_text", "dst_text").mapInArrow(_verify, "src long, dst long").checkpoint()
 
-    def apart(open_groups: DataFrame, components: DataFrame) -> DataFrame:
-        """Members with the component they are in, of the groups that are in several."""
-        placed = open_groups.drop("in").join(components, "node", "left").withColumn("in", F.coalesce("component", "node")).drop("component")
-        split = placed.groupBy("group").agg(F.min("in").alias("a"), F.max("in").alias("b")).where("a <> b").select("group")
-        return placed.join(split, "group", "left_semi")
-
-    small, large = small.withColumn("in", F.col("node")), large.withColumn("in", F.col("node"))
-    links = verified(joined(small, small).unionByName(joined(large, hubs(large))))
+    links = verified(joined(small, small).unionByName(joined(hubs(large), large)))
     components = connected_components(links).checkpoint()
-    open_groups = large
-    for turn in range(HUB_ROUNDS + 1):
-        # The last hub has been compared with every member of its group: it need not be again.
-        spent = hubs(open_groups).select("group", "node")
-        open_groups = apart(open_groups, components).join(spent, ["group", "node"], "left_anti").checkpoint()
-        if open_groups.isEmpty():
-            break
-        found = verified(joined(open_groups, hubs(open_groups) if turn < HUB_ROUNDS else open_groups))
-        if not found.isEmpty():
-            links = links.unionByName(found)
-            components = connected_components(links).checkpoint()
+
+    # Members of large groups that hubs have not brought together: all pairs across components, in slices.
+    placed = large.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    split = placed.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("group")
+    slices = F.ceil(F.col("members") / SLICE).cast("int")
+    sliced_members = placed.join(split, "group", "left_semi").withColumn("slices", slices).withColumn(
+        "slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+    )
+    both = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(F.least("slice", s).alias("a"), F.greatest("slice", s).alias("b")))
+    across = (
+        sliced_members.withColumn("pair", F.explode(both))
+        .select("group", "pair.a", "pair.b", "slice", "node", "size", "component", *_SKETCH)
+        .groupBy("group", "a", "b").applyInArrow(_across, "src long, dst long")
+    )
+    found = verified(across)
+    if not found.isEmpty():
+        links = links.unionByName(found)
+        components = connected_components(links).checkpoint()
 
     named = (
         classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))

@@ -122,9 +122,10 @@ def test_join_equals_brute_force(make_docs, awkward):
     assert sorted(str((r.id, r.n_shingles, r.component_id)) for r in got.collect()) == join_by_hand(rows)
 
 
-def test_join_with_large_groups_in_hub_rounds(make_docs, monkeypatch):
+def test_join_with_large_groups_in_slices(make_docs, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL_GROUP", 2)
-    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", 2)
+    monkeypatch.setattr(ngram_join, "SLICE", 3)
+    monkeypatch.setattr(ngram_join, "BROADCAST_PAIRS", 0)
     rows = documents()
     got = ngram_join.linked_documents(make_docs(rows))
     assert sorted(str((r.id, r.n_shingles, r.component_id)) for r in got.collect()) == join_by_hand(rows)
