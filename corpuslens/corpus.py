@@ -82,6 +82,8 @@ class Corpus:
 
     def without(self, parent: str, ids: DataFrame) -> dict[str, DataFrame]:
         """The tables as they are after deleting rows of a parent table with all that depends on them."""
-        children = CASCADES.get(parent, {})
-        tables = {name: self.table(name) for name in (parent, *children)}
-        return snapshots.delete_cascade(tables, parent, ids, "id", children)
+        names = [parent]
+        for name in names:
+            names += [child for child in CASCADES.get(name, {}) if child not in names]
+        tables = {name: self.table(name) for name in names}
+        return snapshots.delete_cascade(tables, parent, ids, "id", CASCADES)

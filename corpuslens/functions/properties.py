@@ -14,33 +14,43 @@ PARSE_ERROR = {"error": "could not parse build.prop properties"}
 UNKNOWN_VENDOR = "Unknown"
 
 
+def stripped_line(line: Column | str) -> Column:
+    """A line without the white space at its end, a carriage return or tab included."""
+    return F.regexp_replace(as_col(line), r"[\s\x{1C}-\x{1F}\x{85}\p{Z}]+$", "")
+
+
 def is_property_line(line: Column | str) -> Column:
     """A line counts if it holds exactly one equals sign; comment lines are not special."""
-    return F.size(F.split(F.rtrim(as_col(line)), "=")) == 2
+    return F.size(F.split(stripped_line(line), "=")) == 2
 
 
 def property_key(line: Column | str) -> Column:
-    return F.replace(F.split(F.rtrim(as_col(line)), "=")[0], F.lit("."), F.lit("_"))
+    return F.replace(F.split(stripped_line(line), "=")[0], F.lit("."), F.lit("_"))
 
 
 def property_value(line: Column | str) -> Column:
-    return F.split(F.rtrim(as_col(line)), "=")[1]
+    return F.split(stripped_line(line), "=")[1]
 
 
 def parse_properties(lines: Column | str) -> Column:
     """An ordered array of lines as a map. A key that occurs again takes its last value."""
-    kept = F.filter(as_col(lines), is_property_line)
-    keys = F.transform(kept, property_key)
-    pairs = F.transform(
-        kept,
-        lambda line, i: F.struct(
-            property_key(line).alias("key"), property_value(line).alias("value"), i.alias("at")
-        ),
+    split = F.transform(as_col(lines), lambda line: F.split(stripped_line(line), "="))
+    kept = F.filter(split, lambda parts: F.size(parts) == 2)
+    pairs = F.array_sort(
+        F.transform(
+            kept,
+            lambda parts, i: F.struct(
+                F.replace(parts[0], F.lit("."), F.lit("_")).alias("key"), i.alias("at"), parts[1].alias("value")
+            ),
+        )
     )
+    # Sorted by key and place, the last of a key is the one whose successor has another key.
+    follows = F.concat(F.slice(pairs, 2, F.greatest(F.size(pairs), F.lit(1))), F.slice(pairs, -1, 1))
     newest = F.filter(
-        pairs, lambda p: p["at"] == F.size(keys) - F.array_position(F.reverse(keys), p["key"])
+        F.zip_with(pairs, follows, lambda p, q: F.struct(p.alias("own"), ((p["key"] != q["key"]) | (p["at"] == q["at"])).alias("last"))),
+        lambda z: z["last"],
     )
-    parsed = F.map_from_entries(F.transform(newest, lambda p: F.struct(p["key"], p["value"])))
+    parsed = F.map_from_entries(F.transform(newest, lambda z: F.struct(z["own"]["key"], z["own"]["value"])))
     failed = F.create_map(*[F.lit(v) for item in PARSE_ERROR.items() for v in item])
     return F.when(F.size(kept) > 0, parsed).otherwise(failed)
 

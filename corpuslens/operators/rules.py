@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import unfold
+from ..session import work_root
 
 RULE_SCHEMA = (
     "crime string, permission array<string>, "
@@ -210,20 +211,28 @@ def callers_of(edges: DataFrame, flagged: DataFrame, name_pattern: str) -> DataF
     )
 
 
-def ancestors(hierarchy: DataFrame, max_depth: int) -> DataFrame:
-    """All superclasses of each class from ``hierarchy(name, extends)``, up to a depth no class tree exceeds.
+def ancestors(hierarchy: DataFrame) -> DataFrame:
+    """All superclasses of each class from ``hierarchy(name, extends)``, with the smallest number of steps to them.
 
-    Each level joins the parents reached so far with the table once.
+    Each level is one join of the classes reached last with the table, stored before the next one, until
+    nothing new is reached. In a cycle a class is an ancestor of itself, once.
     """
-    level = hierarchy.select("name", F.col("extends").alias("ancestor"), F.lit(1).alias("depth"))
-    reached = level
-    step = hierarchy.select(F.col("name").alias("ancestor"), F.col("extends").alias("_next"))
-    for depth in range(2, max_depth + 1):
-        level = level.join(step, "ancestor").select(
-            "name", F.col("_next").alias("ancestor"), F.lit(depth).alias("depth")
+    work_root(hierarchy.sparkSession)
+    known = hierarchy.where(F.col("extends").isNotNull())
+    step = known.select(F.col("name").alias("ancestor"), F.col("extends").alias("_next"))
+    level = known.select("name", F.col("extends").alias("ancestor"), F.lit(1).alias("depth")).distinct().checkpoint()
+    reached, depth = level, 1
+    while not level.isEmpty():
+        depth += 1
+        level = (
+            level.join(step, "ancestor")
+            .select("name", F.col("_next").alias("ancestor"), F.lit(depth).alias("depth"))
+            .distinct()
+            .join(reached.select("name", "ancestor"), ["name", "ancestor"], "left_anti")
+            .checkpoint()
         )
         reached = reached.unionByName(level)
-    return reached.where(F.col("ancestor").isNotNull())
+    return reached
 
 
 def call_edges(classes: DataFrame) -> DataFrame:

@@ -76,11 +76,13 @@ def with_ids(df: DataFrame, ids: Sequence | DataFrame, id_col: str) -> DataFrame
     if isinstance(ids, DataFrame):
         wanted = ids.select(F.col(ids.columns[0]).alias(id_col))
         return df.join(wanted, id_col, "left_semi").select(*df.columns)
-    ids = list(ids)
-    if len(ids) <= IN_LIST_ROWS:
-        return df.where(F.col(id_col).isin(ids))
-    schema = T.StructType([df.schema[id_col]])
-    wanted = df.sparkSession.createDataFrame([(i,) for i in ids], schema)
+    # Both forms compare values of the column's type, cast from the texts of the ids.
+    kind = df.schema[id_col].dataType
+    texts = [str(i) for i in ids if i is not None]
+    if len(texts) <= IN_LIST_ROWS:
+        return df.where(F.col(id_col).isin([F.lit(i).try_cast(kind) for i in texts])) if texts else df.limit(0)
+    listed = df.sparkSession.createDataFrame([(i,) for i in texts], "id string")
+    wanted = listed.select(F.col("id").try_cast(kind).alias(id_col))
     return df.join(wanted, id_col, "left_semi").select(*df.columns)
 
 

@@ -8,12 +8,10 @@ entry per task.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..catalog import TOP_VALUES_ROWS
 from ..functions import unfold
 
 
@@ -131,15 +129,17 @@ def totals(df: DataFrame, size: Column, unique: Mapping[str, Column]) -> DataFra
     )
 
 
-def top_values(counts: DataFrame, attributes: Sequence[str], rows: int = TOP_VALUES_ROWS) -> DataFrame:
-    """The most frequent values of each attribute. One bounded sort per attribute, of counted values."""
-    best = [
-        counts.where(F.col("attribute") == name).orderBy(F.desc("n"), "value").limit(rows)
-        for name in attributes
-    ]
-    return reduce(DataFrame.unionByName, best)
+def top_values(counts: DataFrame, attributes: Sequence[str], rows: int) -> DataFrame:
+    """The most frequent values of each attribute, from one pass over the counted values.
 
+    The rank limit reaches below the shuffle: a task passes on no more than ``rows`` rows per attribute.
+    """
+    rank = F.row_number().over(Window.partitionBy("attribute").orderBy(F.desc("n"), "value"))
+    wanted = counts.where(F.col("attribute").isin(list(attributes)))
+    return wanted.withColumn("_rank", rank).where(F.col("_rank") <= rows).drop("_rank")
 
-def attributes_within(counts: DataFrame, limit: int = TOP_VALUES_ROWS) -> DataFrame:
-    """Attributes that have no more distinct values than the limit, for consumers with a size guard."""
-    return counts.groupBy("attribute").agg(F.count("*").alias("values")).where(F.col("values") <= limit)
+
+def attributes_within(counts: DataFrame, limit: int) -> DataFrame:
+    """Every attribute with its number of distinct values, and whether that is over the limit of a consumer."""
+    sizes = counts.groupBy("attribute").agg(F.count("*").alias("values"))
+    return sizes.withColumn("over_limit", F.col("values") > limit)

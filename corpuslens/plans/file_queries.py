@@ -37,10 +37,10 @@ def file_inventory(t: Tables) -> DataFrame:
     """Directories of the tree, and the bytes of the files in each."""
     rows = fs.file_inventory(t.spark, document_tree(t), F.lit("system"))
     directories = rows.where("is_directory").select(
-        F.substring("relative_path", 2, 1000).alias("folder"), "is_directory", F.col("size").alias("bytes")
+        F.expr("substring(relative_path, 2)").alias("folder"), "is_directory", F.col("size").alias("bytes")
     )
     files = rows.where(~F.col("is_directory") & F.col("name").endswith(".txt"))
-    folder = F.regexp_replace(F.substring("relative_path", 2, 1000), "/[^/]*$", "")
+    folder = F.regexp_replace(F.expr("substring(relative_path, 2)"), "/[^/]*$", "")
     return directories.unionByName(
         files.groupBy(folder.alias("folder"), "is_directory").agg(F.sum("size").alias("bytes"))
     )

@@ -193,7 +193,7 @@ def class_hierarchy(t: Tables) -> DataFrame:
     tree = customers.select(F.col("c_name").alias("name"), F.col("n_name").alias("extends")).unionByName(
         nations.select(F.col("n_name").alias("name"), F.col("r_name").alias("extends"))
     )
-    return rl.ancestors(tree, max_depth=4)
+    return rl.ancestors(tree)
 
 
 @query(

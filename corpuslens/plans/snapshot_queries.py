@@ -34,17 +34,24 @@ def upsert_snapshot(t: Tables) -> DataFrame:
 @query(
     "cascade_delete",
     """
-    WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')
-    SELECT 'orders' AS kept_in, count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM gone)
+    WITH gone AS (SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING')
+    SELECT 'customer' AS kept_in, count(*) AS n FROM customer WHERE c_mktsegment <> 'BUILDING'
+    UNION ALL SELECT 'orders', count(*) FROM orders WHERE o_orderkey NOT IN (SELECT o_orderkey FROM gone)
     UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone)
     """,
 )
 def cascade_delete(t: Tables) -> DataFrame:
-    tables = {"orders": t.orders.select("o_orderkey"), "lineitem": t.lineitem.select("l_orderkey")}
-    gone = t.orders.where("o_orderstatus = 'F'").select("o_orderkey")
-    kept = sn.delete_cascade(tables, "orders", gone, "o_orderkey", {"lineitem": "l_orderkey"})
+    """Three levels: customers, their orders, the lines of these."""
+    tables = {
+        "customer": t.customer.select("c_custkey"),
+        "orders": t.orders.select("o_orderkey", "o_custkey"),
+        "lineitem": t.lineitem.select("l_orderkey"),
+    }
+    gone = t.customer.where("c_mktsegment = 'BUILDING'").select("c_custkey")
+    cascades = {"customer": {"orders": "o_custkey"}, "orders": {"lineitem": "l_orderkey"}}
+    kept = sn.delete_cascade(tables, "customer", gone, {"customer": "c_custkey", "orders": "o_orderkey"}, cascades)
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kept_in"), "n") for name, df in kept.items()]
-    return counts[0].unionByName(counts[1])
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
 @query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import MATCH_CATEGORIES, PRIVACY_CATEGORIES
+from ..catalog import MATCH_CATEGORIES, PRIVACY_CATEGORIES, TOP_VALUES_ROWS
 from ..functions.text import text_flags, word_count
 from ..operators import reports as rp
 from ..operators import stats as st
@@ -301,12 +301,12 @@ def top_values(t: Tables) -> DataFrame:
 @query(
     "size_guard",
     """
-    SELECT attribute, count(*) AS "values" FROM (SELECT DISTINCT 'l_suppkey' AS attribute, l_suppkey AS v FROM lineitem
-      UNION ALL SELECT DISTINCT 'l_orderkey', l_orderkey FROM lineitem) d GROUP BY 1 HAVING count(*) <= 10000
+    SELECT attribute, count(*) AS "values", count(*) > 10000 AS over_limit FROM (SELECT DISTINCT 'l_suppkey' AS attribute, l_suppkey AS v FROM lineitem
+      UNION ALL SELECT DISTINCT 'l_orderkey', l_orderkey FROM lineitem) d GROUP BY 1
     """,
 )
 def size_guard(t: Tables) -> DataFrame:
-    return st.attributes_within(st.atomic_counts(t.lineitem, ["l_suppkey", "l_orderkey"]))
+    return st.attributes_within(st.atomic_counts(t.lineitem, ["l_suppkey", "l_orderkey"]), TOP_VALUES_ROWS)
 
 
 @query(

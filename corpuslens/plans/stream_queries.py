@@ -48,8 +48,8 @@ def log_window_stream(t: Tables) -> DataFrame:
     "SELECT event_id FROM events WHERE ts >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY",
 )
 def log_retention(t: Tables) -> DataFrame:
-    newest = t.events.agg(F.max("ts").alias("newest")).first()["newest"]
-    return fl.retained(t.events, F.lit(newest).cast("timestamp_ntz")).select("event_id")
+    newest = t.events.agg(F.max("ts")).scalar()
+    return fl.retained(t.events, newest).select("event_id")
 
 
 PROGRESS_SQL = """
@@ -101,8 +101,9 @@ def stream_import(t: Tables) -> DataFrame:
     ).select(F.md5("content").alias("md5"))
     known.write.parquet(f"{root}/known")
     arrivals = fl.watch_imports(t.spark, f"{root}/in", "*.txt")
-    new = fl.drop_known(arrivals, t.spark.read.parquet(f"{root}/known"))
-    return fl.run_once(t.spark, new, "imports").agg(F.sum("size").alias("bytes"))
+    start = fl.import_new(arrivals, t.spark.read.parquet(f"{root}/known"), f"{root}/table")
+    start(f"{root}/checkpoint").awaitTermination()
+    return t.spark.read.parquet(f"{root}/table").agg(F.sum("size").alias("bytes"))
 
 
 @query(

@@ -52,9 +52,15 @@ def new_work_dir(spark: SparkSession, label: str) -> str:
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Give costly per-row work one partition per core where the input has fewer, such as one file.
+    """Give costly per-row work one partition per core where a table is too small for that, such as one file.
 
-    Input of many files has more partitions than cores and stays where it is, without a shuffle.
+    Meant for tables as they are read. Larger ones stay where they are, without a shuffle.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, *keys) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    # The size is the planner's estimate: nothing runs to learn it.
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    per_core = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    return df.repartition(cores, *keys) if size < cores * per_core else df

@@ -13,26 +13,43 @@ from ..session import new_work_dir
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
-def watch_imports(spark: SparkSession, folder: str, glob: str | None, delay: str = "7 days") -> DataFrame:
-    """New files of an import folder, each content once within the delay.
-
-    The state holds hashes of the delay only; older imports are left out by ``drop_known``.
-    """
+def watch_imports(spark: SparkSession, folder: str, glob: str | None) -> DataFrame:
+    """New files of an import folder with their hashes (T01), however old their own times are."""
     reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
+    # By default the source passes over files a week older than the newest one.
+    reader = reader.option("maxFileAge", "36500d")
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    files = reader.load(folder).select(
+    return reader.load(folder).select(
         F.element_at(F.split("path", "/"), -1).alias("name"),
         F.col("length").alias("size"),
         F.md5("content").alias("md5"),
         F.col("modificationTime").alias("seen_at"),
     )
-    return files.withWatermark("seen_at", delay).dropDuplicatesWithinWatermark(["md5"])
 
 
-def drop_known(stream: DataFrame, known: DataFrame) -> DataFrame:
-    """Leave out content that is stored already; the stored table is read anew for each batch."""
-    return stream.join(known.select("md5").distinct(), "md5", "left_anti")
+def import_new(arrivals: DataFrame, known: DataFrame, path: str) -> Callable:
+    """Start: store each content once, leaving out what is known or stored by an earlier batch.
+
+    No state is kept: every batch is compared with the stored table. A batch overwrites its own folder and looks
+    at the folders of earlier batches only, so a retry gives the same rows.
+    """
+    schema = arrivals.schema
+
+    def write_batch(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.dropDuplicates(["md5"]).join(known.select("md5"), "md5", "left_anti")
+        if batch_id:
+            stored = spark.read.schema(_with_batch(schema, "update")).parquet(path).where(F.col("batch") < batch_id)
+            fresh = fresh.join(stored.select("md5"), "md5", "left_anti")
+        fresh.select(*schema.names).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return lambda checkpoint: (
+        arrivals.writeStream.foreachBatch(write_batch)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
 
 
 def log_windows(logs: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
@@ -65,11 +82,18 @@ def scan_progress(events: DataFrame, delay: str | None = None) -> DataFrame:
 
 
 def fan_out(arrivals: DataFrame, done: DataFrame, id_col: str, scanner: str, path: str) -> Callable:
-    """Start: pending scan rows of new apps (T02). Each batch overwrites its own folder, so a retry is safe."""
+    """Start: pending scan rows of new apps (T02), each app once however often it arrives.
+
+    Each batch overwrites its own folder and looks at earlier ones only, so a retry is safe.
+    """
     from ..operators.scanners import pending_scans
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        pending_scans(batch, done, id_col, scanner).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        pending = pending_scans(batch.dropDuplicates([id_col]), done, id_col, scanner)
+        if batch_id:
+            queued = batch.sparkSession.read.schema(_with_batch(pending.schema, "update")).parquet(path)
+            pending = pending.join(queued.where(F.col("batch") < batch_id).select(id_col), id_col, "left_anti").select(*pending.columns)
+        pending.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return lambda checkpoint: (
         arrivals.writeStream.foreachBatch(write_batch)

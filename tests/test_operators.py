@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import build
+from corpuslens.functions.properties import parse_properties
 from corpuslens.operators import inventory, numbering, properties, quality, rules, scan, scanners, snapshots, stats
 from corpuslens.rule_catalog import CHECKERS, RULES, rule_rows
 
@@ -97,7 +98,7 @@ def test_snapshots(spark):
     assert {tuple(r) for r in snapshots.upsert(current, changes, ["id"]).collect()} == {(1, "a", "x"), (2, "b", "z"), (3, "c", None)}
     ids = spark.createDataFrame([(1,)], "id int")
     child = spark.createDataFrame([(7, 1), (8, None), (9, 2)], "cid int, ref int")
-    kept = snapshots.delete_cascade({"p": current, "c": child}, "p", ids, "id", {"c": "ref"})
+    kept = snapshots.delete_cascade({"p": current, "c": child}, "p", ids, "id", {"p": {"c": "ref"}})
     assert {r["cid"] for r in kept["c"].collect()} == {8, 9} and kept["p"].count() == 1
     routed = snapshots.route(current, {"bad": F.col("v") == "a"})
     good, bad = snapshots.split_routed(routed)
@@ -207,7 +208,12 @@ def test_behaviours_and_permissions(spark):
 
 def test_ancestors(spark):
     tree = spark.createDataFrame([("A", "B"), ("B", "C"), ("C", None)], "name string, extends string")
-    assert {(r["name"], r["ancestor"]) for r in rules.ancestors(tree, 5).collect()} == {("A", "B"), ("A", "C"), ("B", "C")}
+    assert {(r["name"], r["ancestor"]) for r in rules.ancestors(tree).collect()} == {("A", "B"), ("A", "C"), ("B", "C")}
+    chain = spark.createDataFrame([(f"c{i}", f"c{i + 1}") for i in range(10)] + [("x", "y"), ("y", "x")], "name string, extends string")
+    found = {(r["name"], r["ancestor"]): r["depth"] for r in rules.ancestors(chain).collect()}
+    assert found[("c0", "c10")] == 10 and len([k for k in found if k[0][0] == "c"]) == 55
+    assert {k for k in found if k[0] in "xy"} == {("x", "y"), ("y", "x"), ("x", "x"), ("y", "y")}
+
 
 
 # --- scanners and statistics ---------------------------------------------------------------
@@ -237,3 +243,29 @@ def test_library_path_and_app_path(value_of):
     assert path == "$(TARGET_OUT)/priv-app/"
     assert value_of(build.library_install_path(F.lit("/s/system/lib/a.so"), F.lit("system"), F.lit("a.so"), "bp")) == ""
     assert value_of(F.lit(datetime.date(2024, 1, 1))) == datetime.date(2024, 1, 1)
+
+
+def test_cascade_over_levels_and_several_ways(spark):
+    tables = {
+        "f": spark.createDataFrame([(1,), (2,)], "id long"),
+        "a": spark.createDataFrame([(10, 1), (11, 2), (12, None)], "id long, f long"),
+        "b": spark.createDataFrame([(20, 1, 11), (21, 2, 10), (22, 2, 11)], "id long, f long, a long"),
+        "r": spark.createDataFrame([(30, 20), (31, 21), (32, 22), (33, None)], "id long, b long"),
+    }
+    kept = snapshots.delete_cascade(
+        tables, "f", spark.createDataFrame([(1,)], "id long"), "id", {"f": {"a": "f", "b": "f"}, "a": {"b": "a"}, "b": {"r": "b"}}
+    )
+    assert {n: sorted(r["id"] for r in df.collect()) for n, df in kept.items()} == {"f": [2], "a": [11, 12], "b": [22], "r": [32, 33]}
+
+
+def test_id_lists_short_and_long_compare_alike(spark, monkeypatch):
+    df = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    for limit in (1000, 0):
+        monkeypatch.setattr(scan, "IN_LIST_ROWS", limit)
+        assert sorted(r["id"] for r in scan.with_ids(df, ["1", 3, "no", None], "id").collect()) == [1, 3]
+
+
+def test_property_lines_lose_white_space_at_their_end(spark):
+    lines = ["ro.a=1\r", "ro.b=x\t\r", "ro.a=2 \u00a0", " =x", "a=b=c", "none", ""]
+    found = spark.createDataFrame([(lines,)], "lines array<string>").select(parse_properties("lines").alias("p")).first()["p"]
+    assert found == {"ro_a": "2", "ro_b": "x", " ": "x"}

@@ -1,4 +1,6 @@
 import json
+import os
+import time
 
 from pyspark.sql import functions as F
 
@@ -118,9 +120,29 @@ def test_watch_imports(spark, tmp_path):
     write(folder / "d.txt", b"three")
     known = spark.createDataFrame([("known",)], "text string").select(F.md5("text").alias("md5"))
     write(folder / "e.zip", b"known")
-    new = flows.drop_known(flows.watch_imports(spark, str(folder), "*.zip"), known)
-    found = flows.run_once(spark, new, "watch").collect()
+    table, checkpoint = str(tmp_path / "table"), str(tmp_path / "checkpoint")
+
+    def run():
+        flows.import_new(flows.watch_imports(spark, str(folder), "*.zip"), known, table)(checkpoint).awaitTermination()
+        return spark.read.parquet(table).collect()
+
+    found = run()
     assert len(found) == 2 and {r["size"] for r in found} == {3}
+    # A file with an old time of its own is new all the same; content of the first batch is not.
+    write(folder / "old.zip", b"older")
+    os.utime(folder / "old.zip", (time.time() - 30 * 86400,) * 2)
+    write(folder / "again.zip", b"one")
+    assert sorted(r["size"] for r in run()) == [3, 3, 5]
+
+
+def test_fan_out_queues_an_app_once_over_batches(spark, tmp_path):
+    source, table, checkpoint = (str(tmp_path / n) for n in ("s", "t", "c"))
+    done = spark.createDataFrame([(9,)], "app_id long")
+    for ids in ([1, 2, 2, 9], [2, 3]):
+        spark.createDataFrame([(i,) for i in ids], "app_id long").coalesce(1).write.mode("append").parquet(source)
+        arrivals = spark.readStream.schema("app_id long").parquet(source)
+        flows.fan_out(arrivals, done, "app_id", "TEXT", table)(checkpoint).awaitTermination()
+    assert sorted(r["app_id"] for r in spark.read.parquet(table).collect()) == [1, 2, 3]
 
 
 def test_log_windows_drop_late_rows_and_match_batch(spark, tmp_path):
