@@ -294,8 +294,25 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _PAIRS = pa.schema([("src", pa.int64()), ("dst", pa.int64())])
 
 
-def _across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Pairs of two slices of a group, in different components, that sizes and sketches do not rule out."""
+def _across(chains: bool):
+    """Pairs of two slices of a group, in different components, that sizes and sketches do not rule out; with
+    ``chains`` only those that chain components not chained by others before."""
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return _compare_slices(key, table, chains)
+
+    return run
+
+
+def _compare_slices(key: tuple[pa.Scalar, ...], table: pa.Table, chains: bool) -> pa.Table:
+    root: dict[int, int] = {}
+
+    def find(n: int) -> int:
+        while (up := root.get(n, n)) != n:
+            root[n] = root.get(up, up)
+            n = up
+        return n
+
     _, a, b = (k.as_py() for k in key)
     slice_of, node, size, component = (table.column(c).to_numpy() for c in ("slice", "node", "size", "component"))
     sketch = np.stack([table.column(c).to_numpy() for c in _SKETCH], axis=1).view(np.uint64)
@@ -309,6 +326,14 @@ def _across(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         sizes = size[some][:, None] + size[right][None, :]
         apart = component[some][:, None] != component[right][None, :]
         i, j = np.nonzero(apart & (9 * differing <= sizes) & (9 * np.abs(size[some][:, None] - size[right][None, :]) <= sizes))
+        if chains:
+            kept = []
+            for at, (x, y) in enumerate(zip(component[some[i]].tolist(), component[right[j]].tolist())):
+                x, y = find(x), find(y)
+                if x != y:
+                    root[x] = y
+                    kept.append(at)
+            i, j = i[np.array(kept, dtype=np.int64)], j[np.array(kept, dtype=np.int64)]
         src.append(np.minimum(node[some[i]], node[right[j]]))
         dst.append(np.maximum(node[some[i]], node[right[j]]))
     src, dst = (np.concatenate([np.empty(0, dtype=np.int64), *x]) for x in (src, dst))
@@ -341,8 +366,13 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     )
     whole = alike.where("members > 1").groupBy("members", "a", "b").agg(F.min("signature").alias("signature"))
     groups = members.join(whole.select("signature", "members"), "signature").withColumnRenamed("signature", "group").checkpoint()
-    groups = groups.join(classes.select("node", *_SKETCH), "node")
-    small, large = groups.where(F.col("members") <= SMALL_GROUP), groups.where(F.col("members") > SMALL_GROUP)
+    sketched = classes.select("node", *_SKETCH)
+    small = groups.where(F.col("members") <= SMALL_GROUP).join(sketched, "node")
+    # Near copies share many signatures: large groups with the same lowest member are one.
+    large = groups.where(F.col("members") > SMALL_GROUP)
+    lowest = large.groupBy("group").agg(F.min("node").alias("lowest"))
+    merged = large.join(lowest, "group").select(F.col("lowest").alias("group"), "node", "size").distinct()
+    large = merged.join(merged.groupBy("group").agg(F.count("*").alias("members")), "group").join(sketched, "node").checkpoint()
     wanted = groups.select("node").distinct().join(classes, "node").select("node", "first", F.col("first_key").alias("text_key"))
     texts = (
         rows.join(wanted.withColumnRenamed("first", "id"), ["id", "text_key"]).dropDuplicates(["node"]).select("node", "text")
@@ -383,22 +413,24 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     components = connected_components(links).checkpoint()
 
     # Members of large groups that hubs have not brought together: all pairs across components, in slices.
-    placed = large.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    split = placed.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("group")
+    # First as many as it takes to chain those that may be linked, then what has not come together.
     slices = F.ceil(F.col("members") / SLICE).cast("int")
-    sliced_members = placed.join(split, "group", "left_semi").withColumn("slices", slices).withColumn(
-        "slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
-    )
     both = F.transform(F.sequence(F.lit(0), F.col("slices") - 1), lambda s: F.struct(F.least("slice", s).alias("a"), F.greatest("slice", s).alias("b")))
-    across = (
-        sliced_members.withColumn("pair", F.explode(both))
-        .select("group", "pair.a", "pair.b", "slice", "node", "size", "component", *_SKETCH)
-        .groupBy("group", "a", "b").applyInArrow(_across, "src long, dst long")
-    )
-    found = verified(across)
-    if not found.isEmpty():
-        links = links.unionByName(found)
-        components = connected_components(links).checkpoint()
+    for chains in (True, False):
+        placed = large.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        split = placed.groupBy("group").agg(F.min("component").alias("a"), F.max("component").alias("b")).where("a <> b").select("group")
+        sliced_members = placed.join(split, "group", "left_semi").withColumn("slices", slices).withColumn(
+            "slice", F.pmod(F.xxhash64("node"), F.col("slices")).cast("int")
+        )
+        across = (
+            sliced_members.withColumn("pair", F.explode(both))
+            .select("group", "pair.a", "pair.b", "slice", "node", "size", "component", *_SKETCH)
+            .groupBy("group", "a", "b").applyInArrow(_across(chains), "src long, dst long")
+        )
+        found = verified(across)
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            components = connected_components(links).checkpoint()
 
     named = (
         classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
