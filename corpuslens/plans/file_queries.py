@@ -17,64 +17,75 @@ from .registry import Tables, query
 
 
 def document_tree(t: Tables) -> str:
-    """Document texts as files below a folder per source and language."""
+    """Document texts as files below a folder per source and language, one of them hidden."""
     path = new_work_dir(t.spark, "tree")
-    t.documents.select(F.col("source").alias("firmware"), F.col("lang").alias("part"), F.col("text").alias("value")).write.partitionBy(
-        "firmware", "part"
-    ).text(path)
+    name = F.concat_ws("/", "source", F.concat(F.lit("."), "lang"), F.concat(F.lit("d"), "doc_id", F.lit(".txt")))
+    fs.write_files(t.spread("documents", "doc_id").select(name.alias("name"), F.encode("text", "utf-8").alias("content")), path)
     return path
 
 
 @query(
     "file_inventory",
     """
-    SELECT 'firmware=' || source || '/part=' || lang AS folder, true AS is_directory, NULL::BIGINT AS bytes FROM documents GROUP BY 1
-    UNION ALL SELECT 'firmware=' || source, true, NULL FROM documents GROUP BY 1
-    UNION ALL SELECT 'firmware=' || source || '/part=' || lang, false, sum(strlen(text) + 1)::BIGINT FROM documents GROUP BY 1
+    SELECT source || '/.' || lang AS folder, true AS is_directory, NULL::BIGINT AS bytes FROM documents GROUP BY 1
+    UNION ALL SELECT source, true, NULL FROM documents GROUP BY 1
+    UNION ALL SELECT source || '/.' || lang, false, sum(strlen(text))::BIGINT FROM documents GROUP BY 1
     """,
 )
 def file_inventory(t: Tables) -> DataFrame:
     """Directories of the tree, and the bytes of the files in each."""
-    rows = fs.file_inventory(t.spark, document_tree(t), F.lit("system"))
-    directories = rows.where("is_directory").select(
-        F.expr("substring(relative_path, 2)").alias("folder"), "is_directory", F.col("size").alias("bytes")
-    )
-    files = rows.where(~F.col("is_directory") & F.col("name").endswith(".txt"))
-    folder = F.regexp_replace(F.expr("substring(relative_path, 2)"), "/[^/]*$", "")
+    rows = fs.file_inventory(t.spark, document_tree(t), F.lit("system")).withColumn("relative_path", F.expr("substring(relative_path, 2)"))
+    directories = rows.where("is_directory").select(F.col("relative_path").alias("folder"), "is_directory", F.col("size").alias("bytes"))
+    files = rows.where(~F.col("is_directory"))
+    folder = F.regexp_replace("relative_path", "/[^/]*$", "")
     return directories.unionByName(
         files.groupBy(folder.alias("folder"), "is_directory").agg(F.sum("size").alias("bytes"))
     )
 
 
-@query("file_tree_rows")
+@query(
+    "file_tree_rows",
+    """
+    SELECT 'd' || doc_id || '.txt' AS name, '.' || lang AS parent_dir, '/' || source || '/.' || lang || '/d' || doc_id || '.txt' AS relative_path,
+      false AS is_directory, strlen(text)::BIGINT AS size, md5(text) AS md5, 'system' AS partition_name FROM documents
+    UNION ALL SELECT DISTINCT '.' || lang, source, '/' || source || '/.' || lang, true, NULL, NULL, 'system' FROM documents
+    UNION ALL SELECT DISTINCT source, '/', '/' || source, true, NULL, NULL, 'system' FROM documents
+    """,
+)
 def file_tree_rows(t: Tables) -> DataFrame:
     rows = fs.file_inventory(t.spark, document_tree(t), F.lit("system"))
     return rows.select("name", "parent_dir", "relative_path", "is_directory", "size", "md5", "partition_name")
 
 
-@query("folder_scan", "SELECT true AS has_files, sum(strlen(text) + 1)::BIGINT AS bytes FROM documents WHERE lang = 'de'")
+@query(
+    "folder_scan",
+    """
+    SELECT 'd' || doc_id || (CASE WHEN lang = 'de' THEN '.zip' ELSE '.tar.gz' END) AS name, strlen(text)::BIGINT AS size, md5(text) AS md5
+    FROM documents WHERE lang <> 'fr'
+    """,
+)
 def folder_scan(t: Tables) -> DataFrame:
-    """Archives of an import folder; Spark's own suffix for compressed text is an allowed one."""
+    """Archives of an import folder, beside files that are none."""
     path = new_work_dir(t.spark, "imports")
-    german = t.documents.where("lang = 'de'")
-    german.select(F.col("text").alias("value")).write.option("compression", "gzip").text(path)
-    found = fs.import_candidates(t.spark, path).select(
-        F.lit(1).alias("files"), F.lit(0).cast("long").alias("bytes")
-    )
-    unpacked = t.spark.read.text(path, wholetext=True).select(
-        F.lit(0).alias("files"), F.octet_length("value").cast("long").alias("bytes")
-    )
-    return found.unionByName(unpacked).agg((F.sum("files") > 0).alias("has_files"), F.sum("bytes").alias("bytes"))
+    ending = F.when(F.col("lang") == "de", ".zip").when(F.col("lang") == "fr", ".txt").otherwise(".tar.gz")
+    fs.write_files(t.spread("documents", "doc_id").select(F.concat(F.lit("d"), "doc_id", ending).alias("name"), F.encode("text", "utf-8").alias("content")), path)
+    return fs.import_candidates(t.spark, path).select("name", "size", "md5")
 
 
-@query("loose_apps")
+@query(
+    "loose_apps",
+    """
+    SELECT (CASE WHEN lang = 'de' THEN '.d' ELSE 'd' END) || doc_id || (CASE WHEN lang = 'en' THEN '.apk' ELSE '.APK' END) AS name,
+      strlen(text)::BIGINT AS size, md5(text) AS md5 FROM documents WHERE lang <> 'fr'
+    """,
+)
 def loose_apps(t: Tables) -> DataFrame:
-    """Loose app files by suffix; the folder of a table stands for the app folder."""
+    """App files by suffix, some with hidden names, beside files that are none."""
     path = new_work_dir(t.spark, "apps")
-    t.documents.select(F.col("text").alias("value")).write.text(path)
-    listed = fs.read_files(t.spark, path, glob="*.txt", recursive=False)
-    apps = fs.loose_apps(t.spark, path)
-    return listed.select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("length").alias("size"), F.md5("content").alias("md5")).unionByName(apps)
+    ending = F.when(F.col("lang") == "en", ".apk").when(F.col("lang") == "fr", ".txt").otherwise(".APK")
+    name = F.concat(F.when(F.col("lang") == "de", ".d").otherwise("d"), "doc_id", ending)
+    fs.write_files(t.spread("documents", "doc_id").select(name.alias("name"), F.encode("text", "utf-8").alias("content")), path)
+    return fs.loose_apps(t.spark, path)
 
 
 @query(

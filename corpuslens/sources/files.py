@@ -1,15 +1,28 @@
-"""File sources: folder listings, file trees, line files."""
+"""File sources: folder listings, file trees, line files.
+
+Trees are listed by tasks, one level of folders at a time, and files are hashed block by block where
+they are found. Names that begin with a dot or an underscore, empty files and empty folders count
+like all others, which Spark's own file sources leave out; no path goes through the driver.
+"""
 
 from __future__ import annotations
 
-from urllib.parse import unquote
+import hashlib
+import os
+from collections.abc import Iterator
 
+import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import IMPORT_EXTENSIONS
 from ..functions import any_suffix
-from ..functions.paths import base_name, normalize_path, parent_name, path_prefixes
+from ..functions.paths import base_name, normalize_path, parent_name
+from ..session import work_root
+
+BLOCK_BYTES = 1 << 20
+_LISTED = "path string, is_directory boolean, enter boolean, size long"
 
 
 def _local_path(column: Column) -> Column:
@@ -17,80 +30,124 @@ def _local_path(column: Column) -> Column:
     return F.regexp_replace(column, "^[a-z0-9]+:(//[^/]*)?", "")
 
 
+def open_folder(root: str) -> tuple[pafs.FileSystem, str]:
+    """The file system a folder is in, and the folder's path there."""
+    if root.startswith("/"):
+        return pafs.LocalFileSystem(), root
+    if root.startswith("file:"):
+        return pafs.LocalFileSystem(), "/" + root[len("file:") :].lstrip("/")
+    return pafs.FileSystem.from_uri(root)
+
+
 def read_files(spark: SparkSession, root: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
-    """Files below a folder with path, size, time and content. Content is read only where it is used."""
+    """Visible files below a folder with path, size, time and content. Content is read only where it is used."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     return reader.load(root).withColumn("path", _local_path(F.col("path")))
 
 
-def empty_files(spark: SparkSession, root: str) -> DataFrame:
-    """Files without content, which Spark's file sources leave out when they read.
+def list_folders(folders: DataFrame, root: str) -> DataFrame:
+    """What lies in each folder of a column ``path``: ``(path, is_directory, enter, size)``.
 
-    They are the names of the file listing, which Spark holds on the driver in any case, that the
-    scan does not return.
+    Folders that are links are listed, not entered: a tree with a link to a folder above it has an end.
     """
-    scanned = read_files(spark, root)
-    names = [(unquote(name),) for name in scanned.inputFiles()]
-    listed = spark.createDataFrame(names, "uri string").select(_local_path(F.col("uri")).alias("path"))
-    return listed.join(scanned.select("path"), "path", "left_anti").select(
-        "path", F.lit(0).cast("long").alias("length"), F.lit("").cast("binary").alias("content")
-    )
 
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, _ = open_folder(root)
+        local = isinstance(system, pafs.LocalFileSystem)
+        for batch in batches:
+            for folder in batch["path"]:
+                rows = []
+                for item in system.get_file_info(pafs.FileSelector(folder)):
+                    is_directory = item.type == pafs.FileType.Directory
+                    enter = is_directory and not (local and os.path.islink(item.path))
+                    rows.append((item.path, is_directory, enter, None if is_directory else item.size))
+                yield pd.DataFrame(rows, columns=["path", "is_directory", "enter", "size"]).astype({"size": "Int64"})
 
-def file_inventory(
-    spark: SparkSession, root: str, partition: Column | str, with_empty: bool = True
-) -> DataFrame:
-    """One row per file and per directory of a tree.
+    return folders.select("path").mapInPandas(run, _LISTED)
 
-    Directories are not listed but derived: they are the distinct folders above the files. Only
-    paths are shuffled for that, combined per task first.
-    """
+
+def list_tree(spark: SparkSession, root: str) -> DataFrame:
+    """Every file and folder below a folder, as ``(path, is_directory, enter, size)``: one job per level of folders."""
+    work_root(spark)
+    top = open_folder(root.rstrip("/") or "/")[1]
+    level = list_folders(spark.createDataFrame([(top,)], "path string"), root).checkpoint()
+    found = level
+    while not (folders := level.where("enter")).isEmpty():
+        level = list_folders(folders.repartition("path"), root).checkpoint()
+        found = found.unionByName(level)
+    return found
+
+
+def with_md5(listed: DataFrame, root: str) -> DataFrame:
+    """Listed rows with the MD5 of each file, read in blocks, so that the size of a file does not matter."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, _ = open_folder(root)
+
+        def digest(path: str) -> str:
+            total = hashlib.md5()
+            # The bytes as they are, also of names that look compressed.
+            with system.open_input_stream(path, compression=None) as stream:
+                while block := stream.read(BLOCK_BYTES):
+                    total.update(block)
+            return total.hexdigest()
+
+        for batch in batches:
+            md5 = [None if folder else digest(path) for path, folder in zip(batch["path"], batch["is_directory"])]
+            yield batch.assign(md5=pd.Series(md5, dtype=object, index=batch.index))
+
+    return listed.mapInPandas(run, f"{_LISTED}, md5 string")
+
+
+def file_inventory(spark: SparkSession, root: str, partition: Column | str) -> DataFrame:
+    """One row per file and per directory of a tree."""
     base = root.rstrip("/")
     partition = F.lit(partition) if isinstance(partition, str) else partition
-    files = read_files(spark, base).select("path", "length", "content")
-    if with_empty:
-        files = files.unionByName(empty_files(spark, base))
-    local = F.lit(base).substr(F.length(F.regexp_extract(F.lit(base), "^[a-z0-9]+:(//[^/]*)?", 0)) + 1, F.length(F.lit(base)))
-    files = files.withColumn(
-        "relative_path", F.substring(F.col("path"), F.length(local) + 1, F.length("path"))
-    )
-    file_rows = files.select(
+    rows = with_md5(list_tree(spark, base).repartition("path"), base)
+    rows = rows.withColumn("relative_path", F.expr(f"substring(path, {len(open_folder(base)[1]) + 1})"))
+    return rows.select(
         base_name("relative_path").alias("name"),
-        parent_name("path", F.lit(base)).alias("parent_dir"),
+        parent_name("path", F.lit(open_folder(base)[1])).alias("parent_dir"),
         normalize_path("relative_path").alias("relative_path"),
-        F.lit(False).alias("is_directory"),
-        F.col("length").alias("size"),
-        F.md5("content").alias("md5"),
+        "is_directory",
+        "size",
+        "md5",
         partition.alias("partition_name"),
     )
-    directories = files.select(F.explode(path_prefixes("relative_path")).alias("relative_path")).distinct()
-    directory_rows = directories.select(
-        base_name("relative_path").alias("name"),
-        parent_name(F.concat(F.lit(base), F.col("relative_path")), F.lit(base)).alias("parent_dir"),
-        "relative_path",
-        F.lit(True).alias("is_directory"),
-        F.lit(None).cast("long").alias("size"),
-        F.lit(None).cast("string").alias("md5"),
-        partition.alias("partition_name"),
-    )
-    return file_rows.unionByName(directory_rows)
+
+
+def _flat_listing(spark: SparkSession, folder: str) -> DataFrame:
+    top = open_folder(folder.rstrip("/"))[1]
+    return list_folders(spark.createDataFrame([(top,)], "path string"), folder).where(~F.col("is_directory"))
 
 
 def import_candidates(spark: SparkSession, folder: str) -> DataFrame:
     """Archives waiting in an import folder: the allowed extensions of a flat listing."""
-    listed = read_files(spark, folder, recursive=False)
-    return listed.where(any_suffix(F.col("path"), IMPORT_EXTENSIONS)).select(
-        base_name("path").alias("name"), "path", F.col("length").alias("size"), F.md5("content").alias("md5")
-    )
+    listed = _flat_listing(spark, folder).where(any_suffix(F.col("path"), IMPORT_EXTENSIONS))
+    return with_md5(listed.repartition("path"), folder).select(base_name("path").alias("name"), "path", "size", "md5")
 
 
 def loose_apps(spark: SparkSession, folder: str) -> DataFrame:
     """Apps that lie in a folder by themselves."""
-    return read_files(spark, folder, glob="*.[aA][pP][kK]", recursive=False).select(
-        base_name("path").alias("name"), F.col("length").alias("size"), F.md5("content").alias("md5")
-    )
+    listed = _flat_listing(spark, folder).where(F.lower("path").endswith(".apk"))
+    return with_md5(listed.repartition("path"), folder).select(base_name("path").alias("name"), "size", "md5")
+
+
+def write_files(rows: DataFrame, root: str) -> None:
+    """Write rows ``(name, content)`` as files below a folder, by the tasks that hold them."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, top = open_folder(root)
+        for batch in batches:
+            for name, content in zip(batch["name"], batch["content"]):
+                system.create_dir(os.path.dirname(f"{top}/{name}"), recursive=True)
+                with system.open_output_stream(f"{top}/{name}", compression=None) as stream:
+                    stream.write(bytes(content))
+            yield batch[["name"]]
+
+    rows.select("name", "content").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()
 
 
 def line_rows(spark: SparkSession, root: str, glob: str | None = None) -> DataFrame:

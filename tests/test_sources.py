@@ -20,9 +20,17 @@ def test_file_inventory(spark, tmp_path):
     write(tmp_path / "root/system/app/X.apk", b"app")
     write(tmp_path / "root/system/build.prop", b"a=1")
     write(tmp_path / "root/top.txt", b"")
+    for name in (".dot.txt", "_under.txt", "system/._system.img", ".hid/x.txt"):
+        write(tmp_path / "root" / name, b"x")
+    (tmp_path / "root/empty/deeper").mkdir(parents=True)
+    (tmp_path / "root/system/up").symlink_to(tmp_path / "root")
     write(tmp_path / "root/a b/\u00e9 %41.txt", b"x")
     rows = {r["relative_path"]: r for r in files.file_inventory(spark, str(tmp_path / "root"), "system").collect()}
-    assert set(rows) == {"/system", "/system/app", "/system/app/X.apk", "/system/build.prop", "/top.txt", "/a b", "/a b/\u00e9 %41.txt"}
+    hidden = {"/.dot.txt", "/_under.txt", "/system/._system.img", "/.hid", "/.hid/x.txt", "/empty", "/empty/deeper"}
+    assert set(rows) == hidden | {
+        "/system", "/system/app", "/system/app/X.apk", "/system/build.prop", "/top.txt", "/a b", "/a b/\u00e9 %41.txt", "/system/up"
+    }
+    assert rows["/empty/deeper"]["is_directory"] and rows["/.hid/x.txt"]["md5"] == "9dd4e461268c8034f5c8564e155c67a6"
     assert rows["/system"]["is_directory"] and rows["/system"]["md5"] is None and rows["/system"]["parent_dir"] == "/"
     app = rows["/system/app/X.apk"]
     assert (app["name"], app["parent_dir"], app["size"], app["is_directory"]) == ("X.apk", "app", 3, False)
