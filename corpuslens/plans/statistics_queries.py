@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..catalog import MATCH_CATEGORIES, PRIVACY_CATEGORIES, TOP_VALUES_ROWS
-from ..functions.text import text_flags, word_count
+from ..catalog import MATCH_CATEGORIES, PRIVACY_CATEGORIES, STRING_COUNT_ATTRIBUTES, TOP_VALUES_ROWS
+from ..functions.text import entropies, language, text_flags, word_count
 from ..operators import reports as rp
 from ..operators import stats as st
 from .registry import Tables, query, sql_text
-from .text_queries import SECRET_PATTERNS, TRACKERS, secret_sql
+from .text_queries import FLAG_SQL, LANGUAGE_SQL, SECRET_PATTERNS, TRACKERS, secret_sql
 
 
 @query(
@@ -121,19 +121,30 @@ def firmware_totals(t: Tables) -> DataFrame:
 
 @query(
     "numeric_histogram",
-    r"""
-    SELECT 'string_length' AS attribute, floor(length(text) / 500.0)::BIGINT AS bucket, count(*) AS n FROM documents GROUP BY 2
-    UNION ALL SELECT 'number_of_words_estimate', floor(len(regexp_extract_all(text, '\S+')) / 100.0)::BIGINT, count(*) FROM documents GROUP BY 2
+    f"""
+    WITH ch AS (SELECT doc_id, ch, count(*) AS k FROM (SELECT doc_id, unnest(string_split(text, '')) AS ch FROM documents) c GROUP BY 1, 2),
+    e AS (SELECT doc_id, -sum(p * ln(p)) AS h FROM (SELECT doc_id, k / sum(k) OVER (PARTITION BY doc_id) AS p FROM ch) q GROUP BY 1),
+    v AS (
+      SELECT 'string_length' AS attribute, length(text) AS v, 500.0 AS width FROM documents
+      UNION ALL SELECT 'number_of_words_estimate', len(regexp_extract_all(text, '\\S+')), 100.0 FROM documents
+      UNION ALL SELECT 'natural_entropy', round(h, 6), 0.05 FROM e
+      UNION ALL SELECT 'shannon_entropy', round(h / ln(2), 6), 0.05 FROM e
+      UNION ALL SELECT 'hartley_entropy', round(h / ln(10), 6), 0.05 FROM e
+      UNION ALL SELECT 'language_confidence', language_confidence, 0.1 FROM ({LANGUAGE_SQL}) l)
+    SELECT attribute, floor(round(v / width, 4))::BIGINT AS bucket, count(*) AS n FROM v GROUP BY 1, 2
     """,
 )
 def numeric_histogram(t: Tables) -> DataFrame:
-    return st.histograms(
-        t.spread("documents", "doc_id"),
-        {
-            "string_length": (F.length("text"), 500),
-            "number_of_words_estimate": (word_count("text"), 100),
-        },
+    """All numeric attributes of a text, each measured once."""
+    measured = t.spread("documents", "doc_id").select(
+        F.length("text").alias("string_length"), word_count("text").alias("number_of_words_estimate"), entropies("text").alias("e"),
+        language("text").alias("l"),
     )
+    widths = {"string_length": 500, "number_of_words_estimate": 100}
+    columns = {name: (F.col(name) / width, 1) for name, width in widths.items()}
+    columns |= {n: (F.round(f"e.{n}", 6) / 0.05, 1) for n in ("natural_entropy", "shannon_entropy", "hartley_entropy")}
+    columns["language_confidence"] = (F.round("l.language_confidence", 6) / 0.1, 1)
+    return st.histograms(measured, {name: (F.round(value, 4), width) for name, (value, width) in columns.items()})
 
 
 @query(
@@ -168,20 +179,23 @@ def scan_status_summary(t: Tables) -> DataFrame:
     )
 
 
+FLAG_NAMES = [name for name in STRING_COUNT_ATTRIBUTES if name.startswith("is")]
+
+
 @query(
     "flag_counts",
-    r"""
-    WITH f AS (SELECT regexp_matches(trim(text), '^[+-]?[0-9]+([.][0-9]+)?$') AS num,
-        len(string_split_regex(trim(text), '\s+')) >= 4 AS nat,
-        regexp_matches(text, '(?i)(api[_-]?key|secret|token|passw(or)?d)\s*[=:]\s*["'']?[A-Za-z0-9/+_-]{8,}') AS sec FROM documents)
-    SELECT 'isNumeric' AS attribute, num::VARCHAR AS value, count(*) AS n FROM f GROUP BY 2
-    UNION ALL SELECT 'isNaturalLanguage', nat::VARCHAR, count(*) FROM f GROUP BY 2
-    UNION ALL SELECT 'isSecret', sec::VARCHAR, count(*) FROM f GROUP BY 2
+    f"""
+    WITH f AS (SELECT *, NOT (isNumeric OR isURL OR isFilePath OR isSQLStatement OR isEncoded OR isSecret OR isNaturalLanguage) AS isUnknownCategory
+               FROM ({FLAG_SQL}) x)
+    {" UNION ALL ".join(f"SELECT '{n}' AS attribute, {n}::VARCHAR AS value, count(*) AS n FROM f GROUP BY 2" for n in FLAG_NAMES)}
+    UNION ALL SELECT 'language_code', language_code, count(*) FROM ({LANGUAGE_SQL}) l WHERE language_code IS NOT NULL GROUP BY 2
     """,
 )
 def flag_counts(t: Tables) -> DataFrame:
+    """All category flags and the language, in one aggregation."""
     flags = text_flags("text")
-    return st.atomic_counts(t.spread("documents", "doc_id"), {k: flags[k] for k in ("isNumeric", "isNaturalLanguage", "isSecret")})
+    judged = t.spread("documents", "doc_id").select(*[flags[n].alias(n) for n in FLAG_NAMES], language("text")["language_code"].alias("language_code"))
+    return st.atomic_counts(judged, [*FLAG_NAMES, "language_code"])
 
 
 LEAKS_SQL = f"SELECT 'leaks' AS attribute, rule AS value, count(*) AS n FROM ({secret_sql()}) s GROUP BY 2"
@@ -193,12 +207,9 @@ def leak_counts(t: Tables) -> DataFrame:
     return st.atomic_counts(found, {"leaks": F.col("rule")})
 
 
-@query(
-    "leak_references",
-    f"SELECT DISTINCT 'leaks' AS attribute, rule AS value, doc_id FROM ({secret_sql()}) s WHERE rule = 'token'",
-)
+@query("leak_references", f"SELECT DISTINCT 'leaks' AS attribute, rule AS value, doc_id FROM ({secret_sql()}) s")
 def leak_references(t: Tables) -> DataFrame:
-    found = rp.pattern_findings(t.documents, "doc_id", "text", {"token": SECRET_PATTERNS["token"]})
+    found = rp.pattern_findings(t.spread("documents", "doc_id"), "doc_id", "text", SECRET_PATTERNS)
     return st.atomic_references(found.select("doc_id", "rule").distinct(), {"leaks": F.col("rule")}, "doc_id")
 
 
@@ -216,6 +227,35 @@ def threat_levels(t: Tables) -> DataFrame:
     return st.atomic_counts(total, {"threat_level": level})
 
 
+@query(
+    "threat_references",
+    """
+    SELECT 'threat_level' AS attribute, CASE WHEN sum(l_quantity) > 200 THEN 'high' WHEN sum(l_quantity) > 100 THEN 'moderate' ELSE 'low' END AS value,
+      l_orderkey FROM lineitem GROUP BY l_orderkey
+    """,
+)
+def threat_references(t: Tables) -> DataFrame:
+    total = t.lineitem.groupBy("l_orderkey").agg(F.sum("l_quantity").alias("score"))
+    level = F.when(F.col("score") > 200, "high").when(F.col("score") > 100, "moderate").otherwise("low")
+    return st.atomic_references(total, {"threat_level": level}, "l_orderkey")
+
+
+@query(
+    "severity_references",
+    """
+    SELECT DISTINCT CASE l_returnflag WHEN 'R' THEN 'high' WHEN 'A' THEN 'critical' END AS attribute, p_type AS value, l_orderkey
+    FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_returnflag IN ('R', 'A')
+    """,
+)
+def severity_references(t: Tables) -> DataFrame:
+    """Which apps have high and critical findings, per category."""
+    issues = t.lineitem.where(F.col("l_returnflag").isin("R", "A")).select("l_orderkey", "l_partkey", "l_returnflag").join(
+        t.part.select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey")
+    )
+    level = F.when(F.col("l_returnflag") == "R", "high").otherwise("critical")
+    return issues.select(level.alias("attribute"), F.col("p_type").alias("value"), "l_orderkey").distinct()
+
+
 @query(
     "severity_counts",
     """
@@ -279,10 +319,19 @@ def privacy_categories(t: Tables) -> DataFrame:
 
 @query(
     "detection_categories",
-    "SELECT 'detection_category' AS attribute, event_type AS value, count(*) AS n FROM events WHERE value > 5 GROUP BY 2",
+    "SELECT 'detection_category' AS attribute, event_type AS value, count(*) AS n FROM events GROUP BY 2",
 )
 def detection_categories(t: Tables) -> DataFrame:
-    return st.atomic_counts(t.events.where("value > 5"), {"detection_category": F.col("event_type")})
+    return st.atomic_counts(t.events, {"detection_category": F.col("event_type")})
+
+
+@query(
+    "detection_references",
+    "SELECT DISTINCT 'detection_category' AS attribute, event_type AS value, user_id FROM events WHERE event_type IS NOT NULL",
+)
+def detection_references(t: Tables) -> DataFrame:
+    found = t.events.select("user_id", "event_type").distinct()
+    return st.atomic_references(found, {"detection_category": F.col("event_type")}, "user_id")
 
 
 @query(

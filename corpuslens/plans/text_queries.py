@@ -102,8 +102,7 @@ def text_flag_columns(t: Tables) -> DataFrame:
     return t.spread("documents", "doc_id").select("doc_id", *[c.alias(n) for n, c in text_flags("text").items()])
 
 
-@query(
-    "language_scores",
+LANGUAGE_SQL = (
     r"""
     WITH w AS (SELECT doc_id, string_split_regex(lower(text), '[^\p{L}]+') AS w FROM documents),
     s AS ("""
@@ -116,8 +115,11 @@ def text_flag_columns(t: Tables) -> DataFrame:
                  row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, code DESC) AS k FROM s)
     SELECT doc_id, CASE WHEN total > 0 THEN code END AS language_code, round(CASE WHEN total > 0 THEN score / total ELSE 0 END, 6) AS language_confidence
     FROM b WHERE k = 1
-    """,
+    """
 )
+
+
+@query("language_scores", LANGUAGE_SQL)
 def language_columns(t: Tables) -> DataFrame:
     rows = t.spread("documents", "doc_id").select("doc_id", language("text").alias("found"))
     return rows.select(

@@ -5,6 +5,7 @@ from __future__ import annotations
 import importlib
 import pathlib
 import sys
+import tempfile
 import time
 from collections import Counter
 
@@ -59,7 +60,8 @@ def main() -> int:
         importlib.import_module("corpuslens.plans").load_queries()
     spark = build_session(
         "check", "local[8]", **{"spark.sql.shuffle.partitions": "8", "spark.driver.memory": "16g",
-                                "spark.ui.showConsoleProgress": "false"}
+                                "spark.ui.showConsoleProgress": "false",
+                                "spark.checkpoint.dir": tempfile.mkdtemp(prefix="oracle-")}
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = duck(folder)
