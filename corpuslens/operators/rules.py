@@ -235,6 +235,40 @@ def ancestors(hierarchy: DataFrame) -> DataFrame:
     return reached
 
 
+def overridden_certificate_checks(calls: DataFrame, hierarchy: DataFrame, proceed: Call, override: Call) -> DataFrame:
+    """Findings ``(checker, app_id, caller)`` of handlers that go on after a certificate error (CWE295).
+
+    A caller that makes the ``proceed`` call counts if it is the ``override`` method and its class descends
+    from the override's class: ``calls(app_id, caller_class, caller_method, caller_descriptor, callee_class,
+    callee_method, descriptor)``, ``hierarchy(app_id, name, extends)``. Classes of an app are looked up in that app only.
+    """
+    spelled = {c: F.replace(F.col(c), F.lit(" "), F.lit("")) for c in ("descriptor", "caller_descriptor")}
+    callers = (
+        calls.withColumns(spelled)
+        .where(proceed.condition() & (F.col("caller_method") == override.callee_method))
+        .where(F.col("caller_descriptor") == override.descriptor.replace(" ", ""))
+        .select("app_id", "caller_class", "caller_method")
+        .distinct()
+    )
+    named = hierarchy.select(
+        F.struct("app_id", F.col("name").alias("class")).alias("name"), F.struct("app_id", F.col("extends").alias("class")).alias("extends")
+    ).where(F.col("extends.class").isNotNull())
+    heirs = ancestors(named).where(F.col("ancestor.class") == override.callee_class).select(
+        F.col("name.app_id").alias("app_id"), F.col("name.class").alias("caller_class")
+    )
+    return callers.join(heirs, ["app_id", "caller_class"], "left_semi").select(
+        F.lit("CWE295").alias("checker"), "app_id", F.concat_ws("->", "caller_class", "caller_method").alias("caller")
+    )
+
+
+def weak_random_credentials(calls: DataFrame, first: Call, second: Call, words: Sequence[str]) -> DataFrame:
+    """Findings ``(checker, app_id, caller)`` of methods named after credentials that call a method with weak
+    random numbers (CWE338): ``calls(app_id, caller, callee, seq, ...)`` as for checkers, ``callee`` being the called method's full name."""
+    users = run_checkers(calls, [Checker("CWE338", second, first=first)]).select("app_id", F.col("caller").alias("callee"))
+    named = calls.where(F.col("caller").rlike("|".join(words))).select("app_id", "caller", "callee").distinct()
+    return named.join(users, ["app_id", "callee"], "left_semi").select(F.lit("CWE338").alias("checker"), "app_id", "caller").distinct()
+
+
 def call_edges(classes: DataFrame) -> DataFrame:
     """Call edges from nested class analyses ``classes(app_id, name, methods array<struct<name, xref_to
     array<struct<class_name, method_name, descriptor, offset>>>>)``."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rules as rl
 from ..session import spread
-from ..rule_catalog import CHECKERS, CREDENTIAL_NAME_WORDS
+from ..rule_catalog import CHECKERS, CREDENTIAL_NAME_WORDS, RULES, SSL_OVERRIDE, SSL_PROCEED
 from ..sources.reports import builtin_rules
 from .registry import Tables, query, sql_values
 
@@ -278,3 +278,62 @@ def builtin_checkers(t: Tables) -> DataFrame:
         F.array(F.lit("getIntent")).alias("arg_methods"),
     )
     return rl.run_checkers(rows.select("*", "_c.*").drop("_c"), CHECKERS)
+
+
+@query(
+    "overridden_certificate_checks",
+    """
+    SELECT DISTINCT 'CWE295' AS checker, l_orderkey AS app_id, 'C' || l_suppkey || '->onReceivedSslError' AS caller FROM lineitem
+    WHERE l_returnflag = 'R' AND l_suppkey % 4 < 3
+    """,
+)
+def overridden_certificate_checks(t: Tables) -> DataFrame:
+    """A line is a call made in a class named after its supplier; three of four such classes descend from the web client."""
+    proceed, override = rl.Call(*SSL_PROCEED), rl.Call(*SSL_OVERRIDE)
+    returned = F.col("l_returnflag") == "R"
+    own = F.concat(F.lit("C"), "l_suppkey")
+    calls = t.lineitem.select(
+        F.col("l_orderkey").alias("app_id"), own.alias("caller_class"), F.lit(override.callee_method).alias("caller_method"),
+        F.lit(override.descriptor).alias("caller_descriptor"), F.lit(proceed.callee_class).alias("callee_class"),
+        F.when(returned, proceed.callee_method).otherwise("cancel").alias("callee_method"), F.lit(proceed.descriptor).alias("descriptor"),
+    )
+    kind = F.col("l_suppkey") % 4
+    base = F.lit(override.callee_class)
+    chain = F.array(
+        F.struct(own.alias("name"), F.when(kind == 0, base).when(kind == 3, "Object").otherwise(F.concat(own, F.lit("a"))).alias("extends")),
+        F.struct(F.concat(own, F.lit("a")).alias("name"), F.when(kind == 1, base).otherwise(F.concat(own, F.lit("b"))).alias("extends")),
+        F.struct(F.concat(own, F.lit("b")).alias("name"), base.alias("extends")),
+    )
+    hierarchy = t.lineitem.select(F.col("l_orderkey").alias("app_id"), F.inline(chain))
+    return rl.overridden_certificate_checks(calls, hierarchy, proceed, override)
+
+
+@query(
+    "weak_random_credentials",
+    """
+    WITH users AS (
+      SELECT l_orderkey FROM lineitem GROUP BY 1
+      HAVING min(CASE WHEN l_returnflag = 'A' THEN l_linenumber END) < max(CASE WHEN l_returnflag = 'R' THEN l_linenumber END))
+    SELECT DISTINCT 'CWE338' AS checker, o_custkey AS app_id, 'make_token_' || o_orderkey AS caller FROM orders JOIN users ON o_orderkey = l_orderkey
+    WHERE o_orderpriority = '1-URGENT'
+    """,
+)
+def weak_random_credentials(t: Tables) -> DataFrame:
+    """An order is a method whose lines are its calls; another method, named by priority, calls it."""
+    _, first, second = RULES["useMethodOfPRNG"]
+    orders = t.orders.select("o_orderkey", F.col("o_custkey").alias("app_id"), "o_orderpriority")
+    method = F.concat(F.lit("m"), "o_orderkey")
+    nothing = [F.array().cast("array<string>").alias(c) for c in ("args", "arg_methods")]
+    inner = t.lineitem.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    made = F.when(F.col("l_returnflag") == "A", first[1]).when(F.col("l_returnflag") == "R", second[1]).otherwise("other")
+    spelled = F.when(F.col("l_returnflag") == "A", first[2]).otherwise(second[2])
+    calls = inner.select(
+        "app_id", method.alias("caller"), made.alias("callee"), F.col("l_linenumber").cast("long").alias("seq"), F.lit(first[0]).alias("callee_class"),
+        made.alias("callee_method"), spelled.alias("descriptor"), *nothing,
+    )
+    name = F.concat(F.when(F.col("o_orderpriority") == "1-URGENT", "make_token_").otherwise("run_"), "o_orderkey")
+    outer = orders.select(
+        "app_id", name.alias("caller"), method.alias("callee"), F.lit(0).cast("long").alias("seq"), F.lit("C").alias("callee_class"),
+        method.alias("callee_method"), F.lit("()V").alias("descriptor"), *nothing,
+    )
+    return rl.weak_random_credentials(calls.unionByName(outer), rl.Call(*first), rl.Call(*second), CREDENTIAL_NAME_WORDS)

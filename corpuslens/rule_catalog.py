@@ -130,8 +130,11 @@ CREDENTIAL_NAME_WORDS = [
 ]
 COMMAND_SPECIALS = "[ ;|,>`]+"
 SSL_PROCEED = ("Landroid/webkit/SslErrorHandler;", "proceed", "()V")
-SSL_OVERRIDE_METHOD = "onReceivedSslError"
-SSL_OVERRIDE_CLASS = "Landroid/webkit/WebViewClient;"
+SSL_OVERRIDE = (
+    "Landroid/webkit/WebViewClient;",
+    "onReceivedSslError",
+    "(Landroid/webkit/WebView; Landroid/webkit/SslErrorHandler; Landroid/net/http/SslError;)V",
+)
 
 LITERAL = '^"'  # string constants in argument lists stand in double quotes
 SWITCHED_ON = "^(?!0$|false$).+"
