@@ -80,10 +80,13 @@ class Corpus:
     def jobs(self, queue: str | None = None, ids: Sequence[str] | None = None, status: str | None = None) -> DataFrame:
         return job_records(self.table("rq_job"), queue, list(ids or []), status)
 
-    def without(self, parent: str, ids: DataFrame) -> dict[str, DataFrame]:
-        """The tables as they are after deleting rows of a parent table with all that depends on them."""
+    def without(self, parent: str, ids: DataFrame, present: Sequence[str] | None = None) -> dict[str, DataFrame]:
+        """The tables as they are after deleting rows of a parent table with all that depends on them.
+
+        ``present`` names the tables that the corpus has, if not all.
+        """
         names = [parent]
         for name in names:
             names += [child for child in CASCADES.get(name, {}) if child not in names]
-        tables = {name: self.table(name) for name in names}
+        tables = {name: self.table(name) for name in names if present is None or name in present}
         return snapshots.delete_cascade(tables, parent, ids, "id", CASCADES)

@@ -20,6 +20,7 @@ MODULES = [
     "similarity_queries",
     "file_queries",
     "stream_queries",
+    "corpus_queries",
 ]
 
 
