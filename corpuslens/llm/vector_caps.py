@@ -6,17 +6,17 @@ equal dimension, each with its own small code of unit vectors, and a direction t
 from each part. The filters of a vector are found by list decoding: per part the code words are
 sorted by their inner product, and partial choices are dropped as soon as even the best rest
 cannot reach the threshold. Vectors meet in their common filters and every pair there is verified by its
-cosine in double precision, so a link is never wrong. A pair is missed only if no filter holds both: near
-vectors share a filter with a chance of about two thirds per filter, and a vector has about ``FILTERS`` of them.
+cosine in double precision, so a link is never wrong. A pair is missed only if no filter holds both: at a cosine of 0.95 a
+filter of one vector holds the other with a chance of about two thirds, and a vector has about ``FILTERS`` of them.
 
 Equal vectors are one node with a count. A filter with many members is cut into slices of ``SLICE`` vectors,
 and every pair of slices is a task of its own: no filter is gathered anywhere, none is cut off. A
 pair counts in its lowest common filter only, so links are counted, and chained to components,
 inside the slices and no list of pairs is ever made.
 
-Cases: vectors that are null, zero, or hold null or non-finite components link with nothing, as do vectors of another
-length than the one most vectors have. Rows with the same id and vector are copies: each links with the
-others. Null ids are left out of components by name: their component is null.
+Cases: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of another
+length than the one most vectors have link with their copies only. Rows with the same id and vector are copies: each
+links with the others. A row without an id takes part, and its component is named by the smallest id in it, if there is one.
 """
 
 from __future__ import annotations
