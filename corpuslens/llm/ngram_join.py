@@ -12,10 +12,10 @@ partitions. Sets are handled per band of sizes, so that h is bounded there by so
 
 Equal sets are one node. Signatures are made and met in packed blocks: a block first combines its own
 equal signatures, so a signature that very many sets share meets others once per block. Every set has a sketch
-that bounds from below in how many shingles two sets differ. Groups of a few members give the pairs that the sketches leave; large ones
+that bounds from below in how many shingles two sets differ, and those that met a wider one. Groups of a few members give the pairs that the sketches leave; large ones
 give those with one member, the hub, and then, slice by slice, those across the components that the hubs' links
 have made: pairs inside a component are never looked at, and of the others only those that the sketches leave become rows.
-Every such pair is verified on the whole texts.
+Of every such pair that the wide sketches leave, too, the whole texts are compared.
 
 Cases: null and empty texts and texts of blanks have no set and link with nothing; fewer than five
 words are one shingle; rows without an id have no component. Repeated rows link like any equal sets.
@@ -153,18 +153,19 @@ def signatures(row: np.ndarray, shingles: np.ndarray, sizes: np.ndarray, bands:
         values_out.append(values[shown])
     if not rows_out:
         return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
-    return np.concatenate(rows_out), np.concatenate(values_out)
+    # 48 bits are enough to meet: what meets by chance is told apart later.
+    return np.concatenate(rows_out), np.concatenate(values_out) >> np.uint64(16)
 
 
-SKETCH_WORDS = 8
+SKETCH_WORDS, WIDE_WORDS = 8, 128
 _SKETCH = [f"sketch{i}" for i in range(SKETCH_WORDS)]
 _SET_ROWS = pa.schema([(c, pa.int64()) for c in ("id", "text_key", "n_shingles", "node", "name", *_SKETCH)])
 _SET_DDL = ", ".join(f"{c} long" for c in _SET_ROWS.names)
 
 
-def _sketches(row: np.ndarray, shingles: np.ndarray, rows: int) -> np.ndarray:
-    """Parities of each set's shingles over 512 cells: two sketches differ in no more bits than the sets in shingles."""
-    bits = SKETCH_WORDS * 64
+def _sketches(row: np.ndarray, shingles: np.ndarray, rows: int, words: int = SKETCH_WORDS) -> np.ndarray:
+    """Parities of each set's shingles over some cells: two sketches differ in no more bits than the sets in shingles."""
+    bits = words * 64
     cell = (mixed(shingles ^ np.uint64(0xA4093822299F31D0)) % np.uint64(bits)).astype(np.int64)
     odd = np.bincount(row * bits + cell, minlength=rows * bits).reshape(rows, bits) & 1
     return np.packbits(odd.astype(bool), axis=1).view("<i8")
@@ -241,7 +242,8 @@ def _pack(entries: np.ndarray) -> bytes:
     """Signatures in full, nodes by their place in a list of the block's nodes."""
     nodes, first, place = np.unique(entries["node"], return_index=True, return_inverse=True)
     kind = "<u2" if len(nodes) <= 1 << 16 else "<u4"
-    return b"".join([np.int64(len(nodes)).tobytes(), nodes.tobytes(), entries["size"][first].tobytes(), entries["signature"].tobytes(), place.astype(kind).tobytes()])
+    return b"".join([np.int64(len(nodes)).tobytes(), nodes.tobytes(), entries["size"][first].tobytes(), (entries["signature"] >> np.uint64(16)).astype("<u4").tobytes(),
+                     entries["signature"].astype("<u2").tobytes(), place.astype(kind).tobytes()])
 
 
 def _unpack(data: bytes, count: int) -> np.ndarray:
@@ -250,8 +252,9 @@ def _unpack(data: bytes, count: int) -> np.ndarray:
     sizes = np.frombuffer(data, dtype="<i4", count=n, offset=8 + 8 * n)
     at = 8 + 12 * n
     entries = np.empty(count, dtype=_ENTRY)
-    entries["signature"] = np.frombuffer(data, dtype="<u8", count=count, offset=at)
-    place = np.frombuffer(data, dtype="<u2" if n <= 1 << 16 else "<u4", count=count, offset=at + 8 * count)
+    high = np.frombuffer(data, dtype="<u4", count=count, offset=at).astype(np.uint64)
+    entries["signature"] = high << np.uint64(16) | np.frombuffer(data, dtype="<u2", count=count, offset=at + 4 * count)
+    place = np.frombuffer(data, dtype="<u2" if n <= 1 << 16 else "<u4", count=count, offset=at + 6 * count)
     entries["node"], entries["size"] = nodes[place], sizes[place]
     return entries
 
@@ -276,6 +279,27 @@ def _meet(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     return pa.table([pa.array(entries["signature"].view(np.int64)), pa.array(entries["node"]), pa.array(entries["size"])], schema=_MEMBERS)
 
 
+_TEXTS = pa.schema([("node", pa.int64()), ("size", pa.int32()), ("wide", pa.binary()), ("text", pa.string())])
+
+
+def _with_wide_sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in sliced(batches, 64):
+        row, shingles = shingle_sets(byte_values(batch.column("text")))
+        sizes = np.bincount(row, minlength=batch.num_rows)
+        wide = [x.tobytes() for x in _sketches(row, shingles, batch.num_rows, WIDE_WORDS)]
+        columns = [batch.column("node"), pa.array(sizes, pa.int32()), pa.array(wide, pa.binary()), batch.column("text")]
+        yield pa.RecordBatch.from_arrays(columns, schema=_TEXTS)
+
+
+def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs that wide sketches do not rule out."""
+    for batch in batches:
+        sizes = batch.column("src_size").to_numpy() + batch.column("dst_size").to_numpy()
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype="<u8").reshape(-1, WIDE_WORDS) for c in ("src_wide", "dst_wide"))
+        differing = np.bitwise_count(a ^ b).sum(axis=1, dtype=np.int64)
+        yield batch.select(["src", "dst"]).filter(pa.array(9 * differing <= sizes))
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Exact comparison of the two sets of every pair."""
     for batch in sliced(batches, 64):
@@ -374,10 +398,11 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     merged = large.join(lowest, "group").select(F.col("lowest").alias("group"), "node", "size").distinct()
     large = merged.join(merged.groupBy("group").agg(F.count("*").alias("members")), "group").join(sketched, "node").checkpoint()
     wanted = groups.select("node").distinct().join(classes, "node").select("node", "first", F.col("first_key").alias("text_key"))
-    texts = (
-        rows.join(wanted.withColumnRenamed("first", "id"), ["id", "text_key"]).dropDuplicates(["node"]).select("node", "text")
-        .write.parquet(path := new_work_dir(spark, "texts"))
-    )
+    # Of equal rows one text is enough.
+    copy = F.row_number().over(Window.partitionBy("id", "text_key").orderBy(F.lit(1)))
+    found = rows.join(wanted.withColumnRenamed("first", "id"), ["id", "text_key"]).withColumn("copy", copy).where("copy = 1")
+    path = new_work_dir(spark, "texts")
+    found.select("node", "text").mapInArrow(_with_wide_sketch, "node long, size int, wide binary, text string").write.parquet(path)
     texts = spark.read.parquet(path)
 
     def joined(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -397,17 +422,20 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         lowest = groups.groupBy("group").agg(F.min(F.struct("node", "size", *_SKETCH)).alias("hub"))
         return lowest.select("group", *(f"hub.{c}" for c in ("node", "size", *_SKETCH)))
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        pairs = pairs.distinct().checkpoint()
-        src = texts.select(F.col("node").alias("src"), F.col("text").alias("src_text"))
-        dst = texts.select(F.col("node").alias("dst"), F.col("text").alias("dst_text"))
+    def with_both(pairs: DataFrame, *columns: str) -> DataFrame:
+        """Pairs with columns of both their texts."""
+        src, dst = (texts.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in columns)) for side in ("src", "dst"))
         if pairs.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
-            # Only the texts of pairs move.
+            # Only what belongs to pairs moves.
             few = F.broadcast(pairs)
             both = src.join(few, "src").join(dst.join(few, "dst"), ["src", "dst"])
         else:
             both = pairs.join(src, "src").join(dst, "dst")
-        return both.select("src", "dst", "src_text", "dst_text").mapInArrow(_verify, "src long, dst long").checkpoint()
+        return both.select("src", "dst", *(f"{side}_{c}" for side in ("src", "dst") for c in columns))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        likely = with_both(pairs.distinct().checkpoint(), "size", "wide").mapInArrow(_likely, "src long, dst long").checkpoint()
+        return with_both(likely, "text").mapInArrow(_verify, "src long, dst long").checkpoint()
 
     links = verified(joined(small, small).unionByName(joined(hubs(large), large)))
     components = connected_components(links).checkpoint()
