@@ -7,11 +7,12 @@ meet them. A null text counts as an empty one.
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -22,6 +23,13 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     )
 
 
+def release_finished(spark: SparkSession) -> None:
+    """Let go of the shuffle files of steps that are done: Spark deletes them once the driver has
+    collected the objects that stand for them, which it may not do by itself for a long time."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def text_key() -> Column:
     """Tells texts of rows with the same id apart: rows of one id and one text have one result."""
     return F.xxhash64("text").alias("text_key")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from ..operators.similarity import connected_components
 from ..session import new_work_dir, work_root
-from .common import Fingerprints, batch_of, byte_values, mixed, sliced, text_key, text_rows
+from .common import Fingerprints, batch_of, byte_values, mixed, release_finished, sliced, text_key, text_rows
 
 SHINGLE_WORDS = 5
 SPREAD = 25 / 16  # a band's largest size over its smallest
@@ -397,6 +397,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     lowest = large.groupBy("group").agg(F.min("node").alias("lowest"))
     merged = large.join(lowest, "group").select(F.col("lowest").alias("group"), "node", "size").distinct()
     large = merged.join(merged.groupBy("group").agg(F.count("*").alias("members")), "group").join(sketched, "node").checkpoint()
+    release_finished(spark)
     wanted = groups.select("node").distinct().join(classes, "node").select("node", "first", F.col("first_key").alias("text_key"))
     # Of equal rows one text is enough.
     copy = F.row_number().over(Window.partitionBy("id", "text_key").orderBy(F.lit(1)))
@@ -435,10 +436,13 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     def verified(pairs: DataFrame) -> DataFrame:
         likely = with_both(pairs.distinct().checkpoint(), "size", "wide").mapInArrow(_likely, "src long, dst long").checkpoint()
-        return with_both(likely, "text").mapInArrow(_verify, "src long, dst long").checkpoint()
+        linked = with_both(likely, "text").mapInArrow(_verify, "src long, dst long").checkpoint()
+        release_finished(spark)
+        return linked
 
     links = verified(joined(small, small).unionByName(joined(hubs(large), large)))
     components = connected_components(links).checkpoint()
+    release_finished(spark)
 
     # Members of large groups that hubs have not brought together: all pairs across components, in slices.
     # First as many as it takes to chain those that may be linked, then what has not come together.
@@ -459,6 +463,7 @@ def linked_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         if not found.isEmpty():
             links = links.unionByName(found)
             components = connected_components(links).checkpoint()
+            release_finished(spark)
 
     named = (
         classes.join(components, "node", "left").withColumn("component", F.coalesce("component", "node"))
