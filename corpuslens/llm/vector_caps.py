@@ -6,8 +6,12 @@ equal dimension, each with its own small code of unit vectors, and a direction t
 from each part. The filters of a vector are found by list decoding: per part the code words are
 sorted by their inner product, and partial choices are dropped as soon as even the best rest
 cannot reach the threshold. Vectors meet in their common filters and every pair there is verified by its
-cosine in double precision, so a link is never wrong. A pair is missed only if no filter holds both: at a cosine of 0.95 a
-filter of one vector holds the other with a chance of about two thirds, and a vector has about ``FILTERS`` of them.
+cosine in double precision, so a link is never wrong. A vector also belongs to its ``BEST`` best directions, whether or
+not they reach the threshold, so each has filters, and several codes, drawn independently, are used side by side.
+
+A pair is missed only if no filter of any code holds both. Codes are turned at random, so the chance of that depends on
+nothing but the pair's cosine: it is measured on ``PROBES`` random pairs right at the least cosine, and codes are added
+until at most one in ``1 / MISSED`` of those is missed. Up to ``EXACT`` distinct vectors are all compared with each other.
 
 Equal vectors are one node with a count. A filter with many members is cut into slices of ``SLICE`` vectors,
 and every pair of slices is a task of its own: no filter is gathered anywhere, none is cut off. A
@@ -21,6 +25,7 @@ links with the others. A row without an id takes part, and its component is name
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from typing import Any
 
@@ -32,14 +37,19 @@ from pyspark.sql import functions as F
 
 from ..operators.similarity import connected_components
 from ..session import work_root
-from .common import batch_of
+from .common import batch_of, sliced
 
 MIN_COSINE = 0.95
 PARTS = 2
-FILTERS = 24.0
+FILTERS = 12.0  # of each code, on average
+BEST = 12
 BUCKET = 200
 SLICE = 512
 SEED = 20
+EXACT = 4_096
+LEAST_CODES, MOST_CODES = 2, 64
+PROBES, MISSED = 4_000, 0.0005
+SAMPLED_DIRECTIONS = 40_000
 
 
 class ProductCode:
@@ -61,11 +71,14 @@ class ProductCode:
         sample = random.normal(size=(400, dimension))
         sample /= np.linalg.norm(sample, axis=1, keepdims=True)
         products = self._products(sample)
-        total = products[0]
-        for more in products[1:]:
-            total = (total[:, :, None] + more[:, None, :]).reshape(len(sample), -1)
-        share = min(0.5, filters / total.shape[1])
-        self.threshold = float(np.quantile(total, 1 - share))
+        directions = self.words**self.parts
+        if directions <= SAMPLED_DIRECTIONS:
+            total = products[0]
+            for more in products[1:]:
+                total = (total[:, :, None] + more[:, None, :]).reshape(len(sample), -1)
+        else:
+            total = sum(p[:, random.integers(self.words, size=SAMPLED_DIRECTIONS)] for p in products)
+        self.threshold = float(np.quantile(total, 1 - min(0.5, filters / directions)))
 
     def _products(self, vectors: np.ndarray) -> list[np.ndarray]:
         turned = vectors @ self.rotation
@@ -85,6 +98,73 @@ class ProductCode:
             row, name, reached = row[at], name[at] * self.words + word, values[at, word]
         return row, name
 
+    def best_of(self, vectors: np.ndarray, best: int) -> np.ndarray:
+        """The ``best`` directions of greatest inner product of every row."""
+        reached, name = np.zeros((len(vectors), 1)), np.zeros((len(vectors), 1), dtype=np.int64)
+        for products in self._products(vectors):
+            # What is not among the best of the first parts, or of this one, is not among the best of all.
+            few = min(best, self.words)
+            word = np.argpartition(-products, few - 1, axis=1)[:, :few]
+            values = (reached[:, :, None] + np.take_along_axis(products, word, 1)[:, None, :]).reshape(len(vectors), -1)
+            names = (name[:, :, None] * self.words + word[:, None, :]).reshape(len(vectors), -1)
+            top = np.argpartition(-values, min(best, values.shape[1]) - 1, axis=1)[:, :best]
+            reached, name = np.take_along_axis(values, top, 1), np.take_along_axis(names, top, 1)
+        return name
+
+
+class Codes:
+    """Independent codes over vectors of one length, as many as it takes; none if all pairs are compared."""
+
+    def __init__(self, dimension: int, nodes: int, min_cosine: float = MIN_COSINE, exact: int = EXACT, best: int = BEST, seed: int = SEED, **code_options):
+        self.best, self.codes, self.missed = best, [], 0.0
+        if nodes <= exact or dimension == 1:
+            return
+        random = np.random.default_rng(seed)
+        a, b = random.normal(size=(2, PROBES, dimension))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = min_cosine * a + np.sqrt(max(0.0, 1 - min_cosine**2)) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        apart = np.ones(PROBES, dtype=bool)
+        while len(self.codes) < LEAST_CODES or (apart.mean() > MISSED and len(self.codes) < MOST_CODES):
+            self.codes.append(ProductCode(dimension, nodes, seed=seed + 1 + len(self.codes), **code_options))
+            for start in range(0, PROBES, 64):
+                some = slice(start, start + 64)
+                (row_a, name_a), (row_b, name_b) = (self._of_code(self.codes[-1], x[some]) for x in (a, b))
+                pairs_a, pairs_b = (np.stack(x, axis=1).view("i8,i8").ravel() for x in ((row_a, name_a), (row_b, name_b)))
+                apart[np.intersect1d(pairs_a, pairs_b)["f0"] + start] = False
+        self.missed = float(apart.mean())
+        if self.missed > MISSED:
+            warnings.warn(f"{MOST_CODES} codes miss {self.missed:.2%} of the pairs at a cosine of {min_cosine}", stacklevel=2)
+
+    def _of_code(self, code: ProductCode, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        row, name = code.filters_of(vectors)
+        best = code.best_of(vectors, self.best)
+        row = np.concatenate([row, np.repeat(np.arange(len(vectors)), best.shape[1])])
+        name = np.concatenate([name, best.ravel()])
+        order = np.lexsort((name, row))
+        row, name = row[order], name[order]
+        fresh = np.ones(len(row), dtype=bool)
+        fresh[1:] = (row[1:] != row[:-1]) | (name[1:] != name[:-1])
+        return row[fresh], name[fresh]
+
+    def count(self) -> int:
+        """How many filters there are."""
+        return max(1, sum(code.words**code.parts for code in self.codes))
+
+    def filters_of(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``(row, filter)`` of every vector in every code, by row and filter."""
+        if not self.codes:
+            return np.arange(len(vectors)), np.zeros(len(vectors), dtype=np.int64)
+        rows, names, before = [], [], 0
+        for code in self.codes:
+            row, name = self._of_code(code, vectors)
+            rows.append(row)
+            names.append(name + before)
+            before += code.words**code.parts
+        row, name = np.concatenate(rows), np.concatenate(names)
+        order = np.lexsort((name, row))
+        return row[order], name[order]
+
 
 def _node_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """``(id, vector)`` with vectors as doubles; unusable ones become null."""
@@ -98,9 +178,7 @@ def _decode(shared):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = shared.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in sliced(batches, 64):
             matrix = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             scale = np.abs(matrix).max(axis=1, keepdims=True)
             unit = matrix / scale
@@ -185,7 +263,7 @@ def vector_links(
     none = rows.where(F.col("vector").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     if not sizes:
         return none
-    code = ProductCode(sizes[0].n, sizes[0].rows, **code_options)
+    code = Codes(sizes[0].n, sizes[0].rows, min_cosine, **code_options)
     shared = vectors.sparkSession.sparkContext.broadcast(code)
     decoded = nodes.where(F.size("vector") == sizes[0].n).select("node", "copies", "vector").mapInArrow(
         _decode(shared), "filter long, node long, copies long, vector array<double>, filters array<long>"

@@ -60,6 +60,45 @@ def test_list_decoding_finds_every_filter():
     assert sorted(zip(row.tolist(), name.tolist())) == sorted(map(tuple, want.tolist()))
 
 
+def test_every_vector_has_filters_and_pairs_meet():
+    """The code of a million vectors: no vector is without filters, few pairs at the least cosine are missed."""
+    random = np.random.default_rng(3)
+    for dimension in (32, 96):
+        code = vector_caps.Codes(dimension, 1_000_000)
+        a, b = random.normal(size=(2, 1500, dimension))
+        a /= np.linalg.norm(a, axis=1, keepdims=True)
+        b -= (a * b).sum(axis=1, keepdims=True) * a
+        b = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
+        held = []
+        for vectors in (a, b):
+            found = [code.filters_of(vectors[start : start + 100]) for start in range(0, len(vectors), 100)]
+            held.append([set(name[row == i].tolist()) for row, name in found for i in range(100)])
+        assert min(len(f) for side in held for f in side) >= len(code.codes) * code.best
+        assert sum(x.isdisjoint(y) for x, y in zip(*held)) <= 0.003 * len(a)
+
+
+def test_best_directions():
+    code = vector_caps.ProductCode(24, 5000, parts=3)
+    vectors = np.random.default_rng(2).normal(size=(50, 24))
+    a, b, c = code._products(vectors)
+    total = (a[:, :, None, None] + b[:, None, :, None] + c[:, None, None, :]).reshape(50, -1)
+    assert np.array_equal(np.sort(code.best_of(vectors, 9), axis=1), np.sort(np.argsort(-total, axis=1)[:, :9], axis=1))
+
+
+def test_few_vectors_are_compared_in_full_and_many_by_codes(spark):
+    random = np.random.default_rng(5)
+    centres = random.normal(size=(300, 24))
+    vectors = np.concatenate([centres, centres + random.normal(size=centres.shape) * 0.27])
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    near = unit @ unit.T >= 0.95
+    np.fill_diagonal(near, False)
+    assert near.sum() > 100
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    for exact, least in ((vector_caps.EXACT, 1.0), (0, 0.995)):
+        got = {r.id: r.n_links for r in vector_caps.vector_links(df, exact=exact).collect()}
+        assert all(got[i] <= near[i].sum() for i in got) and sum(got.values()) >= least * near.sum()
+
+
 def test_vectors_without_rows(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vector_caps.vector_links(empty).collect() == []
