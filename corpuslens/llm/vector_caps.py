@@ -18,8 +18,8 @@ and every pair of slices is a task of its own: no filter is gathered anywhere, n
 pair counts in its lowest common filter only, so links are counted, and chained to components,
 inside the slices and no list of pairs is ever made.
 
-Cases: vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of another
-length than the one most vectors have link with their copies only. Rows with the same id and vector are copies: each
+Cases: vectors that are null, zero, or hold null or non-finite components link with nothing. Vectors of different lengths
+never link; each length has codes and filters of its own. Rows with the same id and vector are copies: each
 links with the others. A row without an id takes part, and its component is named by the smallest id in it, if there is one.
 """
 
@@ -32,6 +32,7 @@ from typing import Any
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,17 +174,31 @@ def _node_rows(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.when(F.coalesce(sound, F.lit(False)), raw).alias("vector"))
 
 
+def _of_one_length(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches of vectors of one length."""
+    for batch in batches:
+        lengths = pc.list_value_length(batch.column("vector"))
+        for length in pc.unique(lengths):
+            yield from sliced([batch.filter(pc.equal(lengths, length))], 64)
+
+
 def _decode(shared):
     schema = pa.schema([("filter", pa.int64()), ("node", pa.int64()), ("copies", pa.int64()), ("vector", pa.list_(pa.float64())), ("filters", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = shared.value
-        for batch in sliced(batches, 64):
+        # Every length has filter numbers of its own.
+        codes, before = {}, 0
+        for length, code in shared.value:
+            codes[length] = code, before
+            before += code.count()
+        for batch in _of_one_length(batches):
             matrix = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             scale = np.abs(matrix).max(axis=1, keepdims=True)
             unit = matrix / scale
             unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+            code, first = codes[matrix.shape[1]]
             row, name = code.filters_of(unit)
+            name = name + first
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
             own = [name[a:b] for a, b in zip(ends, ends[1:])]
             node, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
@@ -258,14 +273,13 @@ def vector_links(
         .withColumn("node", F.monotonically_increasing_id())
         .checkpoint()
     )
-    sizes = nodes.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).orderBy(F.desc("rows"), "n").limit(1).collect()
+    sizes = nodes.groupBy(F.size("vector").alias("n")).agg(F.count("*").alias("rows")).orderBy("n").collect()
     members = rows.join(nodes, "vector").select("id", "node", "copies", "first")
     none = rows.where(F.col("vector").isNull()).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     if not sizes:
         return none
-    code = Codes(sizes[0].n, sizes[0].rows, min_cosine, **code_options)
-    shared = vectors.sparkSession.sparkContext.broadcast(code)
-    decoded = nodes.where(F.size("vector") == sizes[0].n).select("node", "copies", "vector").mapInArrow(
+    shared = vectors.sparkSession.sparkContext.broadcast([(size.n, Codes(size.n, size.rows, min_cosine, **code_options)) for size in sizes])
+    decoded = nodes.select("node", "copies", "vector").mapInArrow(
         _decode(shared), "filter long, node long, copies long, vector array<double>, filters array<long>"
     )
 

@@ -99,6 +99,29 @@ def test_few_vectors_are_compared_in_full_and_many_by_codes(spark):
         assert all(got[i] <= near[i].sum() for i in got) and sum(got.values()) >= least * near.sum()
 
 
+def test_vectors_of_every_length_are_compared(spark):
+    random = np.random.default_rng(6)
+    rows, want = [], {}
+    for length in (1, 7, 24, 32):
+        centres = random.normal(size=(60, length))
+        vectors = np.concatenate([centres, centres + random.normal(size=centres.shape) * 0.2, centres[:5]])
+        unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+        near = unit @ unit.T >= 0.95
+        np.fill_diagonal(near, False)
+        links = [(int(a), int(b)) for a, b in zip(*np.nonzero(near)) if a < b]
+        found, base = components(range(len(vectors)), links), 1000 * length
+        rows += [(base + i, v.tolist()) for i, v in enumerate(vectors)]
+        want |= {base + i: (int(near[i].sum()), base + found[i]) for i in range(len(vectors))}
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    assert {r.id: (r.n_links, r.component_id) for r in vector_caps.vector_links(df).collect()} == want
+    # With codes for every length, too.
+    got = {r.id: r.n_links for r in vector_caps.vector_links(df, exact=0).collect()}
+    assert all(got[i] <= want[i][0] for i in want)
+    for length in (7, 24, 32):
+        own = [i for i in want if i // 1000 == length]
+        assert sum(got[i] for i in own) >= 0.99 * sum(want[i][0] for i in own)
+
+
 def test_vectors_without_rows(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vector_caps.vector_links(empty).collect() == []
