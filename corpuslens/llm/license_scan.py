@@ -1,14 +1,17 @@
 """Licence notices in documents, by a trained paragraph classifier (operator 8).
 
-A paragraph is a line. A multinomial logistic regression over hashed word n-grams (one to three words) tells
+Places and counts are of lines that are not blank; notices are sought in whole paragraphs, which blank lines part, across
+their line breaks, comment marks and hyphens at line ends. A multinomial logistic regression over hashed word n-grams (one to three words) tells
 the licence families and the class ``unknown`` apart. It is trained on variants of the notices in ``NOTICES``
 (cut, embedded in other words, with words changed) and, for ``unknown``, on at most ``BACKGROUND`` paragraphs
 of the corpus, in the order of a hash of their document's id. Half of the rows train, the other half calibrates: one
 temperature makes the probabilities honest, and the ``unknown`` class gets the offset that makes its mean probability equal its share. A family is reported for
-a paragraph if it is likelier than ``unknown`` and a notice of the family confirms it: at least
-``CONFIRMED`` of the notice's word triples stand in the paragraph. Likely but unconfirmed paragraphs are counted apart.
+a passage if it is likelier than ``unknown`` and a notice of the family confirms it: at least
+``CONFIRMED`` of the notice's word triples stand in the passage, which begins and ends with such triples. Of
+passages that overlap, the likeliest family counts; its place is the line in which it begins.
 
-Only paragraphs with one of the word stems that every notice has are scored; all others are ``unknown``.
+Lines outside these passages are scored by themselves, long ones in overlapping windows of ``WINDOW`` words; likely
+but unconfirmed lines are counted apart. They are scored if their paragraph has a word stem or a word triple of a notice.
 
 Cases: null and empty texts have no paragraphs; blank lines are none. Repeated rows get repeated results.
 Without documents the background is empty and only the notices teach. Ties go to the family that sorts first.
@@ -51,6 +54,8 @@ NOTICES = {
     "Unlicense": ["This is free and unencumbered software released into the public domain", "Released under the Unlicense license"],
 }
 _STEM = re.compile(r"licen[sc]e|permission|redistribution|public domain", re.IGNORECASE)
+_LETTER = re.compile(r"\w")
+_HYPHEN = re.compile(r"\w-\s*$")
 _WORDS = re.compile(r"\w+(?:[.-]\w+)*").findall
 
 UNKNOWN = "unknown"
@@ -59,6 +64,7 @@ BACKGROUND_DOCS = 600
 VARIANTS = 60
 CELLS = 1 << 15
 CONFIRMED = 0.6
+WINDOW = 64
 SEED = 8
 
 SCANNED = pa.schema(
@@ -72,6 +78,15 @@ def words_of(paragraph: str) -> list[str]:
     return _WORDS(paragraph.lower())
 
 
+def _words_of_lines(lines: list[str]) -> list[list[str]]:
+    """The words of every line; one cut by a hyphen at the end of its line belongs to that line as a whole."""
+    out = [words_of(line) for line in lines]
+    for n in range(len(lines) - 1):
+        if _HYPHEN.search(lines[n]) and out[n] and out[n + 1]:
+            out[n][-1] += "-" + out[n + 1].pop(0)
+    return out
+
+
 def triples(words: list[str]) -> set[tuple[str, ...]]:
     return {tuple(words[i : i + 3]) for i in range(max(1, len(words) - 2))}
 
@@ -113,6 +128,11 @@ class LicenceModel:
     def __init__(self, background: list[str], rounds: int = 60, seed: int = SEED):
         random = np.random.default_rng(seed)
         self.classes = [*sorted(NOTICES), UNKNOWN]
+        self.notices = [(family, words_of(n)) for family in sorted(NOTICES) for n in NOTICES[family]]
+        self.holders: dict[tuple[str, ...], list[int]] = {}
+        for n, (_, words) in enumerate(self.notices):
+            for triple in triples(words):
+                self.holders.setdefault(triple, []).append(n)
         self.triples = {family: [triples(words_of(n)) for n in notices] for family, notices in NOTICES.items()}
         plain = [w for w in map(words_of, sorted(background)) if w and not any(self.confirms(f, w) for f in NOTICES)]
         filler = sorted({w for words in plain for w in words})[:50_000] or ["text"]
@@ -157,35 +177,103 @@ class LicenceModel:
         own = triples(words)
         return any(len(t & own) >= CONFIRMED * len(t) for t in self.triples[family])
 
-    def predict(self, words: list[str]) -> tuple[str, float]:
-        """The likeliest class of a paragraph and its calibrated probability."""
+    def chances(self, words: list[str]) -> np.ndarray:
+        """The calibrated probability of every class."""
         found = cells(words)
         logits = self.weights[found].sum(axis=0, dtype=float) / np.sqrt(max(1, len(found))) + self.bias
         logits = logits / self.temperature
         logits[-1] += self.offset
-        chances = _softmax(logits[None])[0]
+        return _softmax(logits[None])[0]
+
+    def predict(self, words: list[str]) -> tuple[str, float]:
+        """The likeliest class of a paragraph and its calibrated probability."""
+        chances = self.chances(words)
         best = int(np.argmax(chances))
         return self.classes[best], float(chances[best])
 
-    def scan(self, text: str) -> tuple[int, list[str], list[float], list[int], int]:
-        """Paragraphs, confirmed families with probability and paragraph, unconfirmed paragraphs."""
-        lines = [line for line in text.split("\n") if line.strip()]
-        families, confidences, places, unconfirmed = [], [], [], 0
-        if _STEM.search(text):
-            for place, line in enumerate(lines):
-                if not _STEM.search(line):
-                    continue
-                words = words_of(line)
-                family, chance = self.predict(words)
-                if family == UNKNOWN:
+    def passages(self, words: list[str], hits: list[int]) -> list[tuple[int, int, str]]:
+        """``(start, end, family)`` of the stretches that confirm a notice; hits are the places of triples of notices."""
+        of_notice: dict[int, list[tuple[int, tuple[str, ...]]]] = {}
+        for at in hits:
+            triple = tuple(words[at : at + 3])
+            for n in self.holders[triple]:
+                of_notice.setdefault(n, []).append((at, triple))
+        found = []
+        for n, places in of_notice.items():
+            family, notice = self.notices[n]
+            needed, reach, i = CONFIRMED * len(triples(notice)), 2 * len(notice) + 12, 0
+            while i < len(places):
+                taken, j = set(), i
+                while j < len(places) and places[j][0] < places[i][0] + reach and places[j][1] not in taken:
+                    taken.add(places[j][1])
+                    j += 1
+                if len(taken) < needed:
+                    i += 1
                     continue
-                if self.confirms(family, words):
-                    families.append(family)
-                    confidences.append(chance)
-                    places.append(place)
-                else:
-                    unconfirmed += 1
-        return len(lines), families, confidences, places, unconfirmed
+                # Stray triples far before or after the notice do not belong to it.
+                first, last = i, j - 1
+                while last - first >= needed and places[first + 1][0] - places[first][0] > 4:
+                    first += 1
+                while last - first >= needed and places[last][0] - places[last - 1][0] > 4:
+                    last -= 1
+                found.append((places[first][0], places[last][0] + 3, family))
+                i = last + 1
+        return sorted(found)
+
+    def _paragraph(self, lines: list[str], first: int) -> tuple[list[tuple[int, str, float]], int]:
+        """``(line, family, probability)`` of the confirmed passages and lines, and the number of unconfirmed lines."""
+        parts = _words_of_lines(lines)
+        words = [w for part in parts for w in part]
+        hits = [at for at, t in enumerate(zip(words, words[1:], words[2:])) if t in self.holders]
+        if not hits and not any(map(_STEM.search, lines)):
+            return [], 0
+        line_of = [n for n, part in enumerate(parts) for _ in part]
+        out, unconfirmed, covered = [], 0, set()
+        places = self.passages(words, hits)
+        while places:
+            # Passages that overlap are one; the likeliest of their families counts.
+            start, end, families, n = *places[0][:2], set(), 0
+            while n < len(places) and places[n][0] < end:
+                end = max(end, places[n][1])
+                families.add(places[n][2])
+                n += 1
+            places = places[n:]
+            chances = self.chances(words[start:end])
+            best = max(sorted(families), key=lambda f: chances[self.classes.index(f)])
+            chance = float(chances[self.classes.index(best)])
+            if chance > chances[-1]:
+                out.append((first + line_of[start], best, chance))
+                covered.update(line_of[start:end])
+        for n, part in enumerate(parts):
+            if n in covered or not part:
+                continue
+            likely = [self.predict(part[at : at + WINDOW]) for at in range(0, max(1, len(part) - WINDOW // 2), WINDOW // 2)]
+            likely = [(chance, family) for family, chance in likely if family != UNKNOWN]
+            confirmed = [(chance, family) for chance, family in likely if self.confirms(family, part)]
+            if confirmed:
+                chance, family = max(confirmed)
+                out.append((first + n, family, chance))
+            elif likely:
+                unconfirmed += 1
+        return sorted(out, key=lambda x: x[0]), unconfirmed
+
+    def scan(self, text: str) -> tuple[int, list[str], list[float], list[int], int]:
+        """Lines that are not blank, confirmed families with probability and line, unconfirmed lines."""
+        count, unconfirmed, out = 0, 0, []
+        block: list[str] = []
+        for line in [*text.split("\n"), ""]:
+            if _LETTER.search(line):
+                block.append(line)
+                continue
+            if block:
+                found, more = self._paragraph(block, count)
+                out += found
+                unconfirmed += more
+                count += len(block)
+                block = []
+            # A line of signs only parts paragraphs, too, and counts as a line.
+            count += bool(line.strip())
+        return count, [f for _, f, _ in out], [c for _, _, c in out], [n for n, _, _ in out], unconfirmed
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", background: int = BACKGROUND, background_docs: int = BACKGROUND_DOCS) -> LicenceModel:

@@ -1,6 +1,7 @@
 """Trained operators: exact search, held-out accuracy, awkward rows."""
 
 import random
+import textwrap
 
 import numpy as np
 import pytest
@@ -114,6 +115,26 @@ def test_licence_families(licences, make_docs, awkward):
     assert len(rows) == len(awkward) and all(r.families == [] for r in rows)
 
 
+def test_wrapped_licence_notices(licences):
+    for family, notices in license_scan.NOTICES.items():
+        for notice in notices:
+            for width in (14, 24, 40, 60, 72):
+                for mark in ("", " * ", "# ", "// "):
+                    lines = [mark + line for line in textwrap.wrap(notice + ".", width)]
+                    text = "\n".join(["Some prose of a house.", "", *lines, "", "The green river."])
+                    count, families, _, places, unconfirmed = licences.scan(text)
+                    assert (families, places, unconfirmed) == ([family], [1], 0), text
+                    assert count == len(lines) + 2
+
+
+def test_licence_notices_within_long_lines_and_beside_each_other(licences):
+    random.seed(4)
+    filler = " ".join(random.choices(["river", "house", "green", "walk"], k=300))
+    assert licences.scan(f"{filler} Released under the MIT License {filler}")[1:4:2] == (["MIT"], [0])
+    both = "Licensed under the Apache License, Version 2.0 or Released under the\nMIT License"
+    assert licences.scan(both)[1:4:2] == (["Apache", "MIT"], [0, 0])
+
+
 def test_licence_training_without_documents(make_docs):
     model = license_scan.train(make_docs([]))
     assert model.scan("Licensed under CC BY-NC 4.0.")[1] == ["CC-BY-NC"]
