@@ -29,6 +29,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -197,7 +198,7 @@ def _in_order(entries: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _blocks(buckets: int):
-    def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
+    def flush(parts: list[np.ndarray], first_piece: int) -> tuple[pa.RecordBatch, int]:
         entries, first, count = _in_order(np.concatenate(parts))
         # One entry per signature goes on to meet other blocks. If the block has more of it, they skip the
         # meeting, and the one that goes is marked by a negative size: its group is not yet whole.
@@ -209,12 +210,17 @@ def _blocks(buckets: int):
         entries = entries[np.argsort(bucket, kind="stable")]
         pieces = np.split(entries, np.cumsum(np.bincount(bucket, minlength=buckets))[:-1])
         rows = [(i, len(piece), _pack(piece)) for i, piece in enumerate(pieces) if len(piece)]
-        rows += [(-1 - at % buckets, len(extra[at : at + 10_000]), extra[at : at + 10_000].tobytes()) for at in range(0, len(extra), 10_000)]
-        return batch_of(_PACKED, *zip(*rows))
+        # What skips the meeting is dealt over all buckets below zero, by the number of its task and its piece.
+        extras = [extra[at : at + 10_000] for at in range(0, len(extra), 10_000)]
+        task = TaskContext.get()
+        number = np.arange(first_piece, first_piece + len(extras), dtype=np.uint64) + np.uint64((task.partitionId() if task else 0) << 32)
+        dealt = (mixed(number) % np.uint64(buckets)).astype(np.int64)
+        rows += [(-1 - to, len(piece), piece.tobytes()) for to, piece in zip(dealt.tolist(), extras)]
+        return batch_of(_PACKED, *zip(*rows)), first_piece + len(extras)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands()
-        parts, held, seen = [], 0, set()
+        parts, held, seen, pieces = [], 0, set(), 0
         for batch in sliced(batches, 128):
             texts = byte_values(batch.column("text"))
             row, shingles = shingle_sets(texts)
@@ -230,10 +236,11 @@ def _blocks(buckets: int):
             parts.append(entries)
             held += len(entries)
             if held >= BLOCK_ROWS:
-                yield flush(parts)
+                block, pieces = flush(parts, pieces)
+                yield block
                 parts, held = [], 0
         if held:
-            yield flush(parts)
+            yield flush(parts, pieces)[0]
 
     return run
 
@@ -489,8 +496,12 @@ def one_of_each_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     )
     key = F.xxhash64(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     own_id = F.col(f"`{id_col}`").cast("long")
-    rows = docs.withColumn("_key", key).join(decided, (own_id == F.col("_id")) & (F.col("_key") == F.col("_text_key")), "left")
+    # Rows without an id or a set are in no group: they take no part in the join and the numbering.
+    in_group = own_id.isNotNull() & F.coalesce(F.col(f"`{text_col}`"), F.lit("")).rlike("[^ \\t\\n\\x0b\\x0c\\r]")
+    rows = docs.where(in_group).withColumn("_key", key).join(decided, (own_id == F.col("_id")) & (F.col("_key") == F.col("_text_key")), "left")
     # Equal rows are copies of each other: the first of them stays.
     copy = F.row_number().over(Window.partitionBy("_id", "_text_key").orderBy(F.lit(1)))
     rows = rows.withColumn("_copy", F.when(F.col("_id").isNull(), F.lit(1)).otherwise(copy))
-    return rows.where(F.col("_stays").isNull() | (F.col("_stays") & (F.col("_copy") == 1))).select(*[f"`{c}`" for c in docs.columns])
+    columns = [f"`{c}`" for c in docs.columns]
+    kept = rows.where(F.col("_stays").isNull() | (F.col("_stays") & (F.col("_copy") == 1))).select(*columns)
+    return kept.unionAll(docs.where(~in_group).select(*columns))

@@ -4,6 +4,8 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from corpuslens.llm import ngram_join, suffix_dedup, vector_caps
 
@@ -204,6 +206,25 @@ def test_one_of_each_group(make_docs):
     assert ngram_join.linked_documents(make_docs([])).collect() == []
 
 
+def test_entries_that_skip_the_meeting_are_dealt_over_all_buckets(monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 100)
+    base = [f"w{i}" for i in range(40)]
+    texts = [" ".join(base[: n % 40] + [f"n{n}"] + base[n % 40 :]) for n in range(60 * 128)]
+    batches = [pa.record_batch({"text": texts})]
+    extra = [(b, n) for block in ngram_join._blocks(16)(iter(batches)) for b, n in zip(block["bucket"].to_pylist(), block["entries"].to_pylist()) if b < 0]
+    sizes = Counter()
+    for bucket, entries in extra:
+        sizes[bucket] += entries
+    assert len(extra) >= 60 and min(sizes) >= -16 and len(sizes) > 8 and max(sizes.values()) <= 0.3 * sum(sizes.values())
+
+
+def test_rows_in_no_group_stay_where_they_are(make_docs):
+    rows = [(None, "a text")] * 150 + [(7, "")] * 150 + [(8, " \t\n\x0b\x0c\r")] * 50 + [(9, None)] * 50 + [(1, "a text"), (2, "A text"), (3, "\xa0 \x1f")]
+    kept = ngram_join.one_of_each_group(make_docs(rows)).withColumn("part", F.spark_partition_id()).select("doc_id", "text", "part").collect()
+    assert Counter((r.doc_id, r.text) for r in kept) == Counter(r for r in rows if r[0] != 2)
+    assert max(Counter(r.part for r in kept).values()) < 200
+
+
 def test_signatures_meet_for_every_linked_pair():
     random.seed(4)
     bands = ngram_join.Bands()
