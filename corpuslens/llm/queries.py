@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_root
-from . import bpe_codec, decontamination, language_mixture, license_scan, line_dedup, ngram_join, suffix_dedup, token_counts, toxicity, vector_caps
+from . import bpe_codec, decontamination, importance, language_mixture, license_scan, line_dedup, ngram_join, suffix_dedup, token_counts, toxicity, vector_caps
 from .common import batch_of, byte_values, join_rows, text_key, text_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,3 +225,58 @@ def op8(read) -> DataFrame:
         F.size("families").cast("long").alias("n_confirmed"), "n_unconfirmed",
         F.coalesce(F.array_max("confidences"), F.lit(0.0)).alias("score"),
     )
+
+
+# CRC-32 in SQL: a table of 256 entries, folded over the bytes of a text's hexadecimal form.
+_CRC_TABLE = """
+    steps(k, b, v) AS (
+      SELECT 0, b, b FROM range(256) AS t(b)
+      UNION ALL SELECT k + 1, b, CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END FROM steps WHERE k < 8),
+    crc_table AS (SELECT list(v ORDER BY b) AS c FROM steps WHERE k = 8)"""
+
+
+def _crc_sql(digits: str) -> str:
+    """SQL of the CRC-32 of the bytes whose hexadecimal digits a column holds; ``c`` is the table."""
+    octets = f"[CAST('0x' || substr({digits}, 2 * i + 1, 2) AS BIGINT) FOR i IN range(len({digits}) // 2)]"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda x, y: xor(x // 256, c[xor(x, y) % 256 + 1])), 4294967295)"
+
+
+@query(
+    "op11_importance_resampling",
+    rf"""
+    WITH RECURSIVE {_CRC_TABLE},
+    texts AS (SELECT 0 AS side, doc_id AS id, text FROM documents UNION ALL SELECT 1, item_id, text FROM benchmark),
+    w AS (
+      SELECT side, id, [x FOR x IN string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM texts),
+    f AS (
+      SELECT side, id, unnest(w) AS f FROM w
+      UNION ALL SELECT side, id, unnest([w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))]) FROM w),
+    bytes AS (SELECT f, hex(encode(f)) AS h FROM (SELECT DISTINCT f FROM f)),
+    crcs AS (SELECT f, {_crc_sql("h")} % 10000 AS bucket FROM bytes, crc_table),
+    placed AS (SELECT side, id, bucket FROM f JOIN crcs USING (f)),
+    counts AS (
+      SELECT b AS bucket, count(*) FILTER (side = 0) AS s, count(*) FILTER (side = 1) AS t
+      FROM range(10000) AS r(b) LEFT JOIN placed ON bucket = b GROUP BY 1),
+    sums AS (SELECT count(*) FILTER (side = 0) AS s_all, count(*) FILTER (side = 1) AS t_all FROM placed),
+    gains AS (
+      SELECT bucket, CAST(floor(1000 * ln(CAST((t + 1) * (s_all + 10000) AS DOUBLE) / CAST((s + 1) * (t_all + 10000) AS DOUBLE))) AS BIGINT) AS gain
+      FROM counts, sums),
+    weights AS (
+      SELECT id, count(*) AS n_features, CAST(floor(CAST(sum(gain) AS DOUBLE) / count(*)) AS BIGINT) AS weight
+      FROM placed JOIN gains USING (bucket) WHERE side = 0 GROUP BY 1),
+    noise AS (
+      SELECT id, len(w) >= 20 AS long_enough, CAST(floor(-1000 * ln(-ln((CAST(CAST('0x' || substr(sha256('7:' || id), 1, 8) AS BIGINT) AS DOUBLE)
+        + CAST(0.5 AS DOUBLE)) / CAST(4294967296 AS DOUBLE)))) AS BIGINT) AS noise FROM w WHERE side = 0),
+    scored AS (
+      SELECT id, long_enough, coalesce(n_features, 0) AS n_features, coalesce(weight, 0) AS weight, coalesce(weight, 0) + noise AS score
+      FROM noise LEFT JOIN weights USING (id)),
+    drawn AS (
+      SELECT id, row_number() OVER (ORDER BY score DESC, id) AS place, count(*) OVER () AS n FROM scored WHERE long_enough)
+    SELECT scored.id AS doc_id, n_features, weight, score, CASE WHEN place <= 25 * n // 100 THEN place END AS rank
+    FROM scored LEFT JOIN drawn USING (id)
+    """,
+)
+def op11(read) -> DataFrame:
+    ranks = importance.importance_ranks(read("documents"), read("benchmark"))
+    return ranks.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
