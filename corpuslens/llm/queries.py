@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import work_root
-from . import bpe_codec, decontamination, importance, language_mixture, license_scan, line_dedup, ngram_join, suffix_dedup, token_counts, toxicity, vector_caps
+from . import bpe_codec, decontamination, importance, language_mixture, license_scan, line_dedup, ngram_join, spelling, suffix_dedup, token_counts, toxicity, vector_caps
 from .common import batch_of, byte_values, join_rows, text_key, text_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -280,3 +280,35 @@ def _crc_sql(digits: str) -> str:
 def op11(read) -> DataFrame:
     ranks = importance.importance_ranks(read("documents"), read("benchmark"))
     return ranks.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
+@query(
+    "op12_spelling_variants",
+    rf"""
+    WITH RECURSIVE {_CRC_TABLE},
+    found AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[A-Za-zÀ-ÿ]+')) AS run FROM documents),
+    runs AS (SELECT doc_id, run, count(*) AS n, hex(encode(doc_id || ':' || run)) AS digits FROM found WHERE length(run) >= 6 GROUP BY 1, 2),
+    hashed AS (SELECT run, n, {_crc_sql("digits")} AS h FROM runs, crc_table),
+    slipped AS (
+      SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+    words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM slipped WHERE length(word) >= 6 GROUP BY 1 HAVING sum(n) >= 5),
+    cuts AS (
+      SELECT word, n, substr(word, 1, i) || '_' || substr(word, i + 2) AS replaced, substr(word, 1, i) || substr(word, i + 2) AS deleted
+      FROM words, LATERAL unnest(range(length(word))) AS t(i)),
+    shorter AS (SELECT DISTINCT cuts.word AS a, cuts.n AS a_n, words.word AS b, words.n AS b_n FROM cuts JOIN words ON deleted = words.word),
+    near AS (
+      SELECT a.word AS word, a.n AS n, b.word AS near, b.n AS near_n FROM cuts a JOIN cuts b USING (replaced) WHERE a.word <> b.word
+      UNION ALL SELECT a, a_n, b, b_n FROM shorter UNION ALL SELECT b, b_n, a, a_n FROM shorter),
+    counts AS (SELECT word, count(*) AS n_near FROM near GROUP BY 1),
+    best AS (SELECT word, n, near, near_n, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM near),
+    forms AS (SELECT word, near AS form, near_n AS form_n FROM best WHERE place = 1 AND near_n >= 5 * n),
+    paths(word, endpoint) AS (SELECT word, word FROM words UNION ALL SELECT paths.word, form FROM paths JOIN forms ON endpoint = forms.word),
+    roots AS (SELECT paths.word AS word, endpoint AS root FROM paths LEFT JOIN forms ON endpoint = forms.word WHERE form IS NULL)
+    SELECT word, form, root, n, coalesce(n_near, 0) AS n_near, form_n
+    FROM words JOIN roots USING (word) LEFT JOIN counts USING (word) LEFT JOIN forms USING (word)
+    """,
+)
+def op12(read) -> DataFrame:
+    return spelling.spelling_variants(read("documents"))
