@@ -30,6 +30,13 @@ def _local_path(column: Column) -> Column:
     return F.regexp_replace(column, "^[a-z0-9]+:(//[^/]*)?", "")
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with its file system. One without is meant to be in the session's default file system,
+    which on a cluster is not the disk of the machine that happens to open it."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString()
+
+
 def open_folder(root: str) -> tuple[pafs.FileSystem, str]:
     """The file system a folder is in, and the folder's path there."""
     if root.startswith("/"):
