@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import work_root
-from . import bpe_codec, decontamination, importance, language_mixture, license_scan, line_dedup, ngram_join, spelling, suffix_dedup, token_counts, toxicity, vector_caps
+from ..session import new_work_dir, work_root
+from . import bpe_codec, decontamination, importance, language_mixture, license_scan, line_dedup, ngram_join, spelling, suffix_dedup, token_counts, token_files, toxicity, vector_caps
 from .common import batch_of, byte_values, join_rows, text_key, text_rows
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -312,3 +312,11 @@ def op11(read) -> DataFrame:
 )
 def op12(read) -> DataFrame:
     return spelling.spelling_variants(read("documents"))
+
+
+@query("op13_token_files")
+def op13(read) -> DataFrame:
+    documents = read("documents")
+    path = new_work_dir(documents.sparkSession, "tokens")
+    corpus = token_files.round_trip(documents, public_tokenizers.path("word_bpe_49k.json"), path)
+    return corpus.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
