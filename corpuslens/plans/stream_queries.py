@@ -100,7 +100,7 @@ def stream_import(t: Tables) -> DataFrame:
         f"{root}/in/a/firmware=src0"
     ).select(F.md5("content").alias("md5"))
     known.write.parquet(f"{root}/known")
-    arrivals = fl.watch_imports(t.spark, f"{root}/in", "*.txt")
+    arrivals = fl.watch_imports(t.spark, f"{root}/in", "*.txt", f"{root}/log")
     start = fl.import_new(arrivals, t.spark.read.parquet(f"{root}/known"), f"{root}/table")
     start(f"{root}/checkpoint").awaitTermination()
     return t.spark.read.parquet(f"{root}/table").agg(F.sum("size").alias("bytes"))

@@ -1,8 +1,8 @@
 """File sources: folder listings, file trees, line files.
 
-Trees are listed by tasks, one level of folders at a time, and files are hashed block by block where
-they are found. Names that begin with a dot or an underscore, empty files and empty folders count
-like all others, which Spark's own file sources leave out; no path goes through the driver.
+Trees are listed by the data source of ``tree``, and files are hashed block by block by the tasks
+they are dealt to. Names that begin with a dot or an underscore, empty files and empty folders count
+like all others, which Spark's own file sources leave out. The driver opens a few levels of folders at most.
 """
 
 from __future__ import annotations
@@ -12,17 +12,15 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import IMPORT_EXTENSIONS
 from ..functions import any_suffix
 from ..functions.paths import base_name, normalize_path, parent_name
-from ..session import work_root
+from .tree import FORMAT, LISTED_DDL, open_folder, register
 
 BLOCK_BYTES = 1 << 20
-_LISTED = "path string, is_directory boolean, enter boolean, size long"
 
 
 def _local_path(column: Column) -> Column:
@@ -37,15 +35,6 @@ def qualified(spark: SparkSession, path: str) -> str:
     return there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toString()
 
 
-def open_folder(root: str) -> tuple[pafs.FileSystem, str]:
-    """The file system a folder is in, and the folder's path there."""
-    if root.startswith("/"):
-        return pafs.LocalFileSystem(), root
-    if root.startswith("file:"):
-        return pafs.LocalFileSystem(), "/" + root[len("file:") :].lstrip("/")
-    return pafs.FileSystem.from_uri(root)
-
-
 def read_files(spark: SparkSession, root: str, glob: str | None = None, recursive: bool = True) -> DataFrame:
     """Visible files below a folder with path, size, time and content. Content is read only where it is used."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
@@ -54,41 +43,27 @@ def read_files(spark: SparkSession, root: str, glob: str | None = None, recursiv
     return reader.load(root).withColumn("path", _local_path(F.col("path")))
 
 
-def list_folders(folders: DataFrame, root: str) -> DataFrame:
-    """What lies in each folder of a column ``path``: ``(path, is_directory, enter, size)``.
-
-    Folders that are links are listed, not entered: a tree with a link to a folder above it has an end.
-    """
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, _ = open_folder(root)
-        local = isinstance(system, pafs.LocalFileSystem)
-        for batch in batches:
-            for folder in batch["path"]:
-                rows = []
-                for item in system.get_file_info(pafs.FileSelector(folder)):
-                    is_directory = item.type == pafs.FileType.Directory
-                    enter = is_directory and not (local and os.path.islink(item.path))
-                    rows.append((item.path, is_directory, enter, None if is_directory else item.size))
-                yield pd.DataFrame(rows, columns=["path", "is_directory", "enter", "size"]).astype({"size": "Int64"})
-
-    return folders.select("path").mapInPandas(run, _LISTED)
+def list_tree(spark: SparkSession, root: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
+    """Every file and folder below a folder, as ``(path, is_directory, size, modified)``, listed by tasks."""
+    register(spark)
+    reader = spark.read.format(FORMAT).option("recursive", str(recursive).lower())
+    if glob:
+        reader = reader.option("glob", glob)
+    return reader.load(qualified(spark, root))
 
 
-def list_tree(spark: SparkSession, root: str) -> DataFrame:
-    """Every file and folder below a folder, as ``(path, is_directory, enter, size)``: one job per level of folders."""
-    work_root(spark)
-    top = open_folder(root.rstrip("/") or "/")[1]
-    level = list_folders(spark.createDataFrame([(top,)], "path string"), root).checkpoint()
-    found = level
-    while not (folders := level.where("enter")).isEmpty():
-        level = list_folders(folders.repartition("path"), root).checkpoint()
-        found = found.unionByName(level)
-    return found
+def watch_tree(spark: SparkSession, root: str, log: str, recursive: bool = True, glob: str | None = None) -> DataFrame:
+    """A stream of the files of a folder, each once; ``log`` is a folder that belongs to the stream like its checkpoint."""
+    register(spark)
+    reader = spark.readStream.format(FORMAT).option("recursive", str(recursive).lower()).option("log", qualified(spark, log))
+    if glob:
+        reader = reader.option("glob", glob)
+    return reader.load(qualified(spark, root))
 
 
 def with_md5(listed: DataFrame, root: str) -> DataFrame:
     """Listed rows with the MD5 of each file, read in blocks, so that the size of a file does not matter."""
+    root = qualified(listed.sparkSession, root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, _ = open_folder(root)
@@ -105,12 +80,12 @@ def with_md5(listed: DataFrame, root: str) -> DataFrame:
             md5 = [None if folder else digest(path) for path, folder in zip(batch["path"], batch["is_directory"])]
             yield batch.assign(md5=pd.Series(md5, dtype=object, index=batch.index))
 
-    return listed.mapInPandas(run, f"{_LISTED}, md5 string")
+    return listed.mapInPandas(run, f"{LISTED_DDL}, md5 string")
 
 
 def file_inventory(spark: SparkSession, root: str, partition: Column | str) -> DataFrame:
     """One row per file and per directory of a tree."""
-    base = root.rstrip("/")
+    base = qualified(spark, root).rstrip("/")
     partition = F.lit(partition) if isinstance(partition, str) else partition
     rows = with_md5(list_tree(spark, base).repartition("path"), base)
     rows = rows.withColumn("relative_path", F.expr(f"substring(path, {len(open_folder(base)[1]) + 1})"))
@@ -126,8 +101,7 @@ def file_inventory(spark: SparkSession, root: str, partition: Column | str) -> D
 
 
 def _flat_listing(spark: SparkSession, folder: str) -> DataFrame:
-    top = open_folder(folder.rstrip("/"))[1]
-    return list_folders(spark.createDataFrame([(top,)], "path string"), folder).where(~F.col("is_directory"))
+    return list_tree(spark, folder, recursive=False).where(~F.col("is_directory"))
 
 
 def import_candidates(spark: SparkSession, folder: str) -> DataFrame:
@@ -144,6 +118,7 @@ def loose_apps(spark: SparkSession, folder: str) -> DataFrame:
 
 def write_files(rows: DataFrame, root: str) -> None:
     """Write rows ``(name, content)`` as files below a folder, by the tasks that hold them."""
+    root = qualified(rows.sparkSession, root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         system, top = open_folder(root)

@@ -8,50 +8,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import LOG_RETENTION_DAYS
+from ..functions.paths import base_name
 from ..session import new_work_dir
+from ..sources import files
 
-FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
-
-
-def watch_imports(spark: SparkSession, folder: str, glob: str | None) -> DataFrame:
-    """New files of an import folder with their hashes (T01), however old their own times are."""
-    reader = spark.readStream.format("binaryFile").schema(FILE_SCHEMA).option("recursiveFileLookup", "true")
-    # By default the source passes over files a week older than the newest one.
-    reader = reader.option("maxFileAge", "36500d")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(folder).select(
-        F.element_at(F.split("path", "/"), -1).alias("name"),
-        F.col("length").alias("size"),
-        F.md5("content").alias("md5"),
-        F.col("modificationTime").alias("seen_at"),
-    )
-
-
-def import_new(arrivals: DataFrame, known: DataFrame, path: str) -> Callable:
-    """Start: store each content once, leaving out what is known or stored by an earlier batch.
+def watch_imports(spark: SparkSession, folder: str, glob: str | None, log: str) -> DataFrame:
+    """New files of an import folder with their hashes (T01), however old their own times are.
 
-    No state is kept: every batch is compared with the stored table. A batch overwrites its own folder and looks
-    at the folders of earlier batches only, so a retry gives the same rows.
+    ``log`` names a folder that belongs to the stream like its checkpoint.
     """
-    schema = arrivals.schema
+    listed = files.watch_tree(spark, folder, log, glob=glob)
+    return files.with_md5(listed, folder).select(base_name("path").alias("name"), "size", "md5", F.col("modified").alias("seen_at"))
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(["md5"]).join(known.select("md5"), "md5", "left_anti")
-        if batch_id:
-            stored = spark.read.schema(_with_batch(schema, "update")).parquet(path).where(F.col("batch") < batch_id)
-            fresh = fresh.join(stored.select("md5"), "md5", "left_anti")
-        fresh.select(*schema.names).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
+def _started(stream: DataFrame, path: str) -> Callable:
     return lambda checkpoint: (
-        arrivals.writeStream.foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
+        stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint)
+        .outputMode("append").trigger(availableNow=True).start()
     )
 
 
+def import_new(arrivals: DataFrame, known: DataFrame, path: str) -> Callable:
+    """Start: store each content once, leaving out what is known or came before.
+
+    The hashes that came are the state of the stream, one per content: a batch costs what it brings, however much is
+    stored. Keep the state in RocksDB where it outgrows the executors' memory.
+    """
+    return _started(arrivals.join(known.select("md5"), "md5", "left_anti").dropDuplicates(["md5"]).select(*arrivals.columns), path)
+
+
 def log_windows(logs: DataFrame, window: str = "1 day", delay: str = "1 day") -> DataFrame:
     """Records per tumbling window, level and tag (T03); a window is final once the watermark passes it.
 
@@ -84,23 +69,11 @@ def scan_progress(events: DataFrame, delay: str | None = None) -> DataFrame:
 def fan_out(arrivals: DataFrame, done: DataFrame, id_col: str, scanner: str, path: str) -> Callable:
     """Start: pending scan rows of new apps (T02), each app once however often it arrives.
 
-    Each batch overwrites its own folder and looks at earlier ones only, so a retry is safe.
+    As with imports, the ids queued so far are the state of the stream.
     """
     from ..operators.scanners import pending_scans
 
-    def write_batch(batch: DataFrame, batch_id: int) -> None:
-        pending = pending_scans(batch.dropDuplicates([id_col]), done, id_col, scanner)
-        if batch_id:
-            queued = batch.sparkSession.read.schema(_with_batch(pending.schema, "update")).parquet(path)
-            pending = pending.join(queued.where(F.col("batch") < batch_id).select(id_col), id_col, "left_anti").select(*pending.columns)
-        pending.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return lambda checkpoint: (
-        arrivals.writeStream.foreachBatch(write_batch)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    return _started(pending_scans(arrivals, done, id_col, scanner).dropDuplicates([id_col]), path)
 
 
 def run_once(spark: SparkSession, stream: DataFrame, label: str, mode: str = "append") -> DataFrame:

@@ -2,11 +2,12 @@ import json
 import os
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.operators import properties, reports
 from corpuslens.operators.rules import manifest_findings
-from corpuslens.sources import files, sinks
+from corpuslens.sources import files, sinks, tree
 from corpuslens.sources import reports as report_sources
 from corpuslens.streaming import flows
 
@@ -37,6 +38,70 @@ def test_file_inventory(spark, tmp_path):
     assert rows["/top.txt"]["parent_dir"] == "/" and rows["/top.txt"]["md5"] == "d41d8cd98f00b204e9800998ecf8427e"
 
 
+def listed(tree, root):
+    return sorted((r["path"][len(str(root)) :], r["is_directory"], r["size"]) for r in tree.collect())
+
+
+def test_a_tree_is_shared_out_among_tasks(spark, tmp_path):
+    want = []
+    for a in range(5):
+        want.append((f"/{a}", True, None))
+        for b in range(a):
+            want += [(f"/{a}/{b}", True, None), (f"/{a}/{b}/f{b}.img", False, b), (f"/{a}/{b}/deep", True, None)]
+            write(tmp_path / f"{a}/{b}/f{b}.img", b"x" * b)
+            (tmp_path / f"{a}/{b}/deep").mkdir()
+    (tmp_path / "0").mkdir()
+    for folders in (1, 3, 8, 500):  # from one task that walks everything to all levels opened while planning
+        tree.register(spark)
+        reader = spark.read.format("file_tree").option("folders", str(folders))
+        assert listed(reader.load(str(tmp_path)), tmp_path) == sorted(want)
+    assert reader.load(str(tmp_path)).rdd.getNumPartitions() > 1
+    assert listed(reader.option("recursive", "false").load(str(tmp_path)), tmp_path) == [(f"/{a}", True, None) for a in range(5)]
+    only = reader.option("recursive", "true").option("glob", "f[23].*").load(f"file://{tmp_path}").where("NOT is_directory")
+    assert listed(only, tmp_path) == [(f"/{a}/{b}/f{b}.img", False, b) for a in range(5) for b in range(a) if b in (2, 3)]
+    with pytest.raises(Exception):
+        reader.load(str(tmp_path / "missing")).collect()
+
+
+def test_a_stream_gives_each_file_once(spark, tmp_path, monkeypatch):
+    folder, log = tmp_path / "in", tmp_path / "log"
+
+    def run():
+        files.watch_tree(spark, str(folder), str(log)).writeStream.format("parquet").option("path", str(tmp_path / "out")).option(
+            "checkpointLocation", str(tmp_path / "checkpoint")
+        ).trigger(availableNow=True).start().awaitTermination()
+        return sorted(os.path.basename(r["path"]) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+
+    write(folder / "a", b"1")
+    write(folder / "sub/b", b"22")
+    assert run() == ["a", "b"] and run() == ["a", "b"]
+    os.rename(folder / "sub", folder / "moved")  # other paths: new files
+    write(folder / "a", b"changed")
+    assert run() == ["a", "a", "b", "b"]
+    # An entry that Spark has not asked for yet when the stream stops is given after the restart.
+    write(folder / "c", b"3")
+    reader = tree.TreeStreamReader(str(folder), True, None, str(log))
+    end = reader.latestOffset()
+    assert end == reader.latestOffset() and len(reader.partitions({"entry": end["entry"] - 1}, end)) == 1
+    assert reader.partitions(end, end) == []
+    write(folder / "d", b"4")
+    assert run() == ["a", "a", "b", "b", "c", "d"]
+    # Many files of one entry are many partitions; no more than their own rows is read for one.
+    monkeypatch.setattr(tree, "LOG_ROWS", 3)
+    for i in range(8):
+        write(folder / f"n{i}", b"5")
+    reader = tree.TreeStreamReader(str(folder), True, None, str(log))
+    start, end = {"entry": tree.Log(str(log)).entries()}, reader.latestOffset()
+    parts = [b.num_rows for p in reader.partitions(start, end) for b in reader.read(p)]
+    assert parts == [3, 3, 2]
+
+
+def test_a_stream_needs_a_log(spark, tmp_path):
+    tree.register(spark)
+    with pytest.raises(Exception, match="log"):
+        spark.readStream.format("file_tree").load(str(tmp_path)).writeStream.format("noop").start().awaitTermination()
+
+
 def test_import_folder_and_loose_apps(spark, tmp_path):
     for name in ("a.zip", "b.txt", "c.tar.gz", "d.APK", "e.apk"):
         write(tmp_path / name, name.encode())
@@ -131,7 +196,7 @@ def test_watch_imports(spark, tmp_path):
     table, checkpoint = str(tmp_path / "table"), str(tmp_path / "checkpoint")
 
     def run():
-        flows.import_new(flows.watch_imports(spark, str(folder), "*.zip"), known, table)(checkpoint).awaitTermination()
+        flows.import_new(flows.watch_imports(spark, str(folder), "*.zip", str(tmp_path / "log")), known, table)(checkpoint).awaitTermination()
         return spark.read.parquet(table).collect()
 
     found = run()
