@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..catalog import (
@@ -19,6 +19,7 @@ from ..catalog import (
     SYSTEM_NAME_MARKERS_SKIPPED,
 )
 from ..functions import any_contained, any_match, as_col
+from .patterns import matches
 
 
 def image_labels(
@@ -40,6 +41,22 @@ def image_labels(
     return F.array_compact(F.array(*labels))
 
 
+def image_pattern_table(spark: SparkSession, patterns: Mapping[str, Sequence[str]] = IMAGE_PATTERNS) -> DataFrame:
+    """The catalogue as a table ``(label, pattern)``."""
+    rows = [(label, pattern) for label, label_patterns in patterns.items() for pattern in label_patterns]
+    return spark.createDataFrame(rows, "label string, pattern string")
+
+
+def labelled_images(files: DataFrame, id_col: str, name_col: str, is_directory: Column, patterns: DataFrame) -> DataFrame:
+    """``(id, name, label)`` of the files whose names match a pattern of a table ``(label, pattern)``, which may be of any size."""
+    lowered = F.lower(name_col)
+    eligible = ~is_directory & ~lowered.startswith(IMAGE_NAME_PREFIX_SKIPPED) & ~any_contained(lowered, IMAGE_NAME_MARKERS_SKIPPED)
+    names = files.where(eligible).select(id_col, name_col, lowered.alias("_lowered"))
+    found = matches(names, "_lowered", patterns.select("label", "pattern"), "pattern")
+    other = (F.col("label") == "system") & any_contained(F.col("_lowered"), SYSTEM_NAME_MARKERS_SKIPPED)
+    return found.where(~other).select(id_col, name_col, "label").distinct()
+
+
 def first_pattern(name: Column | str, patterns: Sequence[str]) -> Column:
     """Position (from 1) of the first pattern the name matches; null if none does."""
     name = as_col(name)

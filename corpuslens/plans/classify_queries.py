@@ -86,8 +86,7 @@ def _image_sql(label: str, condition: str) -> str:
     ),
 )
 def partition_classify(t: Tables) -> DataFrame:
-    labels = cl.image_labels("name", F.col("is_directory"))
-    return unfold(part_files(t), ["file_id", "name"], labels, "label")
+    return cl.labelled_images(part_files(t), "file_id", "name", F.col("is_directory"), cl.image_pattern_table(t.spark))
 
 
 WANTED = ["^system[.]img$", "^vendor[.]img", "^super", "[.]img$"]

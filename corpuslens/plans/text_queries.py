@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STOP_WORDS, entropies, language, text_flags, url_parts, word_count
+from ..operators import patterns as pt
 from ..operators import quality as ql
 from ..operators import reports as rp
 from ..operators.scan import valid_object_id
@@ -39,7 +40,29 @@ def secret_sql() -> str:
 
 @query("secret_scan", secret_sql())
 def secret_scan(t: Tables) -> DataFrame:
-    return rp.pattern_findings(t.spread("documents", "doc_id"), "doc_id", "text", SECRET_PATTERNS)
+    rules = t.spark.createDataFrame(list(SECRET_PATTERNS.items()), "rule string, pattern string")
+    return pt.findings(t.spread("documents", "doc_id"), "doc_id", "text", rules, "rule", "pattern")
+
+
+# Patterns made of the benchmark: the first words of a text, whatever stands between them.
+_OPENING = "[a-z]+[^a-z]+[a-z]+[^a-z]+[a-z]+"
+
+
+@query(
+    "passage_patterns",
+    f"""
+    WITH p AS (SELECT item_id, '(?i)' || regexp_replace(regexp_extract(lower(text), '{_OPENING}'), '[^a-z]+', '[^a-z]+', 'g') AS pattern
+               FROM benchmark WHERE regexp_matches(lower(text), '{_OPENING}'))
+    SELECT doc_id, item_id FROM documents JOIN p ON regexp_matches(text, pattern)
+    """,
+)
+def passage_patterns(t: Tables) -> DataFrame:
+    """A table of patterns as large as the benchmark, matched against every document."""
+    opening = F.regexp_extract(F.lower("text"), _OPENING, 0)
+    pattern = F.concat(F.lit("(?i)"), F.regexp_replace(opening, "[^a-z]+", "[^a-z]+"))
+    rules = t.benchmark.where(opening != "").select("item_id", pattern.alias("pattern"))
+    documents = t.spread("documents", "doc_id").select("doc_id", "text")
+    return pt.matches(documents, "text", rules, "pattern").select("doc_id", "item_id")
 
 
 @query(
