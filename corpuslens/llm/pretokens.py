@@ -51,10 +51,11 @@ class Splitter:
 
     def __init__(self, content: str, pattern: str):
         self.tokenizer = Tokenizer.from_str(content)
-        self._find = re.compile(pattern).findall
+        self.sure_pieces = self._find = re.compile(pattern).findall
         self.special = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self._cut = re.compile("(" + "|".join(map(re.escape, self.special)) + ")").split
         self._normalizer = self.tokenizer.normalizer
+        self.keeps_case = self._normalizer is None
 
     def parts(self, text: str) -> list[str]:
         """The special tokens in a text, which the library takes out first, and the texts between them."""
@@ -62,9 +63,13 @@ class Splitter:
             return [part for part in self._cut(text) if part]
         return [text]
 
+    def is_sure(self, part: str) -> bool:
+        """Whether the split pattern of this module gives what the library gives."""
+        return bool(_SURE.fullmatch(part)) and (part.isascii() or unicodedata.is_normalized("NFC", part))
+
     def pieces(self, part: str) -> list[str]:
         """The pre-tokens of a part without special tokens, normalized where the tokenizer does that."""
-        if _SURE.fullmatch(part) and (part.isascii() or unicodedata.is_normalized("NFC", part)):
+        if self.is_sure(part):
             return self._find(part if self._normalizer is None else part.lower())
         if self._normalizer is not None:
             part = self._normalizer.normalize_str(part)

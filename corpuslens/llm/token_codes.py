@@ -54,26 +54,37 @@ def level_widths(ids: np.ndarray) -> list[int]:
     return widths
 
 
+def _holder(width: int) -> tuple[str, int]:
+    """The smallest type that holds numbers of so many bits, highest byte first, and its bits."""
+    return next((kind, size) for kind, size in ((">u1", 8), (">u2", 16), (">u4", 32)) if width <= size)
+
+
 def pack(chunks: np.ndarray, width: int) -> bytes:
     """Numbers below ``2 ** width``, one after the other without gaps."""
-    out = []
+    out, (kind, size) = [], _holder(width)
     for at in range(0, len(chunks), _BLOCK):
-        octets = chunks[at : at + _BLOCK].astype(">u4").view(np.uint8).reshape(-1, 4)
-        out.append(np.packbits(np.unpackbits(octets, axis=1)[:, 32 - width :]).tobytes())
+        octets = chunks[at : at + _BLOCK].astype(kind).view(np.uint8).reshape(-1, size // 8)
+        out.append(np.packbits(np.unpackbits(octets, axis=1)[:, size - width :]).tobytes())
     return b"".join(out)
 
 
 def unpack(read: Read, offset: int, width: int, begin: int, end: int) -> np.ndarray:
     """Numbers ``begin`` to ``end`` of those packed at an offset."""
     out = np.empty(end - begin, dtype=np.uint32)
+    octets = (width + 14) // 8  # that a number can lie in, wherever it begins
     for at in range(begin, end, _BLOCK):
         stop = min(at + _BLOCK, end)
         first, last = at * width // 8, -(-stop * width // 8)
-        bits = np.unpackbits(np.frombuffer(read(offset + first, last - first), dtype=np.uint8))
-        bits = bits[at * width - first * 8 :][: (stop - at) * width].reshape(-1, width)
-        wide = np.zeros((stop - at, 32), dtype=np.uint8)
-        wide[:, 32 - width :] = bits
-        out[at - begin : stop - begin] = np.packbits(wide, axis=1).view(">u4")[:, 0]
+        data = np.frombuffer(read(offset + first, last - first) + bytes(octets), dtype=np.uint8)
+        if width == 1:
+            out[at - begin : stop - begin] = np.unpackbits(data, count=stop - first * 8)[at - first * 8 :]
+            continue
+        bit = np.arange(at * width - first * 8, stop * width - first * 8, width)
+        byte, window = bit >> 3, np.zeros(stop - at, dtype=np.uint64)
+        for further in range(octets):
+            window = window << np.uint64(8) | data[byte + further]
+        window >>= (8 * octets - width - (bit & 7)).astype(np.uint64)
+        out[at - begin : stop - begin] = window & np.uint64((1 << width) - 1)
     return out
 
 
@@ -134,16 +145,20 @@ class Levels:
     def some(self, begin: int, end: int) -> np.ndarray:
         """The ids from one place to another."""
         out = np.zeros(end - begin, dtype=np.uint32)
-        where, shift = np.arange(end - begin), 0
+        where, shift = None, 0
         for number, (width, chunks, bitmap, ranks) in enumerate(self._levels):
             if begin == end:
                 break
-            out[where] |= unpack(self._read, chunks, width, begin, end) << np.uint32(shift)
+            part = unpack(self._read, chunks, width, begin, end)
+            if number == 0:
+                out = part
+            else:
+                out[where] |= part << np.uint32(shift)
             shift += width
             if number + 1 < len(self._levels):
                 goes_on = unpack(self._read, bitmap, 1, begin, end).astype(bool)
                 begin = self._rank(bitmap, ranks, begin)
-                where = where[goes_on]
+                where = where[goes_on] if number else np.flatnonzero(goes_on)
                 end = begin + len(where)
         return out
 

@@ -35,14 +35,14 @@ from pyspark.sql.types import StructType
 from ..session import work_root
 from ..sources.files import open_folder, qualified
 from .common import byte_values, sliced, text_key, text_rows
-from .pretokens import read_file, splitter
+from .pretokens import letters_of, read_file, splitter
 from .token_codes import FileWriter, TokenFile
 from .token_counts import WORD_PATTERN
 
 END_ID = 1
 FORMAT = "token_codes"
 MANIFEST = "manifest.json"
-CACHE = 400_000
+CACHED_WORDS, CACHED_PIECES = 250_000, 120_000  # entries of a generation
 CACHED_LETTERS = 128
 _UNORDERED = "rows have to come in the order of their ids"
 
@@ -51,34 +51,68 @@ _DOCUMENTS = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_token
 _ENCODED = pa.schema([("id", pa.int64()), ("ids", pa.binary())])
 
 
+class Recent:
+    """Ids by text, of the texts met lately: two generations, of which the older goes when the younger is full."""
+
+    def __init__(self, size: int):
+        self._size = size
+        self.young: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def get(self, text: str) -> bytes | None:
+        """What is remembered, also of the older generation."""
+        ids = self.young.get(text)
+        if ids is None and (ids := self._old.get(text)) is not None:
+            self.put(text, ids)
+        return ids
+
+    def put(self, text: str, ids: bytes) -> None:
+        if len(text) <= CACHED_LETTERS:
+            if len(self.young) >= self._size:
+                self._old, self.young = self.young, {}
+            self.young[text] = ids
+
+
 class Encoder:
-    """Texts to ids, as unsigned 32-bit little-endian numbers in a row; remembers the pre-tokens it has met."""
+    """Texts to ids, as unsigned 32-bit little-endian numbers in a row.
+
+    No pre-token of this kind of vocabulary spans white space, so what stands between white space is looked up as a
+    whole; where it is new, its pre-tokens are.
+    """
 
     def __init__(self, content: str, pattern: str):
         self._split = splitter(content, pattern)
+        self._tokenize = self._split.tokenizer.model.tokenize
         self._special = {token: i.to_bytes(4, "little") for token, i in self._split.special.items()}
-        self._known: dict[str, bytes] = {}
-
-    def _encoded(self, piece: str) -> bytes:
-        ids = np.array(self._split.tokens(piece.encode()), dtype="<u4").tobytes()
-        if len(piece) <= CACHED_LETTERS:
-            if len(self._known) >= CACHE:
-                self._known.clear()
-            self._known[piece] = ids
+        self._words, self._pieces = Recent(CACHED_WORDS), Recent(CACHED_PIECES)
+
+    def _piece(self, piece: str) -> bytes:
+        ids = self._pieces.get(piece)
+        if ids is None:
+            # Visible ASCII characters stand for themselves in byte-level vocabularies.
+            letters = piece if piece.isascii() and piece.isprintable() else letters_of(piece.encode())
+            ids = array("I", [t.id for t in self._tokenize(letters)]).tobytes()
+            self._pieces.put(piece, ids)
         return ids
 
+    def _word(self, word: str) -> bytes:
+        ids = self._words.get(word)
+        if ids is None:
+            ids = b"".join(map(self._piece, self._split.sure_pieces(word)))
+            self._words.put(word, ids)
+        return ids
+
+    def _part(self, part: str) -> bytes:
+        if not self._split.is_sure(part):
+            return b"".join(map(self._piece, self._split.pieces(part)))
+        words = part.split() if self._split.keeps_case else part.lower().split()
+        found = list(map(self._words.young.get, words))
+        if None in found:
+            found = [self._word(w) if ids is None else ids for w, ids in zip(words, found)]
+        return b"".join(found)
+
     def encode(self, text: str) -> bytes:
-        out: list[bytes] = []
-        for part in self._split.parts(text):
-            if part in self._special:
-                out.append(self._special[part])
-                continue
-            pieces = self._split.pieces(part)
-            found = list(map(self._known.get, pieces))
-            if None in found:
-                found = [self._encoded(p) if ids is None else ids for p, ids in zip(pieces, found)]
-            out += found
-        return b"".join(out)
+        return b"".join([self._special.get(part) or self._part(part) for part in self._split.parts(text)])
 
 
 @lru_cache(maxsize=1)
