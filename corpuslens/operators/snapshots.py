@@ -43,7 +43,7 @@ def delete_cascade(
     id_of = (lambda name: id_cols) if isinstance(id_cols, str) else id_cols.__getitem__
     gone = {parent: ids.select(F.col(ids.columns[0]).alias("_gone"))}
     conditions: dict[str, list[tuple[str, str]]] = {}
-    for table in _parents_first(parent, cascades):
+    for table in parents_first(parent, cascades):
         for child, reference in cascades.get(table, {}).items():
             if child not in tables:
                 continue
@@ -60,7 +60,7 @@ def delete_cascade(
     return kept
 
 
-def _parents_first(parent: str, cascades: Mapping[str, Mapping[str, str]]) -> list[str]:
+def parents_first(parent: str, cascades: Mapping[str, Mapping[str, str]]) -> list[str]:
     """The tables reached from a parent, each after all tables that point down to it."""
     order: list[str] = []
     open_tables: list[str] = []

@@ -21,6 +21,7 @@ MODULES = [
     "file_queries",
     "stream_queries",
     "corpus_queries",
+    "store_queries",
 ]
 
 
