@@ -6,9 +6,12 @@ from collections.abc import Callable, Iterator, Mapping
 from typing import Any, Protocol
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..catalog import RULE_SCAN_MAX_BYTES
 
@@ -64,13 +67,20 @@ def run_scanner(
 ) -> DataFrame:
     """One report row per item. A scan that raises gives a failed row with the error; the job goes on.
 
-    Items are scanned in Arrow batches where they are; nothing is shuffled.
+    Items are scanned in Arrow batches where they are; nothing is shuffled. A scanner with ``scan_batch`` gets a
+    batch of contents at once; other scanners get one item after the other. ``operators.isolated`` has deadlines.
     """
     job = find_scanner(scanner) if isinstance(scanner, str) else scanner
     schema = report_schema(job, items.schema[id_col])
-    blank = empty_result(job.result_schema)
     extra = dict(arguments or {})
-    names = schema.names
+    picked = items.select(id_col, F.col(content_col).cast("binary").alias(content_col))
+    if hasattr(job, "scan_batch"):
+        return picked.mapInArrow(_whole_batches(job, schema, extra), schema)
+    return picked.mapInPandas(_single_items(job, schema, extra, id_col, content_col), schema)
+
+
+def _single_items(job: Scanner, schema: T.StructType, extra: Mapping[str, Any], id_col: str, content_col: str):
+    blank, names = empty_result(job.result_schema), schema.names
 
     def scan_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -84,8 +94,26 @@ def run_scanner(
                 rows.append([item, job.name, job.version, status, error, *(result.get(k) for k in names[5:])])
             yield pd.DataFrame(rows, columns=names)
 
-    picked = items.select(id_col, F.col(content_col).cast("binary").alias(content_col))
-    return picked.mapInPandas(scan_batches, schema)
+    return scan_batches
+
+
+def _whole_batches(job: Scanner, schema: T.StructType, extra: Mapping[str, Any]):
+    target = to_arrow_schema(schema)
+    blank = empty_result(job.result_schema)
+
+    def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found, error = job.scan_batch(batch.column(1), **extra)
+            failed = error.is_valid()
+            repeat = lambda value, kind: pa.array([value] * batch.num_rows, kind)
+            status = pc.if_else(failed, STATUS_FAILED, STATUS_COMPLETED)
+            columns = [batch.column(0), repeat(job.name, pa.string()), repeat(job.version, pa.string()), status, error]
+            for field in job.result_schema.fields:
+                kind = target.field(field.name).type
+                columns.append(pc.if_else(failed, pa.scalar(blank[field.name], kind), found[field.name].cast(kind)))
+            yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, target)], schema=target)
+
+    return scan_batches
 
 
 def size_gate(size: Column, limit: int = RULE_SCAN_MAX_BYTES) -> Column:
@@ -93,6 +121,18 @@ def size_gate(size: Column, limit: int = RULE_SCAN_MAX_BYTES) -> Column:
     return F.when(size <= limit, F.lit("pending")).otherwise(F.lit(STATUS_FAILED))
 
 
+def _texts(contents: pa.Array, error: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Contents as texts, with an error where one is none."""
+    texts, errors = [], error.to_pylist()
+    for at, content in enumerate(contents.to_pylist()):
+        try:
+            texts.append(None if content is None else content.decode("utf-8"))
+        except UnicodeDecodeError as failure:
+            texts.append(None)
+            errors[at] = errors[at] or str(failure)
+    return pa.array(texts, pa.string()), pa.array(errors, pa.string())
+
+
 class TextScanner:
     """Counts lines and words of UTF-8 text; other content fails. The template for scanners of one's own."""
 
@@ -108,6 +148,20 @@ class TextScanner:
         text = content.decode("utf-8")
         return {"n_lines": text.count("\n") + 1, "n_words": len(text.split())}
 
+    def scan_batch(self, contents: pa.Array, min_bytes: int = 0) -> tuple[dict[str, pa.Array], pa.Array]:
+        """The results of a batch by field, and the errors of its items, null where there is none."""
+        short = pc.less(pc.fill_null(pc.binary_length(contents), 0), min_bytes)
+        error = pc.if_else(short, f"content is shorter than {min_bytes} bytes", pa.scalar(None, pa.string()))
+        error = pc.if_else(contents.is_null(), "no content", error)
+        try:
+            text = contents.cast(pa.string())
+        except pa.ArrowInvalid:  # some item is no text: only then the items are looked at one by one
+            text, error = _texts(contents, error)
+        words = pc.utf8_split_whitespace(pc.utf8_trim_whitespace(text))
+        # A blank text splits into one empty word.
+        n_words = pc.if_else(pc.equal(pc.utf8_length(pc.utf8_trim_whitespace(text)), 0), 0, pc.list_value_length(words))
+        return {"n_lines": pc.add(pc.count_substring(text, "\n"), 1), "n_words": n_words}, error
+
 
 class FlagScanner:
     """Finds markers in the raw bytes and returns them as a list."""

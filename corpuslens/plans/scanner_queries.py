@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import scanners as sc
+from ..operators.isolated import run_isolated
 from .registry import Tables, query
 
 WORDS_SQL = r"len(regexp_extract_all(text, '\S+'))"
@@ -55,6 +56,20 @@ def empty_reports(t: Tables) -> DataFrame:
     return reports.select("doc_id", "main_marker", F.size("markers").alias("marker_count"))
 
 
+@query(
+    "isolated_scan",
+    f"""
+    SELECT doc_id, CASE WHEN strlen(text) > 12000 THEN 'failed' ELSE 'completed' END AS scan_status,
+      CASE WHEN strlen(text) > 12000 THEN 'larger than 12000 bytes' END AS error,
+      CASE WHEN strlen(text) <= 12000 THEN {WORDS_SQL} END AS n_words FROM documents
+    """,
+)
+def isolated_scan(t: Tables) -> DataFrame:
+    """Scans in child processes with a deadline; items over the size limit fail unscanned."""
+    reports = run_isolated(t.spread("documents", "doc_id"), "TEXT", "doc_id", "text", max_bytes=12000)
+    return reports.select("doc_id", "scan_status", "error", "n_words")
+
+
 @query(
     "scanner_registry",
     """

@@ -1,11 +1,14 @@
 import datetime
+import os
+import signal
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import build
 from corpuslens.functions.properties import parse_properties
-from corpuslens.operators import inventory, numbering, properties, quality, rules, scan, scanners, snapshots, stats
+from corpuslens.operators import inventory, isolated, numbering, properties, quality, rules, scan, scanners, snapshots, stats
 from corpuslens.rule_catalog import CHECKERS, RULES, rule_rows
 
 
@@ -230,6 +233,58 @@ def test_scanner_isolates_failures(spark):
     assert scanners.empty_result(scanners.FlagScanner.result_schema) == {"main_marker": "", "markers": []}
 
 
+def test_batches_and_single_items_agree(spark):
+    contents = [b"a b\nc", b"\xff\xfe", b"", None, b"   ", "é\u2003x \n\n".encode(), b"\n", b"long enough text here"]
+    items = spark.createDataFrame([(i, c) for i, c in enumerate(contents)], "id int, content binary").coalesce(1)
+
+    class Single:
+        name, version, result_schema, scan = "TEXT", "1", scanners.TextScanner.result_schema, scanners.TextScanner.scan
+
+    for arguments in ({}, {"min_bytes": 4}):
+        whole = scanners.run_scanner(items, "TEXT", "id", "content", arguments).drop("error").collect()
+        single = scanners.run_scanner(items, Single(), "id", "content", arguments).drop("error").collect()
+        assert sorted(map(str, whole)) == sorted(map(str, single))
+
+
+def test_a_scan_that_hangs_or_dies_costs_one_item(spark):
+    class Moody:
+        """Does what the content says: sleeps, dies, raises, or answers."""
+
+        name, version, result_schema = "MOODY", "1", scanners.TextScanner.result_schema
+
+        def scan(self, content, factor="1"):
+            what, _, value = content.decode().partition(" ")
+            if what == "sleep":
+                time.sleep(float(value))
+            elif what == "die":
+                os.kill(os.getpid(), signal.SIGKILL)
+            elif what == "exit":
+                os._exit(3)
+            elif what == "raise":
+                raise ValueError(value)
+            return {"n_lines": os.getpid(), "n_words": len(value) * int(factor)}
+
+    items = [(1, "ok aa", None, None), (2, "sleep 60", 0.3, None), (3, "ok b", None, {"factor": "5"}), (4, "die", None, None), (5, "ok", None, None),
+             (6, "exit", None, None), (7, "raise bad", None, None), (8, "ok cc", None, None), (9, None, None, None), (10, "ok " + "x" * 100, None, None),
+             (11, "sleep 0.4", 5.0, None)]
+    table = spark.createDataFrame([(i, c, s, a) for i, c, s, a in items], "id int, content string, most double, own map<string,string>").coalesce(1)
+    began = time.time()
+    found = isolated.run_isolated(table, Moody(), "id", "content", {"factor": 2}, seconds=20, seconds_col="most", max_bytes=50, arguments_col="own").collect()
+    assert time.time() - began < 30
+    rows = {r["id"]: r for r in found}
+    assert {i for i, r in rows.items() if r["scan_status"] == "completed"} == {1, 3, 5, 8, 11}
+    assert [rows[i]["n_words"] for i in (1, 3, 5, 8)] == [4, 5, 0, 4]
+    errors = {i: r["error"] for i, r in rows.items() if r["error"]}
+    assert errors == {
+        2: "took longer than 0.3 seconds", 4: "the scan ended its process with -9", 6: "the scan ended its process with 3",
+        7: "bad", 9: "no content", 10: "larger than 50 bytes",
+    }
+    assert rows[2]["scan_seconds"] < 3 and rows[11]["scan_seconds"] > 0.3
+    # A new child only where the one before was lost.
+    pids = [rows[i]["n_lines"] for i in (1, 3, 5, 8)]
+    assert len(set(pids)) == 4 and rows[8]["n_lines"] == rows[11]["n_lines"]
+
+
 def test_statistics_shapes(spark):
     df = spark.createDataFrame([(1, "a", ["x", "x"]), (2, "a", []), (3, None, None)], "id int, v string, tags array<string>")
     assert {tuple(r) for r in stats.atomic_counts(df, ["v"]).collect()} == {("v", "a", 2)}
