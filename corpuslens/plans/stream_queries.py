@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..session import new_work_dir
 from ..streaming import flows as fl
+from ..streaming import progress as pg
 from .registry import Tables, query
 
 
@@ -72,6 +73,16 @@ def scan_progress_batch(t: Tables) -> DataFrame:
     return fl.scan_progress(as_progress(t.events))
 
 
+@query("scan_progress_bounded", PROGRESS_SQL)
+def scan_progress_bounded(t: Tables) -> DataFrame:
+    """The same statuses from a stream whose state has timers; a status counts as an end here if it is an error."""
+    events = as_progress(stream(t, "events"))
+    with pg.timers(t.spark):
+        updates = fl.run_once(t.spark, pg.bounded_progress(events, idle="400 days", keep="400 days", terminal=("error",)), "bounded", "update")
+    newest = fl.latest_per_key(updates, "app_id")
+    return newest.withColumn("updated_at", F.col("updated_at").cast("timestamp_ntz"))
+
+
 BLOCK_ROWS = 2000  # documents per file at most, so that no task writes a whole firmware
 
 

@@ -9,7 +9,7 @@ from corpuslens.operators import properties, reports
 from corpuslens.operators.rules import manifest_findings
 from corpuslens.sources import files, sinks, tree
 from corpuslens.sources import reports as report_sources
-from corpuslens.streaming import flows
+from corpuslens.streaming import flows, progress
 
 
 def write(path, content):
@@ -249,3 +249,43 @@ def test_retention(spark):
     logs = spark.sql("SELECT * FROM VALUES (timestamp'2024-01-01', 1), (timestamp'2024-01-09', 2), (timestamp'2024-01-10', 3) AS t(ts, id)")
     kept = flows.retained(logs, F.lit("2024-01-16").cast("timestamp"))
     assert {r["id"] for r in kept.collect()} == {2, 3}
+
+
+def test_progress_lets_go_of_old_apps(spark, tmp_path):
+    """State equals the apps under way and those that ended lately; an app that comes back starts anew."""
+    days = [
+        [("a", 1, "queued"), ("b", 1, "queued"), ("c", 1, "started"), (None, 1, "queued")],
+        [("a", 2, "finished"), ("b", 3, "started"), ("b", 3, "failed"), ("c", 0, "late")],
+        [("c", 6, "started"), ("d", 6, "queued")],
+        [("d", 14, "started")],  # the watermark passes the end of a and b
+        [("d", 15, "started"), ("a", 15, "queued")],
+        [("d", 40, "finished")],  # and the silence of c and a
+        [("d", 41, "finished")],
+    ]
+    schema = "app_id string, ts timestamp, event_id long, status string"
+    for n, rows in enumerate(days):
+        values = ", ".join(f"({'NULL' if a is None else repr(a)}, timestamp_seconds({d * 86400}), {10 * n + i}L, '{s}')" for i, (a, d, s) in enumerate(rows))
+        spark.sql(f"SELECT * FROM VALUES {values} AS t(app_id, ts, event_id, status)").coalesce(1).write.parquet(str(tmp_path / f"in/{n}"))
+        os.utime(tmp_path / f"in/{n}")
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(tmp_path / "in"))
+    seen = []
+
+    def write_batch(batch, number):
+        seen.append(sorted(((r.app_id or "", r.status, r.changes) for r in batch.collect())))
+
+    with progress.timers(spark):
+        stream = progress.bounded_progress(events, delay="0 seconds", keep="7 days", idle="20 days")
+        query = stream.writeStream.foreachBatch(write_batch).outputMode("update").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    seen = [rows for rows in seen if rows]
+    assert seen == [
+        [("", "queued", 1), ("a", "queued", 1), ("b", "queued", 1), ("c", "started", 1)],
+        [("a", "finished", 2), ("b", "failed", 3)],  # what is older than the watermark is late
+        [("c", "started", 2), ("d", "queued", 1)],
+        [("d", "started", 2)],
+        [("a", "queued", 1), ("d", "started", 3)],
+        [("d", "finished", 4)],
+        [("d", "finished", 5)],
+    ]
+    left = spark.read.format("statestore").option("stateVarName", "latest").load(str(tmp_path / "c"))
+    assert {r.key.app_id for r in left.select("key").collect()} == {"d"}
