@@ -9,6 +9,8 @@ from ..catalog import MATCH_CATEGORIES, PRIVACY_CATEGORIES, STRING_COUNT_ATTRIBU
 from ..functions.text import entropies, language, text_flags, word_count
 from ..operators import reports as rp
 from ..operators import stats as st
+from ..operators.rollups import ACCURACY, QUANTILES, Rollups
+from ..session import new_work_dir
 from .registry import Tables, query, sql_text
 from .text_queries import FLAG_SQL, LANGUAGE_SQL, SECRET_PATTERNS, TRACKERS, secret_sql
 
@@ -374,3 +376,55 @@ def tracker_counts(t: Tables) -> DataFrame:
     found = rp.detect_trackers(hosts, signatures, "page_id", "host")
     per_page = hosts.select("page_id").join(found, "page_id", "left")
     return per_page.groupBy(F.coalesce("tracker", F.lit("none")).alias("tracker")).agg(F.count("*").alias("apps"))
+
+
+ROLLED = ["cents", "o_orderkey"]
+
+
+def _rollups(t: Tables) -> Rollups:
+    """Orders by status and day, one owner added after the other, one of them twice."""
+    rollups = Rollups(t.spark, new_work_dir(t.spark, "rollups"), numeric=ROLLED, distinct=["o_custkey", "o_orderkey"])
+    orders = t.orders.withColumn("cents", F.round(F.col("o_totalprice") * 100).cast("long"))
+    for status in ("F", "O", "P", "O"):
+        rollups.add(orders.where(F.col("o_orderstatus") == status), "o_orderstatus", "o_orderdate")
+    return rollups
+
+
+@query(
+    "rollup_totals",
+    """
+    WITH o AS (SELECT *, CAST(round(o_totalprice * 100) AS BIGINT) AS cents FROM orders WHERE o_orderstatus IN ('F', 'O', 'P'))
+    SELECT o_orderstatus AS owner, 'cents' AS attribute, count(*) AS n, CAST(sum(cents) AS BIGINT) AS total, min(cents) AS lowest, max(cents) AS highest FROM o GROUP BY 1
+    UNION ALL SELECT o_orderstatus, 'o_orderkey', count(*), CAST(sum(o_orderkey) AS BIGINT), min(o_orderkey), max(o_orderkey) FROM o GROUP BY 1
+    """,
+)
+def rollup_totals(t: Tables) -> DataFrame:
+    exact = [F.col(c).cast("long").alias(c) for c in ("total", "lowest", "highest")]
+    return _rollups(t).totals(by=["owner"]).select("owner", "attribute", "n", *exact)
+
+
+@query(
+    "rollup_estimates",
+    """
+    SELECT 'cents' AS attribute, unnest([0.5, 0.9, 0.99])::DOUBLE AS share, true AS within
+    UNION ALL SELECT 'o_orderkey', unnest([0.5, 0.9, 0.99])::DOUBLE, true
+    UNION ALL SELECT unnest(['o_custkey', 'o_orderkey']), NULL, true
+    """,
+)
+def rollup_estimates(t: Tables) -> DataFrame:
+    """Whether merged quantiles and distinct counts are as near to the exact ones as they promise."""
+    rollups = _rollups(t)
+    orders = t.orders.where("o_orderstatus IN ('F', 'O', 'P')").withColumn("cents", F.round(F.col("o_totalprice") * 100))
+    shares = F.array(*[F.lit(s) for s in QUANTILES])
+    exact = None
+    for name in ROLLED:
+        # The smallest value at or below which a share of the rows lies.
+        values = [F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY {name})") for s in QUANTILES]
+        one = orders.agg(F.array(*values).alias("v")).select(F.lit(name).alias("attribute"), F.inline(F.arrays_zip(shares.alias("share"), F.col("v").alias("exact"))))
+        exact = one if exact is None else exact.unionByName(one)
+    near = F.abs(F.col("value") - F.col("exact")) <= F.col("exact") * (ACCURACY + 1e-9)
+    quantiles = rollups.quantiles().join(exact, ["attribute", "share"]).select("attribute", "share", near.alias("within"))
+    counts = orders.agg(*[F.countDistinct(c).alias(c) for c in ("o_custkey", "o_orderkey")]).unpivot([], ["o_custkey", "o_orderkey"], "attribute", "exact")
+    off = F.abs(F.col("distinct_values") - F.col("exact")) <= F.col("exact") * 0.05
+    distinct = rollups.distinct_counts().join(counts, "attribute").select("attribute", F.lit(None).cast("double").alias("share"), off.alias("within"))
+    return quantiles.unionByName(distinct)
