@@ -125,6 +125,36 @@ def test_groups_equal_greedy_order(spark):
         assert found == brute_groups(names, {frozenset(p) for p in pairs})
 
 
+def count_rounds(monkeypatch):
+    rounds = []
+    settled = sim._settled_places
+    monkeypatch.setattr(sim, "_settled_places", lambda *a: rounds.append(1) or settled(*a))
+    return rounds
+
+
+def test_a_large_clique_takes_few_rounds(spark, monkeypatch):
+    rounds = count_rounds(monkeypatch)
+    nodes = spark.range(1, 701).select(F.col("id").alias("node"))
+    edges = nodes.toDF("src").join(nodes.toDF("dst"), F.col("src") < F.col("dst")).where("NOT (src = 5 AND dst = 600)")
+    found = {tuple(r) for r in sim.similarity_groups(nodes, edges).collect()}
+    assert found == {(1, n) for n in range(1, 701) if n != 600} | {(600, n) for n in range(600, 701)}
+    assert len(rounds) <= 4
+
+
+def test_another_order_shortens_chains(spark, monkeypatch):
+    rng = random.Random(3)
+    names = list(range(1, 61))
+    pairs = [(n, n + 1) for n in names[:-1]]
+    hashes = {n: rng.random() for n in names}
+    nodes = spark.createDataFrame([(n, hashes[n]) for n in names], "node long, hash double")
+    rounds = count_rounds(monkeypatch)
+    found = {tuple(r) for r in sim.similarity_groups(nodes, spark.createDataFrame(pairs, "src long, dst long"), "hash").collect()}
+    rank = {n: i for i, n in enumerate(sorted(names, key=hashes.get))}
+    back = {i: n for n, i in rank.items()}
+    want = brute_groups(range(60), {frozenset((rank[a], rank[b])) for a, b in pairs})
+    assert found == {(back[g], back[n]) for g, n in want} and len(rounds) <= 8
+
+
 def test_groups_of_corpus_match_pairwise(corpus):
     _, _, nodes = corpus
     edges = sim.similarity_edges(nodes).checkpoint()
