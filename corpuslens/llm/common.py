@@ -84,38 +84,89 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-# Each byte value gets a 64-bit number of its own; sums of them with powers of an odd base are the
-# prefix fingerprints from which the fingerprint of any stretch of bytes follows.
-_BYTE_NUMBERS = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-_BASE = 0x5851F42D4C957F2D
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
+# Arithmetic modulo the prime 2 ** 61 - 1: a polynomial of a given degree has no more roots than that, so two different
+# stretches of n bytes have one fingerprint for n of the 2 ** 61 bases at most, whatever they look like.
+# (Modulo 2 ** 64 texts by the Thue-Morse rule collide under every odd base.)
+PRIME = (1 << 61) - 1
+_P = np.uint64(PRIME)
+_BASES = (0x0B2D4D1A7F3C5E91, 0x17A6E5C93D08F24B)  # two bases, drawn once: their fingerprints are independent of each other
+_SEGMENT = 1 << 16  # bytes handled at once, so that the arrays in between stay in the cache
 
 
-def powers_of(base: int, count: int) -> np.ndarray:
-    out = np.full(count, np.uint64(base), dtype=np.uint64)
-    if count:
-        out[0] = 1
-        np.multiply.accumulate(out, out=out)
-    return out
+def _u(value: int) -> np.uint64:
+    return np.uint64(value)
 
 
-class Fingerprints:
-    """Fingerprints of stretches of one byte buffer; equal bytes have equal ones wherever they lie."""
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """Below the prime, for any number of 64 bits."""
+    x = (x & _P) + (x >> _u(61))
+    return x - _P * (x >= _P)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, by halves of 30 and 31 bits."""
+    a_high, a_low = a >> _u(31), a & _u((1 << 31) - 1)
+    b_high, b_low = b >> _u(31), b & _u((1 << 31) - 1)
+    middle = a_low * b_high + a_high * b_low
+    # 2 ** 61 counts as one: 2 ** 62 of the high halves as two, and what the middle has above bit 30 as itself.
+    return _reduced((a_high * b_high << _u(1)) + (middle >> _u(30)) + ((middle & _u((1 << 30) - 1)) << _u(31)) + a_low * b_low)
+
+
+class _Powers:
+    """Powers of a base and of its inverse, as many as were asked for; the former split at bit 30."""
+
+    def __init__(self, base: int):
+        self._base, self._inverse = base, pow(base, -1, PRIME)
+        self.low, self.high, self.inverse = (np.empty(0, dtype=np.uint64) for _ in range(3))
 
-    def __init__(self, data: np.ndarray):
-        terms = _BYTE_NUMBERS[data]
-        terms *= powers_of(_BASE, len(data))
-        self._sums = np.empty(len(data) + 1, dtype=np.uint64)
-        self._sums[0] = 0
-        np.add.accumulate(terms, out=self._sums[1:])
-        self._shift = powers_of(_BASE_INVERSE, len(data) + 1)
+    @staticmethod
+    def _first(base: int, count: int) -> np.ndarray:
+        out, known = np.ones(count, dtype=np.uint64), 1
+        while known < count:
+            more = min(known, count - known)
+            out[known : known + more] = _times(out[:more], _u(pow(base, known, PRIME)))
+            known += more
+        return out
+
+    def upto(self, count: int) -> _Powers:
+        if len(self.inverse) < count:
+            count = 1 << max(16, (count - 1).bit_length())
+            powers = self._first(self._base, count)
+            self.low, self.high = powers & _u((1 << 30) - 1), powers >> _u(30)
+            self.inverse = self._first(self._inverse, count)
+        return self
+
+
+_POWERS = [_Powers(base % PRIME) for base in _BASES]
+
+
+class Fingerprints:
+    """Fingerprints of stretches of one byte buffer; equal bytes have equal ones wherever they lie. ``which`` names the base."""
+
+    def __init__(self, data: np.ndarray, which: int = 0):
+        powers = _POWERS[which].upto(len(data) + 1)
+        self._sums, self._inverse = np.empty(len(data) + 1, dtype=np.uint64), powers.inverse
+        self._sums[0] = carry = _u(0)
+        for at in range(0, len(data), _SEGMENT):
+            byte = data[at : at + _SEGMENT].astype(np.uint64) + _u(1)
+            # Sums of 39 and 40 bits each: no overflow within a segment.
+            low = np.cumsum(byte * powers.low[at : at + len(byte)])
+            high = np.cumsum(byte * powers.high[at : at + len(byte)])
+            sums = _reduced((high >> _u(31)) + ((high & _u((1 << 31) - 1)) << _u(30)) + low + carry)
+            self._sums[at + 1 : at + 1 + len(byte)] = sums
+            carry = sums[-1]
+
+    def _from(self, begin: np.ndarray, end: np.ndarray, inverse: np.ndarray) -> np.ndarray:
+        difference = end + _P - begin
+        return mixed(_times(difference - _P * (difference >= _P), inverse))
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mixed((self._sums[ends] - self._sums[starts]) * self._shift[starts])
+        return self._from(self._sums[starts], self._sums[ends], self._inverse[starts])
 
     def grams(self, length: int) -> np.ndarray:
         """Of the stretch of the given length at every offset at which it fits."""
-        fits = len(self._sums) - length
-        if fits <= 0:
-            return np.empty(0, dtype=np.uint64)
-        return mixed((self._sums[length:] - self._sums[:fits]) * self._shift[:fits])
+        out = np.empty(max(len(self._sums) - length, 0), dtype=np.uint64)
+        for at in range(0, len(out), _SEGMENT):
+            stop = min(at + _SEGMENT, len(out))
+            out[at:stop] = self._from(self._sums[at:stop], self._sums[at + length : stop + length], self._inverse[at:stop])
+        return out

@@ -19,7 +19,7 @@ Of every such pair that the wide sketches leave, too, the whole texts are compar
 
 Cases: null and empty texts and texts of blanks have no set and link with nothing; fewer than five
 words are one shingle; rows without an id have no component. Repeated rows link like any equal sets.
-Shingles are compared by 64-bit fingerprints, whole sets by 128 bits.
+Shingles are compared, and equal sets found, by two independent fingerprints modulo 2 ** 61 - 1.
 """
 
 from __future__ import annotations
@@ -51,6 +51,12 @@ _BLANKS = np.array([b in b" \t\n\x0b\x0c\r" for b in range(256)])
 
 def shingle_sets(texts: list[bytes], words: int = SHINGLE_WORDS) -> tuple[np.ndarray, np.ndarray]:
     """``(row, shingle)``: the distinct shingle fingerprints of every text, by row and fingerprint."""
+    row, shingles, _ = _shingles(texts, words)
+    return row, shingles
+
+
+def _shingles(texts: list[bytes], words: int = SHINGLE_WORDS, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """The same with the fingerprints of a second base, if asked for: both together stand for a shingle with 122 bits."""
     # Words are separated by one space, so the fingerprint of a stretch stands for a sequence of words.
     texts = [b" ".join(t.lower().split()) for t in texts]
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
@@ -61,30 +67,27 @@ def shingle_sets(texts: list[bytes], words: int = SHINGLE_WORDS) -> tuple[np.nda
     real = ends > starts
     starts, ends, row = starts[real], ends[real], row[real]
     if not len(starts):
-        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64)
+        return np.empty(0, dtype=np.int64), np.empty(0, dtype=np.uint64), np.empty(0, dtype=np.uint64) if second else None
     first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
     count = np.diff(np.concatenate([first, [len(row)]]))
     last = np.repeat(first + count - 1, count)
     at = np.arange(len(row))
     keep = (at + words - 1 <= last) | (at == np.repeat(first, count))
     at = at[keep]
-    shingles = Fingerprints(data).of(starts[at], ends[np.minimum(at + words - 1, last[at])])
-    row = row[at]
+    starts, ends, row = starts[at], ends[np.minimum(at + words - 1, last[at])], row[at]
+    shingles = Fingerprints(data).of(starts, ends)
     order = np.lexsort((shingles, row))
     row, shingles = row[order], shingles[order]
     fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (shingles[1:] != shingles[:-1])])
-    return row[fresh], shingles[fresh]
+    others = Fingerprints(data, 1).of(starts[order][fresh], ends[order][fresh]) if second else None
+    return row[fresh], shingles[fresh], others
 
 
-def _set_names(row: np.ndarray, shingles: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Size and two 64-bit names of every row's set; equal sets have equal names."""
-    sizes = np.bincount(row, minlength=rows)
-    names = []
-    for salt in (0x243F6A8885A308D3, 0x13198A2E03707344):
-        sums = np.zeros(rows, dtype=np.uint64)
-        np.add.at(sums, row, mixed(shingles ^ np.uint64(salt)))
-        names.append(mixed(sums + np.uint64(salt)).view(np.int64))
-    return sizes, names[0], names[1]
+def _set_name(row: np.ndarray, shingles: np.ndarray, rows: int) -> np.ndarray:
+    """A name of every row's set from the fingerprints of its shingles; equal sets have equal names."""
+    sums = np.zeros(rows, dtype=np.uint64)
+    np.add.at(sums, row, mixed(shingles ^ np.uint64(0x243F6A8885A308D3)))
+    return mixed(sums + np.uint64(0x243F6A8885A308D3)).view(np.int64)
 
 
 class Bands:
@@ -174,9 +177,11 @@ def _sketches(row: np.ndarray, shingles: np.ndarray, rows: int, words: int = SKE
 
 def _sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, 128):
-        row, shingles = shingle_sets(byte_values(batch.column("text")))
-        names = _set_names(row, shingles, batch.num_rows)
-        yield batch_of(_SET_ROWS, batch.column("id"), batch.column("text_key"), *names, *_sketches(row, shingles, batch.num_rows).T)
+        rows = batch.num_rows
+        row, shingles, others = _shingles(byte_values(batch.column("text")), second=True)
+        # Two names from fingerprints of different bases: what one of them confuses the other tells apart.
+        names = np.bincount(row, minlength=rows), _set_name(row, shingles, rows), _set_name(row, others, rows)
+        yield batch_of(_SET_ROWS, batch.column("id"), batch.column("text_key"), *names, *_sketches(row, shingles, rows).T)
 
 
 # Entries of one block for one bucket, packed; or, in buckets below zero, entries that skip the meeting.
@@ -224,7 +229,7 @@ def _blocks(buckets: int):
         for batch in sliced(batches, 128):
             texts = byte_values(batch.column("text"))
             row, shingles = shingle_sets(texts)
-            sizes, node, _ = _set_names(row, shingles, len(texts))
+            sizes, node = np.bincount(row, minlength=len(texts)), _set_name(row, shingles, len(texts))
             known = np.fromiter((n in seen for n in node.tolist()), dtype=bool, count=len(node))
             if len(seen) < 1_000_000:
                 seen.update(node.tolist())
@@ -308,15 +313,15 @@ def _likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Exact comparison of the two sets of every pair."""
+    """Comparison of the two whole sets of every pair, shingles by both of their fingerprints."""
     for batch in sliced(batches, 64):
         n = batch.num_rows
-        row, shingles = shingle_sets(byte_values(batch.column("src_text")) + byte_values(batch.column("dst_text")))
+        row, shingles, others = _shingles(byte_values(batch.column("src_text")) + byte_values(batch.column("dst_text")), second=True)
         sizes = np.bincount(row, minlength=2 * n)
         # A shingle that both sets of a pair have comes twice among the pair's shingles.
         order = np.lexsort((shingles, row % n))
-        pair, shingles = (row % n)[order], shingles[order]
-        twice = (pair[1:] == pair[:-1]) & (shingles[1:] == shingles[:-1])
+        pair, shingles, others = (row % n)[order], shingles[order], others[order]
+        twice = (pair[1:] == pair[:-1]) & (shingles[1:] == shingles[:-1]) & (others[1:] == others[:-1])
         common = np.bincount(pair[1:][twice], minlength=n)
         linked = pa.array(5 * common >= 4 * (sizes[:n] + sizes[n:] - common))
         yield batch.select(["src", "dst"]).filter(linked)

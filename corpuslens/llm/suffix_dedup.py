@@ -16,7 +16,8 @@ Documents are held in groups of a few megabytes; a group sends each identifier o
 what it needs to know of its own. Texts move once, to their group.
 
 Cases: a null text is empty; texts shorter than 400 bytes keep all bytes; every row is a document of its own, so repeated
-rows of 400 bytes or more lose everything. Null ids stay null. Identifiers have 64 bits: two different strings share one with probability 2**-64.
+rows of 400 bytes or more lose everything. Null ids stay null. Identifiers are fingerprints modulo 2 ** 61 - 1: two
+different strings of n bytes share one for n of its 2 ** 61 bases at most, and seeds and runs are told apart by different bases.
 """
 
 from __future__ import annotations
@@ -69,8 +70,8 @@ class _Stretch:
 
     def __init__(self, texts: list[bytes]):
         self.lengths = [len(t) for t in texts]
-        prints = Fingerprints(np.frombuffer(b"".join(texts), dtype=np.uint8))
-        self.names = prints.grams(FIRST)
+        data = np.frombuffer(b"".join(texts), dtype=np.uint8)
+        self.names = Fingerprints(data).grams(FIRST)
         n = sum(self.lengths)
         # A suffix must have LENGTH bytes left in its own text.
         left = np.repeat(np.cumsum(self.lengths), self.lengths) - np.arange(n)
@@ -85,7 +86,8 @@ class _Stretch:
         self.first, self.last = first[own], last[own]
         self.runs = np.empty(len(self.first), dtype=_RUN)
         self.runs["seed"] = self.names[at[self.first]]
-        self.runs["run"] = prints.of(self.first, self.last + LENGTH)
+        # Of another base: where two seeds are confused, their runs are not.
+        self.runs["run"] = Fingerprints(data, 1).of(self.first, self.last + LENGTH)
 
     def refined(self) -> np.ndarray:
         """The 400-byte buckets: each step refines by the bucket that begins where the last one ends."""

@@ -5,9 +5,11 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
-from corpuslens.llm import ngram_join, suffix_dedup, vector_caps
+from corpuslens.llm import common, ngram_join, suffix_dedup, vector_caps
+from corpuslens.llm.common import Fingerprints, mixed
 
 
 def components(nodes, links):
@@ -275,3 +277,38 @@ def test_repeats_of_no_documents_and_long_texts(make_docs, awkward):
     long_text = awkward[8][1]
     got = suffix_dedup.remove_repeats(make_docs([(1, long_text), (2, long_text)])).collect()
     assert [bytes(r.kept) for r in got] == [b"", b""]
+
+
+def thue_morse(n, a, b):
+    return [b if bin(i).count("1") % 2 else a for i in range(n)]
+
+
+@pytest.mark.parametrize("n", [1024, 2048, 4096])
+def test_structured_texts_have_fingerprints_of_their_own(n):
+    """Sequences by the Thue-Morse rule collide under every polynomial hash modulo a power of two."""
+    letters = ["".join(thue_morse(n, a, b)) for a, b in ("ab", "ba", "cd", "dc")]
+    prints = [Fingerprints(np.frombuffer(t.encode(), dtype=np.uint8), which) for which in (0, 1) for t in letters]
+    assert len({int(f.of(np.array([0]), np.array([n]))[0]) for f in prints}) == 8
+
+
+def test_structured_texts_are_not_confused(make_docs):
+    letters = ["".join(thue_morse(2048, a, b)) for a, b in ("ab", "ba", "cd", "dc")]
+    rows = list(enumerate([*letters, "one two three", "one two three"]))
+    linked = {r.id: r.component_id for r in ngram_join.linked_documents(make_docs(rows)).collect()}
+    assert [linked[i] for i in range(6)] == [0, 1, 2, 3, 4, 4]
+    assert {r.doc_id for r in ngram_join.one_of_each_group(make_docs(rows)).collect()} == {0, 1, 2, 3, 4}
+    got = suffix_dedup.remove_repeats(make_docs(rows)).collect()
+    assert sorted(str((r.id, r.n_bytes, len(r.span_starts), bytes(r.kept))) for r in got) == removed_by_hand(rows)
+
+
+def test_fingerprints_are_polynomials_modulo_a_prime():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 256, 150_000).astype(np.uint8)
+    data[100_000:100_300] = data[40:340]
+    for which in (0, 1):
+        base, prints = common._BASES[which] % common.PRIME, Fingerprints(data, which)
+        for a, b in [(0, 0), (0, 1), (40, 340), (65_530, 65_600), (131_000, 131_200)]:
+            value = sum((int(data[j]) + 1) * pow(base, j - a, common.PRIME) for j in range(a, b)) % common.PRIME
+            assert prints.of(np.array([a]), np.array([b]))[0] == mixed(np.array([value], dtype=np.uint64))[0]
+        grams = prints.grams(300)
+        assert len(grams) == 149_701 and grams[40] == grams[100_000] and len(np.unique(grams)) == 149_700
