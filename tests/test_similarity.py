@@ -1,10 +1,13 @@
+import itertools
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.functions import fuzzy
 from corpuslens.operators import similarity as sim
+from corpuslens.operators.similarity_store import SimilarityStore
 
 
 def plain_digest(data: bytes) -> str:
@@ -197,3 +200,55 @@ def test_hot_chunk_is_split(spark):
     rows = sim.postings(nodes, F.array(F.lit(7).cast("long"), (F.col("node") % 3 + 100).cast("long")))
     found = sorted(tuple(r) for r in sim.candidate_pairs(rows, cell_rows=10).collect())
     assert found == [(a, b) for a in range(60) for b in range(a + 1, 60)]
+
+
+def stored_pairs(spark, tmp_path, steps, **options):
+    store = SimilarityStore(spark, str(tmp_path), **options)
+    for rows in steps:
+        store.add(spark.createDataFrame(rows, "id long, digest string"), "id")
+    return store
+
+
+def test_steps_equal_one_run(spark, corpus, tmp_path):
+    rows, digests, nodes = corpus
+    listed = [(r["id"], r["digest"]) for r in digests.collect()]
+    changed = [(i, listed[(n + 7) % len(listed)][1]) for n, (i, _) in enumerate(listed[:5])]
+    steps = [changed + listed[5:20], listed[20:] + [(10_000, listed[3][1])], listed[:5] + [(10_000, None)]]
+    store = stored_pairs(spark, tmp_path / "steps", steps)
+    name = {r["node"]: r["digest"] for r in nodes.collect()}
+    want = {tuple(sorted((name[r["src"]], name[r["dst"]]))) + (r["score"],) for r in sim.similarity_edges(nodes).collect()}
+    assert {tuple(r) for r in store.edges().collect()} == want and len(want) > 20
+    assert {tuple(r) for r in store.members().collect()} == set(listed)
+    store.compact()
+    assert len(store.steps()) == 1 and {tuple(r) for r in store.edges().collect()} == want
+    store.add(spark.createDataFrame([(i, None) for i, _ in listed], "id long, digest string"), "id")
+    assert store.edges().collect() == [] and store.members().collect() == []
+
+
+def test_what_is_stored_is_not_compared_again(spark, tmp_path):
+    def score(a, b):
+        @F.pandas_udf("int")
+        def one(x: pd.Series, y: pd.Series) -> pd.Series:
+            with open(tmp_path / "compared", "a") as log:
+                log.writelines(f"{p} {q}\n" for p, q in zip(x, y))
+            return pd.Series([1] * len(x))
+
+        return one(a, b)
+
+    keys = lambda d: F.array(F.length(d).cast("long"))
+    store = stored_pairs(spark, tmp_path / "s", [[(1, "aa"), (2, "bb"), (3, "ccc")], [(4, "dd"), (5, "ee"), (6, "aa")], [(7, "bb")]], keys=keys, score=score)
+    compared = [tuple(line.split()) for line in (tmp_path / "compared").read_text().splitlines()]
+    assert sorted(compared) == sorted(itertools.combinations(["aa", "bb", "dd", "ee"], 2))
+    assert {(r.src, r.dst) for r in store.edges().collect()} == set(compared)
+
+
+def test_a_step_that_dies_can_run_again(spark, tmp_path, monkeypatch):
+    keys, one = (lambda d: F.array(F.length(d).cast("long"))), (lambda a, b: F.lit(1))
+    store = stored_pairs(spark, tmp_path, [[(1, "aa")]], keys=keys, score=one)
+    with monkeypatch.context() as m:
+        m.setattr(store, "_commit", lambda *_: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            store.add(spark.createDataFrame([(2, "bb")], "id long, digest string"), "id")
+    assert store.edges().collect() == [] and len(store.steps()) == 1
+    store.add(spark.createDataFrame([(2, "bb"), (3, "")], "id long, digest string"), "id")
+    assert [tuple(r) for r in store.edges().collect()] == [("aa", "bb", 1)]
