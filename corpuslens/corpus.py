@@ -1,4 +1,4 @@
-"""The list queries over a corpus: one Parquet table per collection below a root folder."""
+"""The list queries over a corpus: one table per collection, below a root folder or as a view."""
 
 from __future__ import annotations
 
@@ -13,13 +13,22 @@ from .schemas import CASCADES, schema_of
 
 
 class Corpus:
-    """Opens tables and answers the list queries. Every result is a lazy DataFrame."""
+    """Opens tables and answers the list queries. Every result is a lazy DataFrame.
 
-    def __init__(self, spark: SparkSession, root: str):
+    Tables lie below ``root``, or are views over tables that lie elsewhere: filters and columns of a list query then reach
+    the scans of these.
+    """
+
+    def __init__(self, spark: SparkSession, root: str | None = None, views: Mapping[str, DataFrame] | None = None):
         self.spark = spark
-        self.root = root.rstrip("/")
+        self.root = None if root is None else root.rstrip("/")
+        self.views = dict(views or {})
 
     def table(self, name: str) -> DataFrame:
+        if name in self.views:
+            return self.views[name]
+        if self.root is None:
+            raise ValueError(f"this corpus has no table {name!r}")
         return self.spark.read.schema(schema_of(name)).parquet(f"{self.root}/{name}")
 
     def list(

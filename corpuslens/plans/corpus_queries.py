@@ -1,4 +1,4 @@
-"""The list queries of the API over a stored corpus, filled from the given tables (Q01-Q10, Q12)."""
+"""The list queries of the API over views of the given tables (Q01-Q10, Q12)."""
 
 from __future__ import annotations
 
@@ -7,18 +7,16 @@ from pyspark.sql import functions as F
 
 from ..corpus import Corpus
 from ..schemas import schema_of
-from ..session import new_work_dir
 from .registry import Tables, query
 
 
-def stored(t: Tables, **tables: tuple[DataFrame, dict[str, Column]]) -> Corpus:
-    """A corpus whose tables hold the given columns; all others are null."""
-    root = new_work_dir(t.spark, "corpus")
+def viewed(t: Tables, **tables: tuple[DataFrame, dict[str, Column]]) -> Corpus:
+    """A corpus of views over the given tables: the columns named, all others null. Nothing is copied."""
+    views = {}
     for name, (rows, columns) in tables.items():
         fields = schema_of(name).fields
-        full = rows.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
-        full.write.parquet(f"{root}/{name}")
-    return Corpus(t.spark, root)
+        views[name] = rows.select(*[columns.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in fields])
+    return Corpus(t.spark, views=views)
 
 
 def tagged(letter: str, *columns: str) -> Column:
@@ -39,18 +37,18 @@ def apps(t: Tables):
     "SELECT 'f' || c_custkey AS id, c_name AS original_filename FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3",
 )
 def firmware_list(t: Tables) -> DataFrame:
-    corpus = stored(t, android_firmware=firmware(t))
+    corpus = viewed(t, android_firmware=firmware(t))
     return corpus.list("android_firmware", filters={"os_vendor": "BUILDING", "version_detected": 3}, columns=["id", "original_filename"])
 
 
 @query("firmware_id_list", "SELECT 'f' || c_custkey AS id FROM customer WHERE c_mktsegment = 'MACHINERY'")
 def firmware_id_list(t: Tables) -> DataFrame:
-    return stored(t, android_firmware=firmware(t)).firmware_ids({"os_vendor": "MACHINERY"})
+    return viewed(t, android_firmware=firmware(t)).firmware_ids({"os_vendor": "MACHINERY"})
 
 
 @query("firmware_page", "SELECT 'f' || c_custkey AS id FROM customer WHERE 'f' || c_custkey > 'f3' ORDER BY 1 LIMIT 25")
 def firmware_page(t: Tables) -> DataFrame:
-    return stored(t, android_firmware=firmware(t)).firmware_page("f3", 25).select("id")
+    return viewed(t, android_firmware=firmware(t)).firmware_page("f3", 25).select("id")
 
 
 @query(
@@ -58,7 +56,7 @@ def firmware_page(t: Tables) -> DataFrame:
     "SELECT 'a' || o_orderkey AS id FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND o_orderpriority = '1-URGENT'",
 )
 def app_list_of_firmware(t: Tables) -> DataFrame:
-    corpus = stored(t, android_firmware=firmware(t), android_app=apps(t))
+    corpus = viewed(t, android_firmware=firmware(t), android_app=apps(t))
     return corpus.app_ids(corpus.firmware_ids({"os_vendor": "BUILDING"}), {"filename": "1-URGENT"})
 
 
@@ -71,7 +69,7 @@ def firmware_file_list(t: Tables) -> DataFrame:
         "id": tagged("x", "l_orderkey", "l_linenumber"), "firmware_id_reference": tagged("f", "l_suppkey"),
         "partition_name": F.col("l_returnflag"), "file_size_bytes": F.col("l_quantity"),
     }
-    corpus = stored(t, firmware_file=(t.lineitem, columns))
+    corpus = viewed(t, firmware_file=(t.lineitem, columns))
     wanted = {"partition_name": "R", "firmware_id_reference": "f7"}
     return corpus.list("firmware_file", filters=wanted, columns=["id", "file_size_bytes"])
 
@@ -90,7 +88,7 @@ def build_prop_list(t: Tables) -> DataFrame:
         "id": F.concat(F.lit("p"), F.lpad(F.col("o_orderkey").cast("string"), 9, "0")), "firmware_id_reference": tagged("f", "o_custkey"),
         "properties": F.coalesce(keys, F.create_map(F.lit("ro_a"), "o_orderpriority")),
     }
-    corpus = stored(t, build_prop_file=(t.orders, columns))
+    corpus = viewed(t, build_prop_file=(t.orders, columns))
     found = corpus.property_files(keys=["ro_a", "ro_b"], values=["1-URGENT", "2-HIGH"], distinct_on="firmware_id_reference")
     return found.select("id", "firmware_id_reference")
 
@@ -111,8 +109,8 @@ def reports(t: Tables, status: str):
     """,
 )
 def scanner_report_list(t: Tables) -> DataFrame:
-    """Reports of the requested types; the third type is stored, too, and not read."""
-    corpus = stored(t, ExodusReport=reports(t, "F"), QarkReport=reports(t, "O"), SuperReport=reports(t, "P"))
+    """Reports of the requested types; the third type is there, too, and not read."""
+    corpus = viewed(t, ExodusReport=reports(t, "F"), QarkReport=reports(t, "O"), SuperReport=reports(t, "P"))
     return corpus.scan_reports(requested=["ExodusReport", "QarkReport"]).select("report_type", "id")
 
 
@@ -122,7 +120,7 @@ def scanner_report_list(t: Tables) -> DataFrame:
 )
 def report_list_of_scanner(t: Tables) -> DataFrame:
     """The reports of one scanner with the app they are about."""
-    corpus = stored(t, ExodusReport=reports(t, "F"), android_app=apps(t))
+    corpus = viewed(t, ExodusReport=reports(t, "F"), android_app=apps(t))
     return corpus.reports_with_apps("ExodusReport").select("id", "app_filename")
 
 
@@ -133,7 +131,7 @@ def report_list_of_scanner(t: Tables) -> DataFrame:
 def statistics_list(t: Tables) -> DataFrame:
     counts = t.events.groupBy("event_type").agg(F.count("*").alias("n"))
     columns = {"id": F.col("event_type"), "report_name": F.lit("events"), "attribute": F.lit("event_type"), "value": F.col("event_type"), "n": F.col("n")}
-    corpus = stored(t, statistics_report=(counts, columns))
+    corpus = viewed(t, statistics_report=(counts, columns))
     return corpus.list("statistics_report", filters={"report_name": "events"}, columns=["value", "n"]).where("n > 10")
 
 
@@ -141,21 +139,21 @@ def statistics_list(t: Tables) -> DataFrame:
 def fuzzy_hash_list(t: Tables) -> DataFrame:
     """Stored digests of one firmware; any text stands for a digest here."""
     columns = {"id": tagged("h", "doc_id"), "firmware_id_reference": F.col("source"), "digest": F.md5("text")}
-    corpus = stored(t, tlsh_hash=(t.documents, columns))
+    corpus = viewed(t, tlsh_hash=(t.documents, columns))
     return corpus.list("tlsh_hash", filters={"firmware_id_reference": "src3"}, columns=["id", "digest"])
 
 
 @query("certificate_list", "SELECT 'c' || s_suppkey AS id, s_name AS subject FROM supplier WHERE s_nationkey = 5")
 def certificate_list(t: Tables) -> DataFrame:
     columns = {"id": tagged("c", "s_suppkey"), "subject": F.col("s_name"), "issuer": F.col("s_nationkey"), "is_ca": F.col("s_nationkey") == 5}
-    corpus = stored(t, app_certificate=(t.supplier, columns))
+    corpus = viewed(t, app_certificate=(t.supplier, columns))
     return corpus.list("app_certificate", filters={"is_ca": True}, columns=["id", "subject"])
 
 
 @query("scanner_log_list", "SELECT 'l' || event_id AS id, props AS message FROM events WHERE event_type = 'click'")
 def scanner_log_list(t: Tables) -> DataFrame:
     columns = {"id": tagged("l", "event_id"), "level": F.col("event_type"), "message": F.col("props"), "timestamp": F.col("ts")}
-    corpus = stored(t, apk_scanner_log=(t.events, columns))
+    corpus = viewed(t, apk_scanner_log=(t.events, columns))
     return corpus.list("apk_scanner_log", filters={"level": "click"}, columns=["id", "message"])
 
 
@@ -165,7 +163,7 @@ def aecs_job_list(t: Tables) -> DataFrame:
     jobs = t.customer.groupBy("c_nationkey").agg(F.collect_list(tagged("f", "c_custkey")).alias("firmware"))
     jobs = jobs.join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     columns = {"id": tagged("j", "c_nationkey"), "firmware_id_list": F.col("firmware"), "arch": F.col("n_regionkey")}
-    corpus = stored(t, aecs_job=(jobs, columns))
+    corpus = viewed(t, aecs_job=(jobs, columns))
     return corpus.list("aecs_job", filters={"arch": "1"}, columns=["id"])
 
 
@@ -180,7 +178,7 @@ def aecs_job_list(t: Tables) -> DataFrame:
 )
 def corpus_without_firmware(t: Tables) -> DataFrame:
     """Deleting firmware takes its apps and their reports along."""
-    corpus = stored(t, android_firmware=firmware(t), android_app=apps(t), ExodusReport=reports(t, "F"))
+    corpus = viewed(t, android_firmware=firmware(t), android_app=apps(t), ExodusReport=reports(t, "F"))
     gone = corpus.firmware_ids({"os_vendor": "BUILDING"})
     kept = corpus.without("android_firmware", gone, ["android_firmware", "android_app", "ExodusReport"])
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("kept_in"), "n") for name, df in kept.items()]

@@ -64,3 +64,17 @@ def test_dereference_and_cascade(corpus, spark):
     kept = corpus.without("android_firmware", spark.createDataFrame([("f1",)], "id string"))
     assert ids(kept["android_firmware"]) == ["f2", "f3"]
     assert ids(kept["android_app"]) == ["a3"] and ids(kept["build_prop_file"]) == ["p3"] and ids(kept["firmware_file"]) == ["x2"]
+
+
+def test_views_read_what_is_asked_for(spark, tmp_path):
+    """Filters and columns of a list query reach the scan of the table a view is over."""
+    spark.range(20).selectExpr("id AS k", "CAST(id % 3 AS STRING) AS vendor", "'x' AS other").write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    view = table.selectExpr("concat('f', k) AS id", "vendor AS os_vendor", "other AS original_filename")
+    corpus = Corpus(spark, views={"android_firmware": view})
+    found = corpus.list("android_firmware", filters={"os_vendor": "1"}, columns=["id"])
+    assert ids(found) == sorted(f"f{k}" for k in range(20) if k % 3 == 1)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(vendor,1)" in plan and "ReadSchema: struct<k:bigint,vendor:string>" in plan
+    with pytest.raises(ValueError, match="no table"):
+        corpus.table("android_app")
