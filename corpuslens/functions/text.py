@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -61,33 +63,31 @@ def word_count(text: Column | str) -> Column:
     return F.regexp_count(as_col(text), F.lit(r"\S+"))
 
 
+_FEW_POINTS = 1 << 12  # texts of smaller code points are counted in a table, others by sorting
+
+
+def _entropy(text: str | None) -> float:
+    """Natural entropy of a text's characters: with k occurrences of a character among n, ln n - sum(k ln k) / n."""
+    if not text:
+        return 0.0
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    counts = np.bincount(points) if points.max() < _FEW_POINTS else np.unique(points, return_counts=True)[1]
+    counts = counts[counts > 0].astype(float)
+    return abs(math.log(len(points)) - float((counts * np.log(counts)).sum()) / len(points))
+
+
 def entropies(text: Column | str) -> Column:
-    """Natural, Shannon and Hartley entropy of the characters as a struct, without a shuffle.
+    """Natural, Shannon and Hartley entropy of the characters as a struct. Null and empty texts have none: 0.
 
-    With k occurrences of a character among n, the natural entropy is ln n - sum(k ln k) / n.
+    One count of the characters, whatever their number: there is no built-in function that counts the elements of an array.
     """
-    text = as_col(text)
 
-    def occurrences(char: Column) -> Column:
-        return F.length(text) - F.length(F.replace(text, char, F.lit("")))
-
-    # Sorted, so that the terms are summed in the same order in every run.
-    chars = F.array_sort(F.array_distinct(F.filter(F.split(text, ""), lambda c: c != "")))
-    weighted = F.aggregate(
-        F.transform(chars, occurrences), F.lit(0.0), lambda acc, k: acc + k * F.log(k.cast("double"))
-    )
-    natural = F.when(
-        F.length(text) > 0, F.abs(F.log(F.length(text).cast("double")) - weighted / F.length(text))
-    ).otherwise(F.lit(0.0))
-    # The entropy is bound once and scaled three times.
-    return F.transform(
-        F.array(natural),
-        lambda h: F.struct(
-            h.alias("natural_entropy"),
-            (h / F.lit(math.log(2))).alias("shannon_entropy"),
-            (h / F.lit(math.log(10))).alias("hartley_entropy"),
-        ),
-    )[0]
+    @F.pandas_udf("natural_entropy double, shannon_entropy double, hartley_entropy double")
+    def measure(texts: pd.Series) -> pd.DataFrame:
+        natural = np.array([_entropy(t) for t in texts], dtype=float)
+        return pd.DataFrame({"natural_entropy": natural, "shannon_entropy": natural / math.log(2), "hartley_entropy": natural / math.log(10)})
+
+    return measure(as_col(text))
 
 
 def _is_one_of(words: list[str]):
