@@ -18,7 +18,7 @@ from ..functions import unfold
 from ..functions import paths as pt
 from ..operators import classify as cl
 from ..sources.sinks import export_folder
-from .registry import Tables, query, sql_text
+from .registry import ORACLES, Tables, query, sql_text
 
 # Part type and size give each part a file name and a place.
 TYPE_STEMS = {
@@ -86,6 +86,13 @@ def _image_sql(label: str, condition: str) -> str:
     ),
 )
 def partition_classify(t: Tables) -> DataFrame:
+    labels = cl.image_labels("name", F.col("is_directory"))
+    return unfold(part_files(t), ["file_id", "name"], labels, "label")
+
+
+@query("pattern_table_classify", ORACLES["partition_classify"])
+def pattern_table_classify(t: Tables) -> DataFrame:
+    """The same labels from a table of patterns, which may be of any size."""
     return cl.labelled_images(part_files(t), "file_id", "name", F.col("is_directory"), cl.image_pattern_table(t.spark))
 
 

@@ -65,6 +65,34 @@ def behaviour_summary(t: Tables) -> DataFrame:
     return summary.withColumn("label", F.array_join("label", ","))
 
 
+@query(
+    "behaviour_catalogue",
+    """
+    WITH c AS (SELECT l_orderkey // 10 AS app_id, l_orderkey AS caller, l_linenumber AS seq, p_brand AS method FROM lineitem JOIN part ON l_partkey = p_partkey),
+    brands AS (SELECT DISTINCT p_brand FROM part),
+    r AS (SELECT a.p_brand || ' then ' || b.p_brand AS crime, a.p_brand AS a, b.p_brand AS b FROM brands a, brands b WHERE a.p_brand <> b.p_brand),
+    f AS (SELECT app_id, caller, method, min(seq) AS first_seq, max(seq) AS last_seq FROM c GROUP BY 1, 2, 3)
+    SELECT crime, x.app_id, x.caller, x.first_seq, y.last_seq AS second_seq, x.first_seq < y.last_seq AS in_order
+    FROM f x JOIN f y ON x.caller = y.caller AND x.app_id = y.app_id JOIN r ON x.method = r.a AND y.method = r.b
+    """,
+)
+def behaviour_catalogue(t: Tables) -> DataFrame:
+    """A rule for every two brands in this order, some hundreds: rules are a table, joined with the calls."""
+    brands = t.part.select(F.col("p_brand").alias("a")).distinct()
+    pairs = brands.groupBy().agg(F.array_sort(F.collect_list("a")).alias("all")).select(F.explode("all").alias("a"), "all").select("a", F.explode("all").alias("b")).where("a <> b")
+
+    def api(column: str):
+        return F.struct(F.lit("P").alias("class"), F.col(column).alias("method"), F.lit("()V").alias("descriptor"))
+
+    rules = pairs.select(F.concat("a", F.lit(" then "), "b").alias("crime"), F.array(api("a"), api("b")).alias("api"), F.lit(1.0).alias("score"))
+    lines = t.lineitem.join(t.part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    made = lines.select(
+        F.floor(F.col("l_orderkey") / 10).cast("long").alias("app_id"), F.col("l_orderkey").alias("caller"), F.col("l_linenumber").alias("seq"),
+        F.lit("P").alias("callee_class"), F.col("p_brand").alias("callee_method"), F.lit("()V").alias("descriptor"),
+    )
+    return rl.behaviours(made, rules).drop("score")
+
+
 @query(
     "behaviour_permission_gate",
     f"""WITH {PAIR_CTE} SELECT crime, app_id, caller FROM found WHERE (app_id % 2 = 0 AND crime = 'standard then promo')

@@ -40,6 +40,12 @@ def secret_sql() -> str:
 
 @query("secret_scan", secret_sql())
 def secret_scan(t: Tables) -> DataFrame:
+    return rp.pattern_findings(t.spread("documents", "doc_id"), "doc_id", "text", SECRET_PATTERNS)
+
+
+@query("secret_table_scan", secret_sql())
+def secret_table_scan(t: Tables) -> DataFrame:
+    """The same findings from a table of patterns, which may be of any size."""
     rules = t.spark.createDataFrame(list(SECRET_PATTERNS.items()), "rule string, pattern string")
     return pt.findings(t.spread("documents", "doc_id"), "doc_id", "text", rules, "rule", "pattern")
 

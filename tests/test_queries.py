@@ -32,7 +32,9 @@ def test_entry(spark):
 # Queries that run jobs or streams of their own before they return.
 EAGER = {
     "similar_components", "similarity_groups", "similarity_edges", "similarity_members", "digest_scores", "candidate_links",
-    "candidate_union", "adjacency", "log_window_stream", "scan_progress", "stream_import", "scan_fanout",
+    "candidate_union", "adjacency", "log_window_stream", "scan_progress", "stream_import", "scan_fanout", "scan_progress_bounded",
+    "link_groups", "incremental_links", "passage_patterns", "secret_table_scan", "pattern_table_classify", "rollup_totals",
+    "rollup_estimates", *(name for name in QUERIES if name.startswith(("store_", "indexed_"))),
 }
 
 
