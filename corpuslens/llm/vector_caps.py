@@ -11,7 +11,8 @@ not they reach the threshold, so each has filters, and several codes, drawn inde
 
 A pair is missed only if no filter of any code holds both. Codes are turned at random, so the chance of that depends on
 nothing but the pair's cosine: it is measured on ``PROBES`` random pairs right at the least cosine, and codes are added
-until at most one in ``1 / MISSED`` of those is missed. Up to ``EXACT`` distinct vectors are all compared with each other.
+until at most one in ``1 / MISSED`` of those is missed; where ``MOST_CODES`` do not get there, all pairs are compared.
+``exact`` asks for that with up to so many distinct vectors; by default tables of every size go through the codes.
 
 Equal vectors are one node with a count. A filter with many members is cut into slices of ``SLICE`` vectors,
 and every pair of slices is a task of its own: no filter is gathered anywhere, none is cut off. A
@@ -47,7 +48,7 @@ BEST = 12
 BUCKET = 200
 SLICE = 512
 SEED = 20
-EXACT = 4_096
+EXACT = 0
 LEAST_CODES, MOST_CODES = 2, 64
 PROBES, MISSED = 4_000, 0.0005
 SAMPLED_DIRECTIONS = 40_000
@@ -135,7 +136,8 @@ class Codes:
                 apart[np.intersect1d(pairs_a, pairs_b)["f0"] + start] = False
         self.missed = float(apart.mean())
         if self.missed > MISSED:
-            warnings.warn(f"{MOST_CODES} codes miss {self.missed:.2%} of the pairs at a cosine of {min_cosine}", stacklevel=2)
+            warnings.warn(f"{MOST_CODES} codes miss {self.missed:.2%} of the pairs at a cosine of {min_cosine}: all pairs are compared", stacklevel=2)
+            self.codes = []
 
     def _of_code(self, code: ProductCode, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         row, name = code.filters_of(vectors)

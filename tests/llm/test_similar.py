@@ -98,7 +98,7 @@ def test_few_vectors_are_compared_in_full_and_many_by_codes(spark):
     np.fill_diagonal(near, False)
     assert near.sum() > 100
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id long, embedding array<double>")
-    for exact, least in ((vector_caps.EXACT, 1.0), (0, 0.995)):
+    for exact, least in ((4_096, 1.0), (vector_caps.EXACT, 0.995)):
         got = {r.id: r.n_links for r in vector_caps.vector_links(df, exact=exact).collect()}
         assert all(got[i] <= near[i].sum() for i in got) and sum(got.values()) >= least * near.sum()
 
@@ -117,15 +117,22 @@ def test_vectors_of_every_length_are_compared(spark):
         rows += [(base + i, v.tolist()) for i, v in enumerate(vectors)]
         want |= {base + i: (int(near[i].sum()), base + found[i]) for i in range(len(vectors))}
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
-    assert {r.id: (r.n_links, r.component_id) for r in vector_caps.vector_links(df).collect()} == want
+    assert {r.id: (r.n_links, r.component_id) for r in vector_caps.vector_links(df, exact=4_096).collect()} == want
     # With codes for every length, too.
-    got = {r.id: r.n_links for r in vector_caps.vector_links(df, exact=0).collect()}
+    got = {r.id: r.n_links for r in vector_caps.vector_links(df).collect()}
     assert all(got[i] <= want[i][0] for i in want)
     for length in (7, 24, 32):
         own = [i for i in want if i // 1000 == length]
         assert sum(got[i] for i in own) >= 0.99 * sum(want[i][0] for i in own)
 
 
+def test_tables_of_every_size_go_through_codes():
+    assert all(vector_caps.Codes(16, nodes).codes for nodes in (1, 2, 5, 500))
+    with pytest.warns(UserWarning, match="all pairs"):
+        # One filter for each vector and code is too few: then all pairs are compared.
+        assert vector_caps.Codes(48, 10**6, min_cosine=0.3, best=1, filters=0.01).codes == []
+
+
 def test_vectors_without_rows(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert vector_caps.vector_links(empty).collect() == []
