@@ -3,8 +3,8 @@
 A text's count is the sum over its pre-tokens. The lengths of the frequent ones (at most
 ``FREQUENT``, so the size is bounded) are broadcast as a hash table; what is not in it is encoded by the worker that
 meets it and remembered in that worker's cache, which is emptied when it reaches ``CACHE``
-entries. The table only saves work: it comes from at most ``SAMPLE_DOCS`` whole documents in hash order, and
-any table gives the same counts.
+entries. The table only saves work: it is made from the vocabulary, not from the documents, and any table gives the same
+counts.
 
 Cases: null and empty texts have no tokens; repeated rows give repeated results; special tokens
 inside a text count as one token each, as the library has them by default.
@@ -12,7 +12,7 @@ inside a text count as one token each, as the library has them by default.
 
 from __future__ import annotations
 
-from collections import Counter
+import json
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,10 +20,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch_of, byte_values, sliced, text_rows
-from .pretokens import DIGITS, LETTERS, read_file, splitter
+from .pretokens import DIGITS, LETTERS, bytes_of, read_file, splitter
 
 FREQUENT = 50_000
-SAMPLE_DOCS = 1_000
 CACHE = 200_000
 # The split pattern of the vocabulary with word ends: words, single digits, short endings, anything else.
 WORD_PATTERN = rf"[{LETTERS}]+|[{DIGITS}]|'(?:[stmd]|re|ve|ll)|[^\s{LETTERS}{DIGITS}]+"
@@ -31,43 +30,36 @@ WORD_PATTERN = rf"[{LETTERS}]+|[{DIGITS}]|'(?:[stmd]|re|ve|ll)|[^\s{LETTERS}{DIG
 _COUNTED = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64())])
 
 
-def frequent_lengths(
-    docs: DataFrame, content: str, pattern: str, sample_docs: int = SAMPLE_DOCS, frequent: int = FREQUENT
-) -> dict[str, int]:
-    """The most frequent pre-tokens of a bounded sample with their lengths in tokens."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, seen = splitter(content, pattern), Counter()
-        for batch in sliced(batches):
-            for text in batch.column("text").to_pylist():
-                for part in split.parts(text):
-                    if part not in split.special:
-                        seen.update(split.pieces(part))
-        best = seen.most_common(frequent)
-        yield pa.RecordBatch.from_pydict(
-            {
-                "piece": pa.array([p for p, _ in best], pa.string()),
-                "n": pa.array([n for _, n in best], pa.int64()),
-                "length": pa.array([len(split.tokens(p.encode())) for p, _ in best], pa.int32()),
-            }
-        )
-
-    chosen = docs.select("id").distinct().orderBy(F.xxhash64("id"), "id").limit(sample_docs)
-    sample = docs.join(F.broadcast(chosen), "id").select("text")
-    rows = sample.mapInArrow(count, "piece string, n long, length int")
-    table = rows.groupBy("piece").agg(F.sum("n").alias("n"), F.max("length").alias("length"))
-    best = table.orderBy(F.desc("n"), "piece").limit(frequent).select("piece", "length").collect()
-    return {row.piece: row.length for row in best}
+def frequent_lengths(content: str, pattern: str, frequent: int = FREQUENT) -> dict[str, int]:
+    """The pre-tokens that the vocabulary has as whole words, with their lengths in tokens.
+
+    A vocabulary's words are the frequent ones of the text it was made from, the most frequent first.
+    """
+    split = splitter(content, pattern)
+    end = json.loads(content)["model"].get("end_of_word_suffix") or ""
+    words = sorted((i, token) for token, i in split.tokenizer.get_vocab(with_added_tokens=False).items() if token.endswith(end))
+    found: dict[str, int] = {}
+    for _, token in words:
+        if len(found) >= frequent:
+            break
+        try:
+            piece = bytes_of(token.removesuffix(end)).decode("utf-8")
+        except (KeyError, UnicodeDecodeError):
+            continue  # part of a character
+        # Only what the split gives back as one pre-token can be looked up.
+        if piece and split.is_sure(piece) and split.pieces(piece) == [piece]:
+            found[piece] = len(split.tokens(piece.encode()))
+    return found
 
 
 def token_counts(
-    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = WORD_PATTERN, **sample
+    docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", pattern: str = WORD_PATTERN, frequent: int = FREQUENT
 ) -> DataFrame:
     """``(id, n_bytes, n_tokens)`` of every row; ``vocabulary`` is the path of a tokenizers file."""
     content = read_file(vocabulary)
     rows = text_rows(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text")
     context = docs.sparkSession.sparkContext
-    shared = context.broadcast((content, frequent_lengths(rows, content, pattern, **sample)))
+    shared = context.broadcast((content, frequent_lengths(content, pattern, frequent)))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         content, frequent = shared.value

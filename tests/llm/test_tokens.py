@@ -23,16 +23,25 @@ def texts(awkward):
 def test_counts_equal_the_library(make_docs, texts):
     library = Tokenizer.from_file(WORD)
     want = sorted((str(i), len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids)) for i, t in texts)
-    got = token_counts.token_counts(make_docs(texts), WORD, sample_docs=20)
+    got = token_counts.token_counts(make_docs(texts), WORD)
     assert sorted((str(r.id), r.n_bytes, r.n_tokens) for r in got.collect()) == want
 
 
 def test_the_table_of_frequent_lengths_changes_no_count(make_docs, texts):
     some = make_docs(texts[:300])
-    plain = token_counts.token_counts(some, WORD, sample_docs=0)
+    plain = token_counts.token_counts(some, WORD, frequent=0)
     assert sorted(map(str, plain.collect())) == sorted(map(str, token_counts.token_counts(some, WORD).collect()))
 
 
+def test_frequent_lengths_are_those_of_the_library():
+    content, library = bpe_codec.read_file(WORD), Tokenizer.from_file(WORD)
+    found = token_counts.frequent_lengths(content, token_counts.WORD_PATTERN)
+    assert len(found) > 30_000 and {"the", "of", "and"} <= set(found)
+    some = random.Random(3).sample(sorted(found), 2000)
+    assert [found[p] for p in some] == [len(e.ids) for e in library.encode_batch(some, add_special_tokens=False)]
+    assert len(token_counts.frequent_lengths(content, token_counts.WORD_PATTERN, 100)) == 100
+
+
 def test_codec_equals_the_library(make_docs, texts):
     library = Tokenizer.from_file(BYTE)
     coded = bpe_codec.round_trip(make_docs(texts), BYTE).collect()
