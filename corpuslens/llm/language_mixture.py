@@ -3,8 +3,8 @@
 Each language has a table of letter trigrams, counted over at most ``EXAMPLES`` labelled documents
 per language, in the order of a hash of their id. A word's likelihood in a language is the product over
 its trigrams, word ends included. A document is a mixture: expectation-maximisation over its words
-estimates the share of every language. Then the set of languages is chosen: for the one, two, three ... largest shares the
-mixture is fitted again, and the set with the best likelihood minus a penalty per language
+estimates the share of every language. Then the set of languages is chosen: for the one, two, three ... largest shares, until
+that makes every text of a batch worse, the mixture is fitted again, and the set with the best likelihood minus a penalty per language
 (half the logarithm of the number of words, times ``PENALTY``) wins. The language of the document is the largest share of that set.
 
 Cases: null texts, empty ones and texts without a letter are ``und`` with score 0 and no
@@ -31,7 +31,7 @@ SMOOTHING = 0.5
 FLOOR = -10.0  # a word is at most this much less likely, so that single odd words decide nothing
 ROUNDS = 12
 PENALTY = 4.0
-MOST_LANGUAGES = 4
+SLICES = 64  # of a language's labelled rows, from each of which candidates for its examples are taken
 UNKNOWN = "und"
 
 MIXED = pa.schema(
@@ -106,13 +106,17 @@ class LanguageModel:
 
         full, _ = fit(np.ones((len(some), len(self.languages))))
         rank = np.argsort(np.argsort(-full, axis=1, kind="stable"), axis=1)
-        best_value, best_shares = np.full(len(some), -np.inf), full
-        for size in range(1, min(MOST_LANGUAGES, len(self.languages)) + 1):
+        best_value, best_shares, value = np.full(len(some), -np.inf), full, np.full(len(some), -np.inf)
+        for size in range(1, len(self.languages) + 1):
+            before = value
             shares, fitted = fit((rank < size).astype(float))
             value = fitted - 0.5 * PENALTY * size * np.log(n_words + 1)
             better = value > best_value
             best_value = np.where(better, value, best_value)
             best_shares = np.where(better[:, None], shares, best_shares)
+            # Once one more language makes every text worse, further ones cost more than they give.
+            if not (value > before).any():
+                break
         for text, row in zip(some.tolist(), best_shares):
             order = [i for i in np.argsort(-row, kind="stable").tolist() if row[i] > 0]
             names = [self.languages[i] for i in order]
@@ -133,8 +137,11 @@ def train(
     ).where("id IS NOT NULL AND lang IS NOT NULL AND has_text")
     if usable is not None:
         known = known.where(usable)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = known.select("id", "lang").withColumn("place", F.row_number().over(order)).where(F.col("place") <= examples)
+    # First from every slice of a language, then from the language: its rows are never sorted in one task.
+    chosen = known.select("id", "lang", F.pmod(F.xxhash64("id", F.lit("slice")), F.lit(SLICES)).alias("slice"))
+    for part in (["lang", "slice"], ["lang"]):
+        order = Window.partitionBy(*part).orderBy(F.xxhash64("id"), "id")
+        chosen = chosen.withColumn("place", F.row_number().over(order)).where(F.col("place") <= examples).drop("place")
     rows = text_rows(docs, id_col, text_col)
     found = rows.join(F.broadcast(chosen.select("id", "lang").distinct()), "id").select("lang", "text").collect()
     return LanguageModel(sorted((row.lang, row.text) for row in found))

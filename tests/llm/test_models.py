@@ -5,6 +5,7 @@ import textwrap
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslens.llm import language_mixture, license_scan, toxicity
 
@@ -88,6 +89,32 @@ def test_mixtures():
     assert language_mixture.LanguageModel([]).mixtures(["some text"])[0][0] == "und"
 
 
+def test_a_text_in_six_languages_has_six():
+    random.seed(5)
+    letters = ["abcde", "fghij", "klmno", "pqrst", "uvwxy", "zäöüß"]
+    words = [["".join(random.choices(x, k=5)) for _ in range(60)] for x in letters]
+    names = [f"l{i}" for i in range(6)]
+    model = language_mixture.LanguageModel([(n, " ".join(random.choices(w, k=400))) for n, w in zip(names, words)])
+    texts = [" ".join(random.choice(words[i % k]) for i in range(240)) for k in range(1, 7)]
+    got = model.mixtures([*texts, ""])
+    assert [sorted(found) for _, _, found, _ in got[:6]] == [names[:k] for k in range(1, 7)] and got[6] == ("und", 0.0, [], [])
+    for k, (_, score, _, shares) in enumerate(got[:6], 1):
+        assert sum(shares) == pytest.approx(1) and score == pytest.approx(1 / k, abs=0.02)
+
+
+def test_examples_are_the_lowest_hashes_of_a_language(make_docs, spark):
+    rows = [(i, f"{'eins zwei drei' if i % 3 else 'one two three'} {i} wort{i}") for i in range(300)] + [(7, "twice"), (None, "no id"), (400, None)]
+    docs = make_docs(rows).withColumn("lang", F.when(F.col("doc_id") % 3 == 0, "en").otherwise("de"))
+    known = docs.where("text IS NOT NULL AND lang IS NOT NULL AND doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).collect()
+    chosen = set()
+    for lang in ("en", "de"):
+        own = sorted((r.h, r.doc_id) for r in known if r.lang == lang)[:40]
+        chosen |= {i for _, i in own}
+    want = language_mixture.LanguageModel(sorted((r.lang, r.text) for r in known if r.doc_id in chosen))
+    got = language_mixture.train(docs, examples=40)
+    assert got.languages == want.languages and np.allclose(got.table, want.table)
+
+
 def test_languages_of_awkward_rows(make_docs, awkward):
     model = language_mixture.LanguageModel([("en", "one two three four words"), ("xx", "zzz yyy xxx")])
     rows = language_mixture.infer(make_docs(awkward), model).collect()
