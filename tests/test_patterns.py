@@ -2,13 +2,10 @@
 
 import random
 import re
-import time
 
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from pyspark.sql import functions as F
-
 from corpuslens.operators import patterns as pt
 
 
