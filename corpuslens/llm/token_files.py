@@ -156,8 +156,8 @@ def _manifest(path: str) -> list[dict]:
 
 
 class _Writer(DataSourceArrowWriter):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WrittenFile:
         system, top = open_folder(self.path)
@@ -183,6 +183,8 @@ class _Writer(DataSourceArrowWriter):
         files = sorted((m for m in messages if m is not None and m.n_docs), key=lambda m: m.place)
         if any(a.last > b.first for a, b in zip(files, files[1:])):
             raise ValueError(_UNORDERED)
+        if not self.overwrite and system.get_file_info(f"{top}/{MANIFEST}").type != pafs.FileType.NotFound:
+            raise ValueError("there is a corpus already: its documents come before or after these, so it cannot grow in place")
         listed, start = [], 0
         for m in files:
             listed.append({"name": m.name, "start": start, "n_docs": m.n_docs, "n_tokens": m.n_tokens})
@@ -237,7 +239,7 @@ class TokenCodes(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema: StructType, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], overwrite)
 
 
 def encoded(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = END_ID, pattern: str = WORD_PATTERN) -> DataFrame:

@@ -153,6 +153,16 @@ def test_files_out_of_order_are_refused(spark, tmp_path):
     assert sorted((r.doc_id, r.start) for r in token_files.read_tokens(spark, str(tmp_path / "mixed")).collect()) == [(1, 0), (2, 1)]
 
 
+def test_a_corpus_is_replaced_on_demand_only(make_docs, spark, tmp_path):
+    path = str(tmp_path / "c")
+    token_files.write_tokens(make_docs([(1, "one")]), WORD, path)
+    with pytest.raises(Exception, match="a corpus already"):
+        token_files.write_tokens(make_docs([(2, "two")]), WORD, path)
+    assert [r.doc_id for r in token_files.read_tokens(spark, path).collect()] == [1]
+    token_files.encoded(make_docs([(3, "three")]), WORD).write.format("token_codes").mode("overwrite").save(path)
+    assert [r.doc_id for r in token_files.read_tokens(spark, path).collect()] == [3]
+
+
 def test_no_documents(make_docs, tmp_path):
     got = token_files.round_trip(make_docs([]), WORD, str(tmp_path / "none"))
     assert got.collect() == [] and got.columns == ["doc_id", "start", "n_tokens", "ids"]
