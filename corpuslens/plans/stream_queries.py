@@ -12,9 +12,10 @@ from .registry import Tables, query
 
 
 def stream(t: Tables, name: str) -> DataFrame:
-    """One of the given tables as a file stream."""
+    """One of the given tables as a file stream, whether it is one file or a folder of files."""
     schema = t.spark.read.parquet(t.path(name)).schema
-    return t.spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(t.folder)
+    # A stream takes a folder or a pattern; this pattern fits the table's own path only.
+    return t.spark.readStream.schema(schema).parquet(f"{t.folder}/{name}.parque[t]")
 
 
 LEVEL_SQL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'signup' THEN 'WARNING' ELSE 'INFO' END"
@@ -126,4 +127,6 @@ def scan_fanout(t: Tables) -> DataFrame:
     arrivals = stream(t, "documents").select("doc_id")
     start = fl.fan_out(arrivals, t.labels, "doc_id", "TEXT", f"{path}/table")
     start(f"{path}/checkpoint").awaitTermination()
-    return t.spark.read.parquet(f"{path}/table").select("doc_id", "scanner_name", "status")
+    schema = arrivals.schema.add("scanner_name", "string").add("status", "string")
+    # With its schema, so that a run in which nothing is queued can be read.
+    return t.spark.read.schema(schema).parquet(f"{path}/table").select("doc_id", "scanner_name", "status")
