@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import unfold
-from ..session import work_root
+from ..session import stored, work_root
 
 RULE_SCHEMA = (
     "crime string, permission array<string>, "
@@ -40,24 +40,50 @@ def rule_apis(rules: DataFrame) -> DataFrame:
     )
 
 
+def _rule_pairs(rules: DataFrame) -> tuple[DataFrame, DataFrame, bool]:
+    """The calls rules look for, numbered; per rule the numbers of its first and second call; whether a rule has several of these.
+
+    They are stored, so that Spark knows how small they are before it joins the calls with them.
+    """
+    keys = ["callee_class", "callee_method", "descriptor"]
+    roles = rule_apis(rules).where(F.col("role") < 2)
+    apis = stored(roles.select(*keys).distinct().na.drop().withColumn("api", F.monotonically_increasing_id()), "rule-calls")
+    numbered = roles.join(apis, keys)
+    firsts = numbered.where("role = 0").select("crime", F.col("api").alias("first_api")).distinct()
+    seconds = numbered.where("role = 1").select("crime", F.col("api").alias("second_api")).distinct()
+    scores = roles.groupBy("crime").agg(F.max("score").alias("score"))
+    pairs = stored(firsts.join(seconds, "crime").join(scores, "crime"), "rule-pairs")
+    return apis, pairs, not pairs.groupBy("crime").count().where("count > 1").isEmpty()
+
+
 def behaviours(calls: DataFrame, rules: DataFrame, app_permissions: DataFrame | None = None) -> DataFrame:
     """Rules whose two calls occur in one caller.
 
     ``in_order`` says whether the first call comes before a second one. With
     ``app_permissions(app_id, permissions)`` a rule counts only where the app has all it asks for.
+
+    Calls shrink to one row per caller and known method before rules come in. A caller's methods then meet the rules of each
+    first one where they are, so what is shuffled grows with the calls, however many rules there are.
     """
-    keys = ["callee_class", "callee_method", "descriptor"]
-    hits = calls.join(rule_apis(rules), keys)
+    apis, pairs, several = _rule_pairs(rules)
+    hits = calls.join(apis, ["callee_class", "callee_method", "descriptor"])
+    per_api = hits.groupBy("app_id", "caller", "api").agg(F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"))
+    per_caller = per_api.groupBy("app_id", "caller").agg(F.collect_list(F.struct("api", "first_seq", "last_seq")).alias("made"))
+    by_first = per_caller.select(
+        "app_id", "caller", F.col("made.api").alias("apis"), F.col("made.last_seq").alias("lasts"), F.explode("made").alias("_first")
+    ).select("app_id", "caller", "apis", "lasts", F.col("_first.api").alias("first_api"), F.col("_first.first_seq").alias("first_seq"))
+    place = F.array_position("apis", F.col("second_api"))
     found = (
-        hits.groupBy("crime", "app_id", "caller")
-        .agg(
-            F.min(F.when(F.col("role") == 0, F.col("seq"))).alias("first_seq"),
-            F.max(F.when(F.col("role") == 1, F.col("seq"))).alias("second_seq"),
-            F.max("score").alias("score"),
-        )
+        by_first.join(pairs, "first_api")
+        .where(place > 0)
+        .select("crime", "app_id", "caller", "first_seq", F.get("lasts", (place - 1).cast("int")).alias("second_seq"), "score")
         .where(F.col("first_seq").isNotNull() & F.col("second_seq").isNotNull())
-        .withColumn("in_order", F.col("first_seq") < F.col("second_seq"))
     )
+    if several:
+        found = found.groupBy("crime", "app_id", "caller").agg(
+            F.min("first_seq").alias("first_seq"), F.max("second_seq").alias("second_seq"), F.max("score").alias("score")
+        )
+    found = found.withColumn("in_order", F.col("first_seq") < F.col("second_seq"))
     if app_permissions is None:
         return found
     gated = found.join(rules.select("crime", "permission"), "crime").join(app_permissions, "app_id", "left")
