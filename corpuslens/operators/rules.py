@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import unfold
-from ..session import stored, work_root
+from ..session import stored
 
 RULE_SCHEMA = (
     "crime string, permission array<string>, "
@@ -237,28 +237,32 @@ def callers_of(edges: DataFrame, flagged: DataFrame, name_pattern: str) -> DataF
     )
 
 
-def ancestors(hierarchy: DataFrame) -> DataFrame:
+def ancestors(hierarchy: DataFrame, within: Sequence[str] = (), of: DataFrame | None = None, until: str | None = None) -> DataFrame:
     """All superclasses of each class from ``hierarchy(name, extends)``, with the smallest number of steps to them.
 
     Each level is one join of the classes reached last with the table, stored before the next one, until
-    nothing new is reached. In a cycle a class is an ancestor of itself, once.
+    nothing new is reached. In a cycle a class is an ancestor of itself, once. Classes that differ in the columns ``within`` have
+    nothing to do with each other. Where only some classes are asked for, ``of(name)`` names them, and a class that is
+    looked for, ``until``, is not followed beyond.
     """
-    work_root(hierarchy.sparkSession)
-    known = hierarchy.where(F.col("extends").isNotNull())
-    step = known.select(F.col("name").alias("ancestor"), F.col("extends").alias("_next"))
-    level = known.select("name", F.col("extends").alias("ancestor"), F.lit(1).alias("depth")).distinct().checkpoint()
+    known = hierarchy.where(F.col("extends").isNotNull()).select(*within, "name", "extends")
+    step = known.select(*within, F.col("name").alias("ancestor"), F.col("extends").alias("_next"))
+    start = known if of is None else known.join(of.select(*within, "name").distinct(), [*within, "name"], "left_semi")
+    level = stored(start.select(*within, "name", F.col("extends").alias("ancestor"), F.lit(1).alias("depth")).distinct(), "ancestors")
     reached, depth = level, 1
-    while not level.isEmpty():
+    while True:
+        last = level if until is None else level.where(F.col("ancestor") != until)
+        if last.isEmpty():
+            return reached
         depth += 1
-        level = (
-            level.join(step, "ancestor")
-            .select("name", F.col("_next").alias("ancestor"), F.lit(depth).alias("depth"))
+        level = stored(
+            last.join(step, [*within, "ancestor"])
+            .select(*within, "name", F.col("_next").alias("ancestor"), F.lit(depth).alias("depth"))
             .distinct()
-            .join(reached.select("name", "ancestor"), ["name", "ancestor"], "left_anti")
-            .checkpoint()
+            .join(reached.select(*within, "name", "ancestor"), [*within, "name", "ancestor"], "left_anti"),
+            "ancestors",
         )
         reached = reached.unionByName(level)
-    return reached
 
 
 def overridden_certificate_checks(calls: DataFrame, hierarchy: DataFrame, proceed: Call, override: Call) -> DataFrame:
@@ -266,22 +270,21 @@ def overridden_certificate_checks(calls: DataFrame, hierarchy: DataFrame, procee
 
     A caller that makes the ``proceed`` call counts if it is the ``override`` method and its class descends
     from the override's class: ``calls(app_id, caller_class, caller_method, caller_descriptor, callee_class,
-    callee_method, descriptor)``, ``hierarchy(app_id, name, extends)``. Classes of an app are looked up in that app only.
+    callee_method, descriptor)``, ``hierarchy(app_id, name, extends)``. Classes of an app are looked up in that app only, and
+    only classes of such callers are followed.
     """
     spelled = {c: F.replace(F.col(c), F.lit(" "), F.lit("")) for c in ("descriptor", "caller_descriptor")}
-    callers = (
+    callers = stored(
         calls.withColumns(spelled)
         .where(proceed.condition() & (F.col("caller_method") == override.callee_method))
         .where(F.col("caller_descriptor") == override.descriptor.replace(" ", ""))
         .select("app_id", "caller_class", "caller_method")
-        .distinct()
-    )
-    named = hierarchy.select(
-        F.struct("app_id", F.col("name").alias("class")).alias("name"), F.struct("app_id", F.col("extends").alias("class")).alias("extends")
-    ).where(F.col("extends.class").isNotNull())
-    heirs = ancestors(named).where(F.col("ancestor.class") == override.callee_class).select(
-        F.col("name.app_id").alias("app_id"), F.col("name.class").alias("caller_class")
+        .distinct(),
+        "callers",
     )
+    classes = callers.select("app_id", F.col("caller_class").alias("name"))
+    above = ancestors(hierarchy.select("app_id", "name", "extends"), ["app_id"], classes, override.callee_class)
+    heirs = above.where(F.col("ancestor") == override.callee_class).select("app_id", F.col("name").alias("caller_class"))
     return callers.join(heirs, ["app_id", "caller_class"], "left_semi").select(
         F.lit("CWE295").alias("checker"), "app_id", F.concat_ws("->", "caller_class", "caller_method").alias("caller")
     )

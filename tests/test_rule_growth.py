@@ -57,3 +57,26 @@ def test_odd_rules_and_calls(spark):
     ], CALLS)
     found = {(r.crime, r.app_id, r.caller, r.first_seq, r.second_seq) for r in rl.behaviours(calls, rules).collect()}
     assert found == {("same call twice", 1, "x", 5, 5), ("several", 1, "x", 1, 9), ("several", None, None, 4, 6)}
+
+
+def test_classes_nobody_asks_for_are_not_followed(spark):
+    """A hundred classes of an app in one chain; a handler is in the third one from the top."""
+    proceed, override = rl.Call("H", "proceed", "()V"), rl.Call("Base", "onError", "(X)V")
+    chain = [(app, f"k{i}", f"k{i + 1}" if i < 100 else "Base") for app in (1, 2) for i in range(101)] + [(3, "k98", "k97"), (3, "k97", "k98")]
+    hierarchy = spark.createDataFrame(chain, "app_id long, name string, extends string")
+    calls = spark.createDataFrame(
+        [(app, "k98", "onError", "(X) V", "H", "proceed", "() V") for app in (1, 1, 3, 4)] + [(2, "k98", "other", "(X)V", "H", "proceed", "()V")],
+        "app_id long, caller_class string, caller_method string, caller_descriptor string, callee_class string, callee_method string, descriptor string",
+    )
+    seen = []
+    original = rl.ancestors
+
+    def counted(*args, **kwargs):
+        seen.append(original(*args, **kwargs))
+        return seen[-1]
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(rl, "ancestors", counted)
+        found = rl.overridden_certificate_checks(calls, hierarchy, proceed, override).collect()
+    assert [tuple(r) for r in found] == [("CWE295", 1, "k98->onError")]
+    assert seen[0].count() <= 6
