@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..catalog import MATCH_CATEGORIES, PRIVACY_CATEGORIES, STRING_COUNT_ATTRIBUTES, TOP_VALUES_ROWS
 from ..functions.text import entropies, language, text_flags, word_count
+from ..operators.numbering import numbered
 from ..operators import reports as rp
 from ..operators import stats as st
 from ..operators.rollups import ACCURACY, QUANTILES, Rollups
@@ -415,12 +418,15 @@ def rollup_estimates(t: Tables) -> DataFrame:
     """Whether merged quantiles and distinct counts are as near to the exact ones as they promise."""
     rollups = _rollups(t)
     orders = t.orders.where("o_orderstatus IN ('F', 'O', 'P')").withColumn("cents", F.round(F.col("o_totalprice") * 100))
-    shares = F.array(*[F.lit(s) for s in QUANTILES])
     exact = None
     for name in ROLLED:
-        # The smallest value at or below which a share of the rows lies.
-        values = [F.expr(f"percentile_disc({s}) WITHIN GROUP (ORDER BY {name})") for s in QUANTILES]
-        one = orders.agg(F.array(*values).alias("v")).select(F.lit(name).alias("attribute"), F.inline(F.arrays_zip(shares.alias("share"), F.col("v").alias("exact"))))
+        # The smallest value at or below which a share of the rows lies: rows are numbered in order, over all tasks.
+        known = orders.where(F.col(name).isNotNull())
+        ranked = numbered(known.select(F.col(name).alias("exact"), F.col("o_orderkey").alias("_key")), ["exact", "_key"], "place")
+        places = known.agg(F.count("*").alias("n")).select(F.inline(F.array(*[
+            F.struct(F.lit(s).alias("share"), F.greatest(F.ceil(F.col("n") * F.lit(Decimal(str(s)))).cast("long") - 1, F.lit(0)).alias("place")) for s in QUANTILES
+        ])))
+        one = ranked.join(places, "place").select(F.lit(name).alias("attribute"), "share", F.col("exact").cast("double").alias("exact"))
         exact = one if exact is None else exact.unionByName(one)
     near = F.abs(F.col("value") - F.col("exact")) <= F.col("exact") * (ACCURACY + 1e-9)
     quantiles = rollups.quantiles().join(exact, ["attribute", "share"]).select("attribute", "share", near.alias("within"))
