@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator, Mapping
 from typing import Any, Protocol
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -16,6 +17,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..catalog import RULE_SCAN_MAX_BYTES
 
 STATUS_COMPLETED, STATUS_FAILED = "completed", "failed"
+SLICE_BYTES = 4 << 20  # content that a batch scan looks at together
 
 
 class Scanner(Protocol):
@@ -67,8 +69,8 @@ def run_scanner(
 ) -> DataFrame:
     """One report row per item. A scan that raises gives a failed row with the error; the job goes on.
 
-    Items are scanned in Arrow batches where they are; nothing is shuffled. A scanner with ``scan_batch`` gets a
-    batch of contents at once; other scanners get one item after the other. ``operators.isolated`` has deadlines.
+    Items are scanned in Arrow batches where they are; nothing is shuffled. A scanner with ``scan_batch`` gets
+    contents of some megabytes at once; other scanners get one item after the other. ``operators.isolated`` has deadlines.
     """
     job = find_scanner(scanner) if isinstance(scanner, str) else scanner
     schema = report_schema(job, items.schema[id_col])
@@ -97,12 +99,23 @@ def _single_items(job: Scanner, schema: T.StructType, extra: Mapping[str, Any],
     return scan_batches
 
 
+def _slices(batch: pa.RecordBatch, limit: int) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in pieces of some bytes of content; a larger item is a piece by itself."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < batch.num_rows:
+        before = ends[begin - 1] if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + limit, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def _whole_batches(job: Scanner, schema: T.StructType, extra: Mapping[str, Any]):
     target = to_arrow_schema(schema)
     blank = empty_result(job.result_schema)
 
     def scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (piece for whole in batches for piece in _slices(whole, SLICE_BYTES)):
             found, error = job.scan_batch(batch.column(1), **extra)
             failed = error.is_valid()
             repeat = lambda value, kind: pa.array([value] * batch.num_rows, kind)
