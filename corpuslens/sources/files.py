@@ -12,6 +12,7 @@ import os
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,7 @@ from ..functions.paths import base_name, normalize_path, parent_name
 from .tree import FORMAT, LISTED_DDL, open_folder, register
 
 BLOCK_BYTES = 1 << 20
+FOLDERS_KNOWN = 10_000  # folders a task remembers to have made
 
 
 def _local_path(column: Column) -> Column:
@@ -116,17 +118,32 @@ def loose_apps(spark: SparkSession, folder: str) -> DataFrame:
     return with_md5(listed.repartition("path"), folder).select(base_name("path").alias("name"), "size", "md5")
 
 
+class Writer:
+    """Writes files below a folder of one file system; a folder is made once, not once per file."""
+
+    def __init__(self, system: pafs.FileSystem, top: str):
+        self._system, self._top, self._made = system, top, set()
+
+    def write(self, name: str, content: bytes) -> None:
+        folder = os.path.dirname(f"{self._top}/{name}")
+        if folder not in self._made:
+            if len(self._made) >= FOLDERS_KNOWN:
+                self._made.clear()
+            self._system.create_dir(folder, recursive=True)
+            self._made.add(folder)
+        with self._system.open_output_stream(f"{self._top}/{name}", compression=None) as stream:
+            stream.write(content)
+
+
 def write_files(rows: DataFrame, root: str) -> None:
     """Write rows ``(name, content)`` as files below a folder, by the tasks that hold them."""
     root = qualified(rows.sparkSession, root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        system, top = open_folder(root)
+        writer = Writer(*open_folder(root))
         for batch in batches:
             for name, content in zip(batch["name"], batch["content"]):
-                system.create_dir(os.path.dirname(f"{top}/{name}"), recursive=True)
-                with system.open_output_stream(f"{top}/{name}", compression=None) as stream:
-                    stream.write(bytes(content))
+                writer.write(name, bytes(content))
             yield batch[["name"]]
 
     rows.select("name", "content").mapInPandas(run, "name string").write.format("noop").mode("overwrite").save()

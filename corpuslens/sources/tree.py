@@ -129,9 +129,10 @@ class TreeReader(DataSourceReader):
         held: list[pafs.FileInfo] = []
         for found in Lister(self.path, self.glob).walk(partition.paths, partition.deep):
             held += found
-            while len(held) >= BATCH_ROWS:
-                yield _batch(held[:BATCH_ROWS])
-                held = held[BATCH_ROWS:]
+            whole = len(held) // BATCH_ROWS * BATCH_ROWS
+            for at in range(0, whole, BATCH_ROWS):
+                yield _batch(held[at : at + BATCH_ROWS])
+            held = held[whole:]
         yield _batch(held)
 
 

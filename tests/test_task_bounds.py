@@ -3,10 +3,12 @@
 import random
 
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import types as T
 
 from corpuslens.operators import scanners as sc
 from corpuslens.plans import Tables, load_queries
+from corpuslens.sources import files
 
 
 def test_a_batch_scan_looks_at_some_megabytes_together(spark):
@@ -37,3 +39,22 @@ def test_exact_quantiles_are_not_made_by_one_task(spark):
     rows = sorted((r.attribute, r.share or 0, r.within) for r in found.collect())
     want = [(a, s, True) for a in ("cents", "o_orderkey") for s in (0.5, 0.9, 0.99)] + [(a, 0, True) for a in ("o_custkey", "o_orderkey")]
     assert rows == sorted(want)
+
+
+def test_a_folder_is_made_once(tmp_path):
+    made, real = [], pafs.LocalFileSystem()
+
+    class Counting:
+        def create_dir(self, folder, recursive):
+            made.append(folder)
+            real.create_dir(folder, recursive=recursive)
+
+        def open_output_stream(self, *args, **kwargs):
+            return real.open_output_stream(*args, **kwargs)
+
+    writer = files.Writer(Counting(), str(tmp_path / "top"))
+    names = [f"{folder}d{i}.txt" for i in range(50) for folder in ("", "a/", "a/.b/")]
+    for name in names:
+        writer.write(name, name.encode())
+    assert len(made) == 3
+    assert all((tmp_path / "top" / name).read_bytes() == name.encode() for name in names)
