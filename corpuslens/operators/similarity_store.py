@@ -1,7 +1,8 @@
 """Similarity edges kept up to date (D01, D03, J15): only what is new is compared.
 
 A score depends on the two digests and on nothing else, so an edge between digests stays right for good. The store keeps distinct
-digests, their chunk postings, edges, and which file has which digest. A step takes the digests of new or changed
+digests, each with a number, their chunks, edges, and which file has which digest; chunks and edges name digests by
+their numbers, since a digest can be long. A step takes the digests of new or changed
 files; those not seen before meet the stored postings and each other, what is stored is not compared again.
 A file that comes again with another digest moves to it, and digests that no file has any more give no edges.
 
@@ -21,17 +22,19 @@ from pyspark.sql import functions as F
 
 from ..functions import unfold
 from ..functions.fuzzy import piecewise_score_of
+from ..session import release_finished, stored
 from ..sources.files import qualified
 from ..sources.tree import open_folder
-from .similarity import CELL_ROWS, candidate_pairs, chunk_keys
+from .similarity import CELL_ROWS, candidate_pairs, chunk_keys, postings
 
 class SimilarityStore:
     """Digests and their edges below a folder. ``keys`` gives the keys two digests must share to be compared, as an
-    array of longs, ``score`` the score of two digests; edges have a score above 0."""
+    array of longs, ``score`` the score of two digests; edges have a score above 0. Without a ``score`` every two digests that
+    share a key have an edge of score 1."""
 
     def __init__(
         self, spark: SparkSession, path: str, keys: Callable[[str], Column] = chunk_keys,
-        score: Callable[[str, str], Column] = piecewise_score_of, cell_rows: int = CELL_ROWS,
+        score: Callable[[str, str], Column] | None = piecewise_score_of, cell_rows: int = CELL_ROWS,
     ):
         self.spark, self.path = spark, qualified(spark, path).rstrip("/")
         self._keys, self._score, self._cell_rows = keys, score, cell_rows
@@ -67,11 +70,14 @@ class SimilarityStore:
         rows = self._read("members", steps, f"file_id {kind}, digest string, step long")
         return rows.groupBy("file_id").agg(F.max_by("digest", "step").alias("digest")).where("digest IS NOT NULL")
 
+    def _digests(self, steps: list[str]) -> DataFrame:
+        return self._read("digests", steps, "digest string, number long")
+
     def _postings(self, steps: list[str]) -> DataFrame:
-        return self._read("postings", steps, "digest string, key long")
+        return postings(self._read("keys", steps, "node long, keys array<long>"), "keys")
 
     def _edges(self, steps: list[str]) -> DataFrame:
-        return self._read("edges", steps, "src string, dst string, score int")
+        return self._read("edges", steps, "src long, dst long, score int")
 
     def add(self, digests: DataFrame, id_col: str, digest_col: str = "digest") -> None:
         """One step: digests of new or changed files. A null digest takes the file out."""
@@ -82,36 +88,46 @@ class SimilarityStore:
         taken = self.spark.read.parquet(f"{self.path}/{step}/members")
 
         fresh = taken.where("digest IS NOT NULL").select("digest").distinct()
+        first = 0
         if steps:
-            fresh = fresh.join(self._postings(steps).select("digest"), "digest", "left_anti")
-        # A digest without keys is stored with a null key, so that it counts as known.
-        keys = F.when(F.size(self._keys("digest")) > 0, self._keys("digest")).otherwise(F.array(F.lit(None).cast("long")))
-        fresh.select("digest", F.explode(keys).alias("key")).write.parquet(f"{self.path}/{step}/postings")
-        own = self._postings([step]).where("key IS NOT NULL")
-
-        within = candidate_pairs(own.withColumnRenamed("digest", "node"), self._cell_rows)
-        pairs = within.select("src", "dst")
-        if steps:
-            stored = self._postings(steps).where("key IS NOT NULL").select("key", F.col("digest").alias("other"))
-            across = own.join(stored, "key").select(F.least("digest", "other").alias("src"), F.greatest("digest", "other").alias("dst"))
-            pairs = pairs.unionByName(across.distinct())
-        # Unfolded, so that the filter does not make a second score of each pair.
-        scored = unfold(pairs, ["src", "dst"], F.array(self._score("src", "dst").cast("int")), "score")
-        scored.where("score > 0").write.parquet(f"{self.path}/{step}/edges")
+            known = self._digests(steps)
+            fresh = fresh.join(known.select("digest"), "digest", "left_anti")
+            first = known.agg(F.coalesce(F.max("number") + 1, F.lit(0))).first()[0]
+        # Written before they are used, so that the numbers hold still.
+        fresh.select("digest", (F.monotonically_increasing_id() + first).alias("number")).write.parquet(f"{self.path}/{step}/digests")
+        own = self._digests([step])
+        own.select(F.col("number").alias("node"), self._keys("digest").alias("keys")).write.parquet(f"{self.path}/{step}/keys", compression="zstd")
+
+        pairs = candidate_pairs(self._postings([step]), self._cell_rows, self._postings(steps) if steps else None)
+        if self._score is None:
+            scored = pairs.withColumn("score", F.lit(1))
+        else:
+            every = self._digests([*steps, step])
+            both = pairs.join(every.toDF("a", "src"), "src").join(every.toDF("b", "dst"), "dst").select(
+                "src", "dst", F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high")
+            )
+            # Unfolded, so that the filter does not make a second score of each pair.
+            scored = unfold(both, ["src", "dst"], F.array(self._score("low", "high").cast("int")), "score")
+        scored.where("score > 0").write.parquet(f"{self.path}/{step}/edges", compression="zstd")
         self._commit(base, [*steps, step])
+        release_finished(self.spark)
 
     def members(self) -> DataFrame:
         """``(file_id, digest)`` of the files as they are now."""
         return self._members(self._log()[1])
 
-    def edges(self) -> DataFrame:
-        """``(src, dst, score)`` between digests that files have now, ``src < dst``."""
+    def edges(self, names: DataFrame | None = None) -> DataFrame:
+        """``(src, dst, score)`` between digests that files have now, ``src < dst``. ``names`` are rows ``(digest, name)``
+        for what to call them; digests without a name are left out."""
         _, steps = self._log()
-        edges = self._edges(steps)
         if not steps:
-            return edges
-        alive = self._alive(steps)
-        return edges.join(alive.toDF("src"), "src", "left_semi").join(alive.toDF("dst"), "dst", "left_semi").select("src", "dst", "score")
+            return self.spark.createDataFrame([], "src string, dst string, score int")
+        if names is None:
+            names = self._alive(steps).withColumn("name", F.col("digest"))
+        # Stored, so that Spark knows how small they are before it joins the edges with them.
+        ends = stored(names.join(self._digests(steps), "digest").select("number", "name"), "ends")
+        both = self._edges(steps).join(ends.toDF("src", "a"), "src").join(ends.toDF("dst", "b"), "dst")
+        return both.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "score")
 
     def _alive(self, steps: list[str]) -> DataFrame:
         return self._members(steps).select("digest").distinct()
@@ -127,7 +143,11 @@ class SimilarityStore:
         step = uuid.uuid4().hex
         self._members(steps).withColumn("step", F.lit(base).cast("long")).write.parquet(f"{self.path}/{step}/members")
         alive = self.spark.read.parquet(f"{self.path}/{step}/members").select("digest").distinct()
-        self._postings(steps).join(alive, "digest", "left_semi").write.parquet(f"{self.path}/{step}/postings")
-        edges = self._edges(steps).join(alive.toDF("src"), "src", "left_semi").join(alive.toDF("dst"), "dst", "left_semi")
+        self._digests(steps).join(alive, "digest", "left_semi").write.parquet(f"{self.path}/{step}/digests")
+        kept = self._digests([step])
+        self._read("keys", steps, "node long, keys array<long>").join(kept.select(F.col("number").alias("node")), "node", "left_semi").write.parquet(f"{self.path}/{step}/keys")
+        edges = self._edges(steps)
+        for end in ("src", "dst"):
+            edges = edges.join(kept.select(F.col("number").alias(end)), end, "left_semi")
         edges.select("src", "dst", "score").write.parquet(f"{self.path}/{step}/edges")
         self._commit(base, [step])

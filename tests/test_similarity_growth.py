@@ -1,6 +1,8 @@
 """Signatures and chunks in batches, and what links cost."""
 
 import hashlib
+import itertools
+import random
 import re
 
 import pytest
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.functions import digests as dg
 from corpuslens.operators import similarity as sim
+from corpuslens.operators.similarity_store import SimilarityStore
 from corpuslens.plans import similarity_queries as sq
 
 ODD = ["", None, "abcdef", "abcdefg", "abcdefgabcdefgabcdefg", "AAAAAAAAAA", "+/+/+/+/zZ9", "0123456789abcdef" * 40]
@@ -49,3 +52,48 @@ def test_postings_are_dealt_out_once(spark):
         lowest[key] = min(node, lowest.get(key, node))
     found = [tuple(r) for r in links.collect()]
     assert set(found) == {(lowest[k], n) for n, k in held if n > lowest[k]} and len(found) == len(set(found))
+
+
+def pairs_by_hand(fresh, known=()):
+    every = [*fresh, *known]
+    return sorted({(min(a, b), max(a, b)) for a, x in fresh for b, y in every if a != b and set(x) & set(y)})
+
+
+def as_nodes(spark, rows):
+    return spark.createDataFrame(rows, "node long, keys array<long>")
+
+
+@pytest.mark.parametrize("cell_rows", [3, 2000])
+def test_pairs_of_keys_in_any_order(spark, cell_rows):
+    """Passages in other orders, repeated and cut: every pair is there, also with nodes known before."""
+    rng = random.Random(7)
+    passages = [[p * 10 + i for i in range(rng.randrange(1, 9))] for p in range(25)]
+    rows = []
+    for n in range(60):
+        keys = [k for p in rng.sample(passages, rng.randrange(0, 4)) for k in p[rng.randrange(0, 2) :]]
+        rows.append((n * 3, list(dict.fromkeys(rng.sample(keys, len(keys)) if n % 5 == 0 else keys))))
+    known, fresh = rows[:35], rows[35:]
+    postings = [sim.postings(as_nodes(spark, part), "keys") for part in (rows, fresh, known)]
+    assert sorted(tuple(r) for r in sim.candidate_pairs(postings[0], cell_rows).collect()) == pairs_by_hand(rows)
+    assert sorted(tuple(r) for r in sim.candidate_pairs(postings[1], cell_rows, postings[2]).collect()) == pairs_by_hand(fresh, known)
+
+
+def test_a_shared_passage_gives_a_pair_once(spark, monkeypatch):
+    """What is shuffled to find the distinct pairs: one row per pair, not one per key of a passage."""
+    rows = sim.postings(spark.range(40).select(F.col("id").alias("node"), F.sequence(F.lit(1).cast("long"), F.lit(50).cast("long")).alias("keys")), "keys")
+    made, distinct = [], type(rows).distinct
+    monkeypatch.setattr(type(rows), "distinct", lambda df: made.append(df.count()) or distinct(df))
+    assert sim.candidate_pairs(rows).count() == 780 and made == [780]
+
+
+def test_stored_edges_do_not_hold_digests(spark, tmp_path):
+    digests = [f"{n:03d}" * 3000 for n in range(60)]
+    store = SimilarityStore(spark, str(tmp_path / "s"), keys=lambda d: F.array(F.lit(1).cast("long")), score=None)
+    for part in (0, 1):
+        store.add(spark.createDataFrame(list(enumerate(digests))[part * 30 : part * 30 + 30], "id long, digest string"), "id")
+    for step in store.steps():
+        kinds = dict(spark.read.parquet(str(tmp_path / "s" / step / "edges")).dtypes)
+        assert (kinds["src"], kinds["dst"]) == ("bigint", "bigint")
+    assert store.edges().count() == 60 * 59 // 2
+    names = store.members().groupBy("digest").agg(F.min("file_id").alias("name")).where("name < 10")
+    assert sorted((r.src, r.dst) for r in store.edges(names).collect()) == list(itertools.combinations(range(10), 2))
