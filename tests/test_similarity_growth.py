@@ -97,3 +97,24 @@ def test_stored_edges_do_not_hold_digests(spark, tmp_path):
     assert store.edges().count() == 60 * 59 // 2
     names = store.members().groupBy("digest").agg(F.min("file_id").alias("name")).where("name < 10")
     assert sorted((r.src, r.dst) for r in store.edges(names).collect()) == list(itertools.combinations(range(10), 2))
+
+
+@pytest.mark.parametrize("block", [3, 16])
+def test_groups_block_by_block(spark, monkeypatch, block):
+    """Blocks of few nodes give the groups of the order of nodes, in as many rounds as there are blocks, also along a path."""
+    monkeypatch.setattr(sim, "BLOCK_NODES", block)
+    rounds, settled = [], sim._settled_places
+    monkeypatch.setattr(sim, "_settled_places", lambda *a: rounds.append(1) or settled(*a))
+    rng = random.Random(block)
+    pairs = {(n * 5, n * 5 + 5) for n in range(15)} | {(a * 5, b * 5) for a in range(16, 40) for b in range(a + 1, 40) if rng.random() < 0.7}
+    groups = []
+    for node in range(0, 205, 5):
+        fits = [g for g in groups if all((m, node) in pairs for m in g)]
+        for g in fits:
+            g.append(node)
+        if not fits:
+            groups.append([node])
+    nodes = spark.createDataFrame([(n,) for n in range(0, 205, 5)], "node long")
+    found = sorted(tuple(r) for r in sim.similarity_groups(nodes, spark.createDataFrame(sorted(pairs), "src long, dst long")).collect())
+    assert found == sorted((g[0], m) for g in groups for m in g)
+    assert len(rounds) == -(-len({b for _, b in pairs}) // block)
