@@ -7,14 +7,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import rules as rl
-from ..session import spread
+from ..session import dealt
 from ..rule_catalog import CHECKERS, CREDENTIAL_NAME_WORDS, RULES, SSL_OVERRIDE, SSL_PROCEED
 from ..sources.reports import builtin_rules
 from .registry import Tables, query, sql_values
 
 
 def calls(t: Tables) -> DataFrame:
-    lines = spread(t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_orderkey")
+    lines = dealt(t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_quantity", "l_returnflag"), "l_orderkey")
     parts = t.part.select("p_partkey", "p_name", "p_type")
     joined = lines.join(parts, F.col("l_partkey") == F.col("p_partkey"))
     return joined.select(
@@ -296,7 +296,7 @@ def builtin_checkers(t: Tables) -> DataFrame:
             for c in targets
         ]
     )
-    lines = spread(t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"), "l_orderkey")
+    lines = dealt(t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", "l_returnflag"), "l_orderkey")
     rows = lines.select(
         F.floor(F.col("l_orderkey") / 10).cast("long").alias("app_id"),
         F.col("l_orderkey").alias("caller"),

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens import session
 from corpuslens.operators import rules as rl
 
 
@@ -80,3 +81,16 @@ def test_classes_nobody_asks_for_are_not_followed(spark):
         found = rl.overridden_certificate_checks(calls, hierarchy, proceed, override).collect()
     assert [tuple(r) for r in found] == [("CWE295", 1, "k98->onError")]
     assert seen[0].count() <= 6
+
+
+def test_calls_of_larger_tables_come_in_more_pieces(spark, tmp_path):
+    """The rows of a task stay as they are when the table grows."""
+    held = []
+    for n in (200_000, 800_000):
+        lines = spark.range(n).select(
+            F.col("id").alias("l_orderkey"), (F.col("id") % 100).alias("l_partkey"), F.lit(1).cast("long").alias("l_linenumber"), F.rand(1).alias("l_quantity"), F.lit("R").alias("l_returnflag")
+        )
+        lines.write.parquet(str(tmp_path / f"{n}"))
+        pieces = session.dealt(spark.read.parquet(str(tmp_path / f"{n}")), "l_orderkey", piece=100_000)
+        held.append(max(r["count"] for r in pieces.groupBy(F.spark_partition_id()).count().collect()))
+    assert held[1] < 1.3 * held[0] < 200_000 / 8
