@@ -57,19 +57,19 @@ class Recent:
     def __init__(self, size: int):
         self._size = size
         self.young: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
 
     def get(self, text: str) -> bytes | None:
         """What is remembered, also of the older generation."""
         ids = self.young.get(text)
-        if ids is None and (ids := self._old.get(text)) is not None:
+        if ids is None and (ids := self.old.get(text)) is not None:
             self.put(text, ids)
         return ids
 
     def put(self, text: str, ids: bytes) -> None:
         if len(text) <= CACHED_LETTERS:
             if len(self.young) >= self._size:
-                self._old, self.young = self.young, {}
+                self.old, self.young = self.young, {}
             self.young[text] = ids
 
 
@@ -89,17 +89,23 @@ class Encoder:
     def _piece(self, piece: str) -> bytes:
         ids = self._pieces.get(piece)
         if ids is None:
-            # Visible ASCII characters stand for themselves in byte-level vocabularies.
-            letters = piece if piece.isascii() and piece.isprintable() else letters_of(piece.encode())
-            ids = array("I", [t.id for t in self._tokenize(letters)]).tobytes()
+            ids = self._ids(piece)
             self._pieces.put(piece, ids)
         return ids
 
+    def _ids(self, piece: str) -> bytes:
+        # Visible ASCII characters stand for themselves in byte-level vocabularies.
+        letters = piece if piece.isascii() and piece.isprintable() else letters_of(piece.encode())
+        return array("I", [t.id for t in self._tokenize(letters)]).tobytes()
+
     def _word(self, word: str) -> bytes:
-        ids = self._words.get(word)
+        words = self._words
+        ids = words.young.get(word) or words.old.get(word)
         if ids is None:
-            ids = b"".join(map(self._piece, self._split.sure_pieces(word)))
-            self._words.put(word, ids)
+            pieces = self._split.sure_pieces(word)
+            # A word that is one piece is kept as a word only.
+            ids = self._ids(word) if pieces == [word] else b"".join(map(self._piece, pieces))
+        words.put(word, ids)
         return ids
 
     def _part(self, part: str) -> bytes:

@@ -167,3 +167,14 @@ def test_no_documents(make_docs, tmp_path):
     got = token_files.round_trip(make_docs([]), WORD, str(tmp_path / "none"))
     assert got.collect() == [] and got.columns == ["doc_id", "start", "n_tokens", "ids"]
     assert len(token_files.TokenCorpus(str(tmp_path / "none"))) == 0
+
+
+def test_a_word_of_one_piece_is_kept_once():
+    import public_tokenizers
+
+    from corpuslens.llm import token_files
+    from corpuslens.llm.pretokens import read_file
+
+    coder = token_files.Encoder(read_file(public_tokenizers.path("word_bpe_49k.json")), token_files.WORD_PATTERN)
+    first = coder.encode("alpha beta, alpha")
+    assert coder.encode("alpha beta, alpha") == first and "alpha" in coder._words.young and "alpha" not in coder._pieces.young and "beta" in coder._pieces.young
