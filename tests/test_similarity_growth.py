@@ -5,10 +5,13 @@ import itertools
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from test_similarity import plain_digest
 
 from corpuslens.functions import digests as dg
+from corpuslens.functions import fuzzy
 from corpuslens.operators import similarity as sim
 from corpuslens.operators.similarity_store import SimilarityStore
 from corpuslens.plans import similarity_queries as sq
@@ -118,3 +121,85 @@ def test_groups_block_by_block(spark, monkeypatch, block):
     found = sorted(tuple(r) for r in sim.similarity_groups(nodes, spark.createDataFrame(sorted(pairs), "src long, dst long")).collect())
     assert found == sorted((g[0], m) for g in groups for m in g)
     assert len(rounds) == -(-len({b for _, b in pairs}) // block)
+
+
+def test_digests_together_equal_digests_alone(monkeypatch):
+    rng = random.Random(4)
+    texts = [None, b"", b"a", b"\0" * 9, b"ab" * 3000, *(bytes(rng.choice(b"ab cd\n\0") for _ in range(rng.randrange(1, 1500))) for _ in range(60))]
+    texts += [bytes(rng.randrange(256) for _ in range(rng.randrange(1, 4000))) + bytes(rng.randrange(9)) for _ in range(40)]
+    want = [None if t is None else plain_digest(t) if t else "3::" for t in texts]
+    for together, long in ((1, 1), (3000, 40), (1 << 20, 512)):
+        monkeypatch.setattr(fuzzy, "TOGETHER_BYTES", together)
+        monkeypatch.setattr(fuzzy, "LONG_PIECE", long)
+        assert fuzzy.piecewise_digests(iter(texts)) == want
+
+
+def digest_like(rng, letters="abcdefgh"):
+    def part(most):
+        return "".join(rng.choice(letters) for _ in range(rng.randrange(0, most)))
+
+    return f"{3 << rng.randrange(5)}:{part(65)}:{part(33)}"
+
+
+def test_scores_of_many_pairs_equal_single_scores():
+    rng = random.Random(6)
+    listed = [digest_like(rng, letters) for letters in ("ab", "abcd", fuzzy.ALPHABET) for _ in range(150)]
+    for digest in listed[:300]:
+        block, first, second = digest.split(":")
+        at = rng.randrange(len(first) + 1)
+        listed += [f"{block}:{first[:at]}Q{first[at + 2 :]}"[:60] + f":{second}", f"{int(block) * 2}:{second}ZZ:{first[:30]}"]
+    listed += ["3:wörterwörterxx:ab", "3:wörterwörteryy:ab", "3:" + "abcdefgh" * 20 + ":a", "6:aaaaaaaaaabcdefg:x", "6:aaaabcdefg:x"]
+    pairs = [(a, b) for a in listed for b in rng.sample(listed, 12)] + [(a, a) for a in listed] + [(listed[i], listed[i + 1]) for i in range(len(listed) - 1)]
+    want = [fuzzy.piecewise_score(a, b) for a, b in pairs]
+    found = fuzzy.piecewise_scores(pa.array([a for a, _ in pairs] + ["3::", None]), pa.array([b for _, b in pairs] + [None, None])).to_pylist()
+    assert found == [*want, None, None] and len({*want}) > 40
+
+
+def test_chunks_of_many_signatures(monkeypatch):
+    rng = random.Random(8)
+    texts = [None, "", "abcdef", "ab:cdefghi", "0123456789abcdef" * 40, *("".join(rng.choice("abC+") for _ in range(rng.randrange(0, 60))) for _ in range(200))]
+    alone = [dg.chunk_numbers([t])[0].tolist() for t in texts]
+    assert alone[:4] == [[], [], [], []] and all(len(x) == len(set(x)) for x in alone)
+    monkeypatch.setattr(dg, "TOGETHER_CHARS", 300)
+    chunks, many = dg.chunk_numbers(iter(texts))
+    assert many.tolist() == [len(x) for x in alone] and chunks.tolist() == [c for x in alone for c in x]
+
+
+@pytest.mark.parametrize("cell_rows", [2, 7, 2000])
+def test_pairs_are_scored_where_they_are_made(spark, monkeypatch, cell_rows):
+    """Cells that go on in other batches, more pairs than are held, more tasks than cores: every pair once, with its score."""
+    rng = random.Random(cell_rows)
+    base = ["".join(rng.choice(fuzzy.ALPHABET) for _ in range(60)) for _ in range(4)]
+    digests = set()
+    while len(digests) < 70:
+        text = list(rng.choice(base))
+        for _ in range(rng.randrange(0, 6)):
+            text[rng.randrange(len(text))] = rng.choice(fuzzy.ALPHABET)
+        digests.add(f"{rng.choice([48, 96])}:{''.join(text)}:{''.join(text[::-2])}")
+    names = dict(zip(rng.sample(range(1000), len(digests)), sorted(digests)))
+    want = {(a, b): s for a in names for b in names if a < b and (s := fuzzy.piecewise_score(names[a], names[b])) > 0}
+    monkeypatch.setattr(sim, "PAIRS_HELD", 5)
+    monkeypatch.setattr(sim, "PAIRS_OF_TASK", 50)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        nodes = spark.createDataFrame(list(names.items()), "node long, digest string").checkpoint()
+        edges = sim.similarity_edges(nodes, cell_rows)
+        found = [tuple(r) for r in edges.collect()]
+        strings = sim.similarity_edges(nodes.withColumn("node", F.lpad(F.col("node").cast("string"), 4, "0")), cell_rows).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(found) == len(want) > 200 and {(a, b): s for a, b, s in found} == want
+    assert sorted((int(r.src), int(r.dst), r.score) for r in strings) == sorted(found)
+
+
+def test_digests_go_with_postings_and_not_with_pairs(spark):
+    nodes = spark.createDataFrame([(n, f"48:{'abcdefghijklmnop' * 3}{n:03d}:xyz") for n in range(50)], "node long, digest string").checkpoint()
+    edges = sim.similarity_edges(nodes)
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    above, below = plan.split("MapInArrow", 1)
+    assert "Join" not in above and below.count("Join") == 1 and edges.count() == 50 * 49 // 2
+
+
+def test_keys_within_a_passage_are_left_out(spark):
+    rows = sim.postings(spark.range(40).select(F.col("id").alias("node"), F.sequence(F.lit(1).cast("long"), F.lit(50).cast("long")).alias("keys")), "keys")
+    assert sim._begun(rows.withColumn("fresh", F.lit(True)), 2000).select("key").distinct().count() == 1
