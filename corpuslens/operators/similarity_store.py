@@ -27,6 +27,9 @@ from ..sources.files import qualified
 from ..sources.tree import open_folder
 from .similarity import CELL_ROWS, candidate_pairs, chunk_keys, postings
 
+ENDS_HELD = 1 << 20  # names that a task holds while it names edges
+
+
 class SimilarityStore:
     """Digests and their edges below a folder. ``keys`` gives the keys two digests must share to be compared, as an
     array of longs, ``score`` the score of two digests; edges have a score above 0. Without a ``score`` every two digests that
@@ -74,7 +77,7 @@ class SimilarityStore:
         return self._read("digests", steps, "digest string, number long")
 
     def _postings(self, steps: list[str]) -> DataFrame:
-        return postings(self._read("keys", steps, "node long, keys array<long>"), "keys")
+        return postings(self._read("keys", steps, "node long, keys array<long>"), "keys", before=False)
 
     def _edges(self, steps: list[str]) -> DataFrame:
         return self._read("edges", steps, "src long, dst long, score int")
@@ -126,6 +129,9 @@ class SimilarityStore:
             names = self._alive(steps).withColumn("name", F.col("digest"))
         # Stored, so that Spark knows how small they are before it joins the edges with them.
         ends = stored(names.join(self._digests(steps), "digest").select("number", "name"), "ends")
+        # Edges are very many more than their ends: up to some MB of ends go to the edges, beyond that both are dealt out.
+        if ends.count() <= ENDS_HELD:
+            ends = F.broadcast(ends)
         both = self._edges(steps).join(ends.toDF("src", "a"), "src").join(ends.toDF("dst", "b"), "dst")
         return both.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "score")
 
